@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwright.llm import decontaminate, exact_dedup, license_scan, packing, simhash, token_files, toxicity
+from postwright.llm import decontaminate, exact_dedup, license_scan, maxent_lm, packing, simhash, token_files, tool_links, toxicity, url_filter
 from postwright.llm._common import table
 
 
@@ -18,6 +18,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(table(spark, sf_dir, "documents"))
+
+
+def op4_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_links.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,14 +53,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_maxent_lm": op3_maxent_lm,
+    "op4_tool_links": op4_tool_links,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_tool_links": r"""
+        WITH m AS (
+          SELECT conv_id, turn, role, text,
+                 CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
+                 CASE role WHEN 'user' THEN 't' || turn WHEN 'assistant' THEN 't' || (turn - 1) END AS call_id,
+                 row_number() OVER (PARTITION BY conv_id, role, turn ORDER BY text) AS k
+          FROM conversations),
+        linked AS (
+          SELECT m.*, o.turn AS other
+          FROM m LEFT JOIN m o ON o.conv_id = m.conv_id AND o.call_id = m.call_id AND o.kind <> m.kind AND o.k = 1
+               AND m.kind <> 'plain' AND o.kind <> 'plain')
+        SELECT conv_id, turn, kind, call_id, CASE WHEN k = 1 THEN other END AS linked_turn,
+               CASE WHEN kind = 'plain' THEN 'plain' WHEN k > 1 THEN 'duplicate' WHEN other IS NOT NULL THEN 'linked'
+                    WHEN kind = 'call' THEN 'pending' ELSE 'orphan' END AS status,
+               turn AS order_turn,
+               CASE WHEN kind = 'result' AND other IS NOT NULL AND k = 1 THEN 1 ELSE 0 END::INT AS order_depth,
+               CASE WHEN kind = 'call' THEN coalesce(length(text) > 0 AND turn >= 0, false) END AS valid,
+               CASE WHEN kind = 'call' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS arguments,
+               CASE WHEN kind = 'call' AND text = '' THEN '$.text: wrong length' END AS problem,
+               CASE WHEN kind = 'call' THEN '{"role":"user","tool_calls":[{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"ask"}]}'
+                    WHEN kind = 'result' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"' || call_id || '"}'
+                    ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS message
+        FROM linked""",
     "op9_exact_dedup": """
         WITH n AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
