@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import id_crc, only, small_batches
+from postwright.llm._common import id_crc, only, small_batches, staged
 
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -62,40 +62,32 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def select_terms(docs: list[np.ndarray], toxic: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms of five documents or more that depend most on the label (chi-square over 10.8: one in a thousand by chance)."""
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    ids, where = np.unique(flat, return_inverse=True)
-    n = len(docs)
-    both = np.bincount(where, minlength=len(ids)).astype(float)
-    hit = np.bincount(where, toxic[owner], minlength=len(ids)).astype(float) if len(flat) else both
-    pos = float(toxic.sum())
-    expected = both * pos / max(n, 1)
-    spread = expected * (1 - pos / max(n, 1)) * (1 - both / max(n, 1)) + 1e-9
-    chi = (hit - expected) ** 2 / spread
-    good = np.flatnonzero((both >= 5) & (chi > 10.8))
-    return np.sort(ids[good[np.lexsort((ids[good], -chi[good]))][:most]])
+def select_terms(rows: DataFrame, most: int = TERMS) -> np.ndarray:
+    """The terms of five documents or more that depend most on the label (chi-square over 10.8: one in a thousand by chance), sorted.
+
+    ``rows``: toxic, terms. Counted by term on the executors; ``most`` numbers come to the driver.
+    """
+    totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("both"), F.sum("toxic").alias("hit")).where("both >= 5")
+    expected = F.col("both") * F.col("pos") / F.col("n")
+    spread = expected * (1 - F.col("pos") / F.col("n")) * (1 - F.col("both") / F.col("n")) + 1e-9
+    chi = counts.join(F.broadcast(totals)).select("term", F.round((F.col("hit") - expected) * (F.col("hit") - expected) / spread, 6).alias("chi")).where("chi > 10.8")
+    return np.sort(np.array([r.term for r in chi.orderBy(F.desc("chi"), "term").limit(most).collect()], np.int64))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15,
+def fit(ids: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15,
         decay: float = 2e-4, batch: int = 64, seed: int = 7) -> FactorizationMachine:
-    """Adagrad on the weighted logistic loss; the same data give the same model. Without both classes the model has the prior alone."""
-    ids = select_terms(docs, toxic)
+    """Adagrad on the weighted logistic loss; the same data give the same model. ``rows``: places in ``ids`` of each document's terms; without terms the prior is all."""
     prior = float((weight * toxic).sum() + 0.5) / float(weight.sum() + 1)
     rng = np.random.default_rng(seed)
     bias = float(np.log(prior / (1 - prior)))
     w, v = np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), factors))
     if not len(ids):
         return FactorizationMachine(ids, bias, w, v)
-    rows = []
-    for d in docs:
-        at = np.minimum(np.searchsorted(ids, d), len(ids) - 1)
-        rows.append(at[ids[at] == d])
     weight = weight / weight.mean()
     sum_w, sum_v, sum_b = np.full(len(ids), 1e-6), np.full(v.shape, 1e-6), 1.0
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(rows))
         for start in range(0, len(order), batch):
             part = order[start : start + batch]
             sizes = np.array([len(rows[k]) for k in part])
@@ -124,8 +116,24 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, factors:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [terms(x) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "weight", "terms"])
+        found = [terms(x).astype(np.int32) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "terms"])
+
+
+def _places(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ids.value
+        for b in batches:
+            found = []
+            for d in b.column(2).to_pylist():
+                if len(known) and d:
+                    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+                    found.append(at[known[at] == d].astype(np.int32))
+                else:
+                    found.append([])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "places"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic",
@@ -147,20 +155,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [present.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     weight = F.when(F.col("toxic") == 1, n.get(1, 0) / max(1, min(n.get(1, 0), per_class))).otherwise(n.get(0, 0) / max(1, min(n.get(0, 0), per_class)))
     sample = picked[0].union(picked[1]).withColumn("weight", weight.cast("double"))
-    rows = (
+    rows = staged(
         d.join(F.broadcast(sample), "doc_id")  # 2 * per_class rows of three numbers at most
         .select("toxic", "weight", F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_terms, "toxic int, weight double, terms array<long>").toArrow()
+        .mapInArrow(_terms, "toxic int, weight double, terms array<int>"),
+        "toxic-sample",
     )
-    if not rows.num_rows:
-        return fit([], np.zeros(0), np.zeros(0))
-    lists = rows.column("terms").combine_chunks()
-    cuts = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy()
-    docs_ = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    toxic, weights = rows.column("toxic").to_numpy().astype(float), rows.column("weight").to_numpy()
-    order = sorted(range(len(docs_)), key=lambda k: (toxic[k], len(docs_[k]), docs_[k].tobytes()))  # whatever order rows came in
-    return fit([docs_[k] for k in order], toxic[order], weights[order])
+    ids = select_terms(rows)
+    known_terms = docs.sparkSession.sparkContext.broadcast(ids)
+    found = rows.mapInArrow(_places(known_terms), "toxic int, weight double, places array<int>").toArrow()
+    lists = found.column("places").to_pylist()
+    toxic, weights = found.column("toxic").to_numpy().astype(float), found.column("weight").to_numpy()
+    order = sorted(range(len(lists)), key=lambda k: (toxic[k], lists[k]))  # whatever order rows came in
+    return fit(ids, [np.array(lists[k], np.int64) for k in order], toxic[order], weights[order])
 
 
 class Scorer:
