@@ -1,10 +1,13 @@
 """Whole queries: operators put together over the driver's tables, each beside the SQL that gives the same rows."""
 
-from postwright.plans import text_queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from postwright.plans import retrieval_queries, study_queries, text_queries  # noqa: F401
 from postwright.plans.registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["vocabulary_table"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the documents for the benchmark's items, ten passages each."""
+    return QUERIES["bm25_top10"](spark, sf_dir)

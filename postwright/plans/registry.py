@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postwright.plans.world import World
 
-#: Decimals that results are compared at: sums come in any order.
+#: Decimals that results are compared at: sums come in any order. Adding zero makes a negative zero plain.
 DIGITS = 6
 
 
@@ -24,12 +24,12 @@ class Query:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.run(World(spark, sf_dir))
-        return out.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) for c in self.doubles}) if self.doubles else out
+        return out.withColumns({c: (F.round(F.col(c).cast("double"), DIGITS) + 0.0) for c in self.doubles}) if self.doubles else out
 
     def oracle(self) -> str | None:
         if self.sql is None or not self.doubles:
             return self.sql
-        rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0::DOUBLE AS {c}" for c in self.doubles)
         return f"SELECT * REPLACE ({rounded}) FROM ({self.sql})"
 
 

@@ -19,12 +19,12 @@ def collection_contiguity(w: World) -> DataFrame:
 
 @query("S2", f"WITH {QRELS} SELECT pid, length(text) AS n_chars FROM qrels JOIN documents ON doc_id = pid")
 def passage_lookup(w: World) -> DataFrame:
-    return collections.lookup(w.passages, w.qrels.select("pid")).select("pid", F.length("text").alias("n_chars"))
+    return collections.lookup(w.passages, w.qrels.select("pid")).select("pid", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("S3 F1", "SELECT item_id AS qid, length(trim(text)) AS n_chars, item_id AS ord FROM benchmark")
 def query_scan(w: World) -> DataFrame:
-    return w.queries.select("qid", F.length(F.trim("text")).alias("n_chars"), F.col("qid").alias("ord"))
+    return w.queries.select("qid", F.length(F.trim("text")).cast("long").alias("n_chars"), F.col("qid").alias("ord"))
 
 
 @query("S4 J8 P11", f"WITH {QRELS} SELECT qid, count(*) AS n, min(pid) AS first, max(pid) AS last FROM qrels GROUP BY qid")
@@ -93,7 +93,7 @@ def title_case_bigrams(w: World) -> DataFrame:
     return tokens.title_case_bigrams(w.passages, vocabulary.STOP_WORDS).distinct().groupBy("phrase").agg(F.count("*").alias("df"))
 
 
-@query("P13", f"WITH {TOKENS} SELECT word, sum(pos) AS total_pos FROM (SELECT pid, word, min(pos) AS pos FROM tok GROUP BY pid, word) GROUP BY word")
+@query("P13", f"WITH {TOKENS} SELECT word, CAST(sum(pos) AS BIGINT) AS total_pos FROM (SELECT pid, word, min(pos) AS pos FROM tok GROUP BY pid, word) GROUP BY word")
 def first_occurrence(w: World) -> DataFrame:
     return tokens.first_occurrence(w.toks).groupBy("word").agg(F.sum("pos").alias("total_pos"))
 
@@ -233,7 +233,7 @@ def extended_vocabulary(w: World) -> DataFrame:
 @query("W10", f"""WITH {TOKENS}, x AS (SELECT pid, pos, length(word) AS l FROM tok),
   y AS (SELECT pid, pos, l, CASE WHEN lag(l) OVER (PARTITION BY pid ORDER BY pos) <> l THEN 1 ELSE 0 END AS new FROM x),
   z AS (SELECT pid, l, sum(new) OVER (PARTITION BY pid ORDER BY pos) AS g FROM y)
-  SELECT pid, max(g) + 1 AS n_islands, max(c) AS longest FROM (SELECT pid, g, count(*) AS c FROM z GROUP BY pid, g) GROUP BY pid""")
+  SELECT pid, CAST(max(g) + 1 AS BIGINT) AS n_islands, max(c) AS longest FROM (SELECT pid, g, count(*) AS c FROM z GROUP BY pid, g) GROUP BY pid""")
 def islands(w: World) -> DataFrame:
     i = tokens.islands(w.toks.withColumn("l", F.length("word")), "pid", "pos", "l")
     return i.groupBy("pid", "island").agg(F.count("*").alias("c")).groupBy("pid").agg((F.max("island") + 1).alias("n_islands"), F.max("c").alias("longest"))
@@ -278,7 +278,7 @@ def indicators(w: World) -> DataFrame:
     return w.spark.createDataFrame(SENSES, "word string, sense string, term string")
 
 
-@query("J11 S19 F15", f"WITH {LABELLED} SELECT word, sense, count(*) AS n, sum(pid) AS pids FROM labelled GROUP BY word, sense")
+@query("J11 S19 F15", f"WITH {LABELLED} SELECT word, sense, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pids FROM labelled GROUP BY word, sense")
 def sense_labels(w: World) -> DataFrame:
     return tokens.co_occurrence_label(w.passages, indicators(w)).groupBy("word", "sense").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
 
