@@ -89,7 +89,8 @@ class Vocabulary:
         n = min(MODEL_WORDS, len(self.words))
         mass = np.sqrt(self.counts[:n].astype(float))
         share = (np.cumsum(mass) - mass / 2) / max(mass.sum(), 1e-9)
-        self.classes = np.minimum((share * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
+        spread = np.minimum((share * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
+        self.classes = np.unique(spread, return_inverse=True)[1].astype(np.int64)  # a very frequent word may span several: number on without gaps
         self.rest_tokens = self.tokens - int(self.counts[:n].sum())
         self.rest_types = self.types - n
 
@@ -291,7 +292,7 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     per_class = np.bincount(vocab.classes, vocab.counts[: vocab.n_model], minlength=CLASSES) if vocab.n_model else np.zeros(CLASSES)
     per_class[CLASSES - 1] += rest_norm(vocab)
-    bias[:] = np.log((per_class + 1) / (per_class + 1).sum())
+    bias[:] = np.where(per_class > 0, np.log((per_class + 1) / (per_class + 1).sum()), -1e4)  # classes without words get no probability, ever
     pairs = np.zeros((BUCKETS, max(1, vocab.n_model)))
     vocab_b = spark.sparkContext.broadcast(vocab)
     for shard in range(ROUNDS):

@@ -78,7 +78,7 @@ def select_terms(rows: DataFrame, most: int = TERMS) -> np.ndarray:
 def fit(ids: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15,
         decay: float = 2e-4, batch: int = 64, seed: int = 7) -> FactorizationMachine:
     """Adagrad on the weighted logistic loss; the same data give the same model. ``rows``: places in ``ids`` of each document's terms; without terms the prior is all."""
-    prior = float((weight * toxic).sum() + 0.5) / float(weight.sum() + 1)
+    prior = float((weight * toxic).sum() + 0.5) / float(weight.sum() + 2)
     rng = np.random.default_rng(seed)
     bias = float(np.log(prior / (1 - prior)))
     w, v = np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), factors))
