@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def relu(x: Column) -> Column:
@@ -33,7 +34,7 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(default))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gelu(x: pd.Series) -> pd.Series:
     """x * Phi(x); Spark has no error function."""
     return x.map(lambda v: v * 0.5 * (1 + math.erf(v / math.sqrt(2))) if v is not None else None).astype(float)
