@@ -460,3 +460,73 @@ def probe_plan(w: World) -> DataFrame:
     drawn = w.vocab.where("NOT is_stop").withColumn("h", sample_key("probe", "word"))
     return top_k(drawn, ["decile"], [F.col("h"), F.col("word")], 12).select("entry_id", "decile")
 
+
+
+# --- joins by key, controls, refreshes, stored results ---
+
+
+@query("J1 M11", f"WITH {VOCAB}, p AS (SELECT DISTINCT entry_id, pid FROM tok JOIN vocab USING (word)), s AS (SELECT entry_id, pid FROM p QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY md5('occ|' || entry_id || '|' || pid), pid) <= 20), u AS (SELECT entry_id, pid, pos FROM tok JOIN vocab USING (word)) SELECT entry_id, pid, count(*) AS n, max(pos) AS last_pos FROM u SEMI JOIN s USING (entry_id, pid) GROUP BY entry_id, pid")
+def sampled_occurrences(w: World) -> DataFrame:
+    """Units of the sampled (entry, passage) pairs, by the pair as key."""
+    u = w.toks.join(w.vocab.select("word", "entry_id"), "word")
+    s = vocabulary.occurrence_sample(u.select("entry_id", "pid"), most=20)
+    return u.join(s, ["entry_id", "pid"], "left_semi").groupBy("entry_id", "pid").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"))
+
+
+@query("J2", f"WITH {VOCAB}, qtok AS (SELECT item_id AS qid, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS word FROM benchmark) SELECT qid, entry_id, count(*) AS n FROM qtok JOIN vocab USING (word) GROUP BY qid, entry_id")
+def query_entries(w: World) -> DataFrame:
+    q = w.query_toks.withColumnRenamed("pid", "qid")
+    return q.join(w.vocab.select("word", "entry_id"), "word").groupBy("qid", "entry_id").agg(F.count("*").alias("n"))
+
+
+@query("F8 F9", "SELECT vec_id, list_sum(e) / sqrt(list_dot_product(e, e)) AS total FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "total")
+def identity_head(w: World) -> DataFrame:
+    """A head whose second matrix is zero, as at the start of training."""
+    import numpy as np
+
+    h = geometry.head(w.states.select("vec_id", "state"), np.ones((8, 64)), np.zeros((64, 8)), "state")
+    return h.select("vec_id", F.aggregate("state", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("O11 G8", None, "norm")
+def random_control(w: World) -> DataFrame:
+    """As many directions without meaning as there are held-out entries."""
+    r = geometry.random_unit_vectors(w.held, 64)
+    return r.select("entry_id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@query("S11 S16 B9", f"WITH {RUN} SELECT qid, pid, rank FROM run WHERE rank <= 100")
+def stored_run(w: World) -> DataFrame:
+    """The run written under the fingerprint of its settings, and read back."""
+    from postwright.sources import staging
+
+    folder = f"{staging.shared_dir(w.spark)}/postwright/runs"
+    settings = {"data": w.sf_dir, "k": 100, "app": w.spark.sparkContext.applicationId}
+    run = staging.cached_result(w.spark, folder, settings, lambda: w.run.select("qid", "rank", "pid", "score"))
+    return run.select("qid", "pid", F.col("rank").cast("long").alias("rank"))
+
+
+@query("B3 J4 S13", f"WITH {STORES}, s AS (SELECT qid, pid, round(sum(ln(1 + q.weight) * ln(1 + d.weight)), 8) AS score FROM qpost q JOIN docs d USING (entry_id) GROUP BY qid, pid) SELECT qid, pid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= 50")
+def impact_search(w: World) -> DataFrame:
+    """Log-saturated weights on both sides, as an impact index stores them."""
+    q, d = (x.withColumn("weight", F.log1p("weight")) for x in (w.query_postings, w.docs))
+    return search.search(q, d, 50).select("qid", "pid", "score")
+
+
+@query("B8 G19", f"WITH {STORES}, c AS (SELECT * FROM (SELECT pid, entry_id, round(sim - {TAU_D}, 8) AS weight, row_number() OVER (PARTITION BY pid ORDER BY round(sim - {TAU_D}, 8) DESC, entry_id) AS r FROM dprof) WHERE r <= 512), s AS (SELECT qid, pid, round(sum(q.weight * c.weight), 8) AS score FROM qpost q JOIN c USING (entry_id) GROUP BY qid, pid) SELECT qid, pid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= 20")
+def full_store_search(w: World) -> DataFrame:
+    """The wide store, 512 entries a passage."""
+    return search.search(w.query_postings, postings.sparsify(w.doc_profile, TAU_D, 512), 20).select("qid", "pid", "score")
+
+
+@query("X6 G24", f"WITH {STATS}, d AS (SELECT decile, quantile_disc(tail, 0.5) FILTER (NOT held) AS t FROM st GROUP BY decile) SELECT entry_id, coalesce(t, (SELECT quantile_disc(tail, 0.5) FROM st WHERE NOT held)) - tail AS shift FROM st JOIN d USING (decile)", "shift")
+def normalisation_refresh(w: World) -> DataFrame:
+    """Shifts of all entries towards their decile's seen tail, as a batch job."""
+    s = entry_stats(w)
+    return s.join(diagnostics.decile_target(s, "tail", lower=True), "decile").select("entry_id", (F.col("target") - F.col("tail")).alias("shift"))
+
+
+@query("B14 S20", f"WITH {RUN}, {QRELS}, m AS ({metrics_sql()}), a AS (SELECT avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM m) SELECT 'sparse' AS system, printf('%.4f', mrr) AS mrr, printf('%.4f', ndcg) AS ndcg FROM a")
+def report_rows(w: World) -> DataFrame:
+    m = metrics.mean_metrics(metrics.per_query(w.run, w.qrels))
+    return m.select(F.lit("sparse").alias("system"), F.format_string("%.4f", "mrr").alias("mrr"), F.format_string("%.4f", "ndcg").alias("ndcg"))
