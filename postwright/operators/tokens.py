@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwright.functions import text as T
+from postwright.operators.ordering import small
 
 
 def tokens(passages: DataFrame, unicode: bool = False, most: int | None = None) -> DataFrame:
@@ -85,19 +86,13 @@ def stride(rows: DataFrame, key: str, step: int) -> DataFrame:
 
 def contains_phrase(passages: DataFrame, phrases: DataFrame, at_most: int = 100_000) -> DataFrame:
     """(pid, phrase) where the lower-cased text holds the phrase anywhere (P11). ``phrases`` is a query set; its size is checked before it is sent along."""
-    n = phrases.limit(at_most + 1).count()
-    if n > at_most:
-        raise ValueError(f"more than {at_most} phrases: search in blocks")
-    return passages.select("pid", F.lower("text").alias("text")).join(F.broadcast(phrases.select("phrase")), F.expr("contains(text, phrase)")).select("pid", "phrase")
+    return passages.select("pid", F.lower("text").alias("text")).join(small(phrases.select("phrase"), at_most), F.expr("contains(text, phrase)")).select("pid", "phrase")
 
 
 def co_occurrence_label(passages: DataFrame, indicators: DataFrame) -> DataFrame:
     """(pid, word, sense): passages with an indicator of just one of a word's two senses, and the word itself (J11). ``indicators``: word, sense, term."""
     words = distinct_words(passages)
-    has = words.join(F.broadcast(indicators.select("word", "sense", F.col("term"))), words.word == indicators.term).select("pid", indicators.word.alias("w"), "sense")
+    has = words.join(small(indicators.select("word", "sense", "term")), words.word == indicators.term).select("pid", indicators.word.alias("w"), "sense")
     senses = has.groupBy("pid", "w").agg(F.min("sense").alias("lo"), F.max("sense").alias("hi")).where("lo = hi")
     return senses.join(words.withColumnRenamed("word", "w"), ["pid", "w"], "left_semi").select("pid", F.col("w").alias("word"), F.col("lo").alias("sense"))
 
-
-def prompt_length(prompt: str) -> Column:
-    return F.lit(len(prompt))

@@ -64,12 +64,12 @@ def vector_functions(w: World) -> DataFrame:
     return w.states.join(F.broadcast(first)).select("vec_id", vectors.norm("state").alias("norm"), vectors.cosine("state", "f").alias("cosine"))
 
 
-@query("J5 A7", f"WITH {ENTRIES} SELECT entry_id, count(*) AS n, sum(sim) AS total, max(sim) AS most FROM sims GROUP BY entry_id", "total most")
+@query("J5 A7", f"WITH {ENTRIES} SELECT entry_id, count(*) AS n, sum(sim) AS total, max(sim) AS most FROM sims GROUP BY entry_id", "total most", 9)
 def similarity_profile(w: World) -> DataFrame:
     return w.all_sims.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum("sim").alias("total"), F.max("sim").alias("most"))
 
 
-@query("A6 P7", f"WITH {DOCS} SELECT pid, count(*) AS n, sum(sim) AS total FROM dprof GROUP BY pid", "total")
+@query("A6 P7", f"WITH {DOCS} SELECT pid, count(*) AS n, sum(sim) AS total FROM dprof GROUP BY pid", "total", 9)
 def max_pooled(w: World) -> DataFrame:
     return w.doc_profile.where(F.col("sim") > TAU_D).groupBy("pid").agg(F.count("*").alias("n"), F.sum("sim").alias("total"))
 
@@ -84,7 +84,7 @@ def query_postings(w: World) -> DataFrame:
     return ranks(w.query_postings).select("qid", "entry_id", "weight", "rank")
 
 
-@query("P8", f"WITH {DOCS} SELECT pid, sum(round(ln(1 + sim - {TAU_D}), 8)) AS total FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(ln(1 + sim - {TAU_D}), 8) DESC, entry_id) AS r FROM dprof) WHERE r <= {K_D} GROUP BY pid", "total")
+@query("P8", f"WITH {DOCS} SELECT pid, sum(round(ln(1 + sim - {TAU_D}), 8)) AS total FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(ln(1 + sim - {TAU_D}), 8) DESC, entry_id) AS r FROM dprof) WHERE r <= {K_D} GROUP BY pid", "total", 9)
 def saturated_postings(w: World) -> DataFrame:
     return postings.sparsify(w.doc_profile, TAU_D, K_D, saturation="log1p").groupBy("pid").agg(F.sum("weight").alias("total"))
 
@@ -248,7 +248,7 @@ def variants(w: World) -> DataFrame:
     return out
 
 
-@query("B10 P9 P10", f"WITH {VARIANTS} SELECT variant, qid, count(*) AS n, sum(score) AS total, max(score) AS best FROM vrun GROUP BY variant, qid", "total best")
+@query("B10 P9 P10", f"WITH {VARIANTS} SELECT variant, qid, count(*) AS n, sum(score) AS total, max(score) AS best FROM vrun GROUP BY variant, qid", "total best", 9)
 def held_out_variants(w: World) -> DataFrame:
     return variants(w).groupBy("variant", "qid").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"))
 

@@ -316,7 +316,7 @@ def calibrate_frequency(w: World) -> DataFrame:
     """Twelve steps towards the seen entries' median frequency; tested against a plain loop."""
     t = diagnostics.decile_target(df_stats(w), "df")
     targets = df_stats(w).where("held").join(t, "decile").select("entry_id", "target")
-    return insertion.shift_to_frequency(w.doc_profile, targets, TAU_D)
+    return insertion.shift_to_frequency(w.profile(w.toks, 0.2), targets, TAU_D)
 
 
 # --- geometry ---

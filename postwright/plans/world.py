@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwright.operators import encoder, postings, search, tokens, vocabulary
+from postwright.operators.ordering import small
 
 #: Least frequency of a vocabulary word, its size, sparsity targets, thresholds.
 FLOOR, MOST = 100, 30_000
@@ -39,7 +40,7 @@ class World:
     def qrels(self) -> DataFrame:
         """A passage is relevant to a query whose first 80 characters it holds."""
         heads = self.queries.select("qid", F.substring("text", 1, 80).alias("head"))
-        return self.passages.join(F.broadcast(heads), F.expr("contains(text, head)")).select("qid", "pid")
+        return self.passages.join(small(heads), F.expr("contains(text, head)")).select("qid", "pid")
 
     @cached_property
     def toks(self) -> DataFrame:
@@ -81,12 +82,13 @@ class World:
     def all_sims(self) -> DataFrame:
         return postings.similarities(self.states, self.entries, DIM)
 
-    def profile(self, toks: DataFrame) -> DataFrame:
-        return postings.max_pool(self.encoder.units(toks), self.sims)
+    def profile(self, toks: DataFrame, over: float) -> DataFrame:
+        """The largest similarities over a threshold: what is below it goes before the join."""
+        return postings.max_pool(self.encoder.units(toks), self.sims.where(F.col("sim") > over))
 
     @cached_property
     def doc_profile(self) -> DataFrame:
-        return self.profile(self.toks)
+        return self.profile(self.toks, TAU_D)
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -94,7 +96,7 @@ class World:
 
     @cached_property
     def query_postings(self) -> DataFrame:
-        return postings.sparsify(self.profile(self.query_toks), TAU_Q, K_Q).withColumnRenamed("pid", "qid").persist()
+        return postings.sparsify(self.profile(self.query_toks, TAU_Q), TAU_Q, K_Q).withColumnRenamed("pid", "qid").persist()
 
     @cached_property
     def held(self) -> DataFrame:
