@@ -40,7 +40,9 @@ ROWS = 1 << 15
 FEATURES = 4
 ROUNDS = 2
 #: Feature rows in a block of weights; blocks are what partitions send to be averaged.
-BLOCK = 512
+BLOCK = 32
+#: Buckets of the word before in a block of pair counts.
+PAIR_BLOCK = 1
 #: Words a task counts before it hands the counts on.
 COUNTED = 400_000
 BATCH = 8192
@@ -240,9 +242,9 @@ def _train(vocab_b, model_b):
             if used[rows].any():
                 change = np.column_stack([(weights[rows] - start[rows]) * used[rows, None], used[rows]])
                 kinds.append(0), blocks.append(k), data.append(change.astype("<f4").tobytes())
-        for k in range(0, BUCKETS, 8):
-            if pairs[k : k + 8].any():
-                kinds.append(1), blocks.append(k), data.append(pairs[k : k + 8].astype("<f4").tobytes())
+        for k in range(0, BUCKETS, PAIR_BLOCK):
+            if pairs[k : k + PAIR_BLOCK].any():
+                kinds.append(1), blocks.append(k), data.append(pairs[k : k + PAIR_BLOCK].astype("<f4").tobytes())
         kinds.append(2), blocks.append(0), data.append(np.append((bias - model_b.value[1]) * n_tokens, n_tokens).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
 
@@ -305,7 +307,7 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
                 x = x.reshape(BLOCK, CLASSES + 1)
                 weights[r.block * BLOCK : (r.block + 1) * BLOCK] += x[:, :-1] / np.maximum(x[:, -1:], 1)
             elif r.kind == 1:
-                pairs[r.block : r.block + 8] += x.reshape(8, -1)
+                pairs[r.block : r.block + PAIR_BLOCK] += x.reshape(PAIR_BLOCK, -1)
             else:
                 bias += x[:-1] / max(float(x[-1]), 1.0)
     by_bucket = word_factor(pairs, vocab.counts[: vocab.n_model], vocab.classes) if vocab.n_model else np.zeros((BUCKETS, 1), np.float32)
