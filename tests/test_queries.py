@@ -10,10 +10,9 @@ from postwright.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
-SHOWN = """qrels_sets title_case_bigrams document_frequency vocabulary_table corpus_splits occurrence_sample extended_vocabulary islands units_from_pieces interval_overlap
-sense_labels prefix_offsets bm25_top10 bm25_metrics hard_negatives document_postings sparse_search search_grid candidate_rescoring dense_search held_out_variants two_stores
-store_evictions bootstrap_interval paired_bootstrap label_auc label_wasserstein hubness activation_gap lift_and_harm probe_metrics grouped_summary gate_dfdrop gate_fallback
-calibrate_z calibrate_tail mean_and_covariance held_clusters info_nce five_way_verdict""".split()
+SHOWN = """qrels_sets title_case_bigrams vocabulary_table corpus_splits occurrence_sample extended_vocabulary units_from_pieces interval_overlap sense_labels prefix_offsets
+bm25_metrics hard_negatives document_postings sparse_search search_grid dense_search store_evictions bootstrap_interval label_auc label_wasserstein hubness lift_and_harm
+probe_metrics grouped_summary gate_dfdrop calibrate_z mean_and_covariance held_clusters five_way_verdict""".split()
 
 
 @pytest.fixture(scope="module")
