@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwright.sources.staging import shared_dir, staged  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -40,28 +41,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    key = "spark.checkpoint.dir"
-    found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="postwright-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/postwright/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing will read again."""
     spark = df.sparkSession
@@ -76,3 +59,15 @@ def discard(df: DataFrame) -> None:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named input columns under the given names, so that no other column can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+#: Ids that may be sent to all executors at once (8 bytes each, about 64 MB as a hash table).
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``dropped`` (one column ``id``). Few ids are sent to where the texts are; more than that are joined by shuffle."""
+    ids = staged(dropped.select(F.col("id").alias("__dropped")).where("__dropped IS NOT NULL").distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")

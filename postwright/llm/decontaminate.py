@@ -18,10 +18,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from postwright.llm._common import only, small_batches
 
@@ -230,7 +232,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark item; every column stays."""
-    hit = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`") == F.col("__hit"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text",
+                      item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without those that hold a benchmark item; every column stays. Each row is judged where it is: no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    for block in benchmark_blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block), similarity, radius)(F.col(f"`{text_col}`").cast("binary")))
+    return docs
+
+
+def _clean(items, similarity: float, radius: int):
+    @F.pandas_udf(BooleanType())
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bench = Benchmark(items.value, similarity, radius)
+        for t in texts:
+            yield t.map(lambda x: not bench.search(x)).astype(bool)
+
+    return clean

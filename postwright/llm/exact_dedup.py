@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import ascii_lower, only, staged
+from postwright.llm._common import ascii_lower, only, staged, without_ids
 
 #: A chunk ends after a character pair that comes about every hundred characters of prose.
 BREAK = r"(?<=[^a-z][a-z][^a-z])"
@@ -100,5 +100,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that another row replaces; every column stays. Needs distinct ids to keep one row a group."""
-    dropped = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+    dropped = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("id"))
+    return without_ids(docs, id_col, dropped)

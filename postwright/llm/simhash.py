@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import only, small_batches, staged
+from postwright.llm._common import only, small_batches, staged, without_ids
 from postwright.llm.components import connected_components
 
 SEED = 42
@@ -255,5 +255,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; every column stays."""
-    dropped = near_duplicates(docs, id_col, text_col, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+    dropped = near_duplicates(docs, id_col, text_col, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    return without_ids(docs, id_col, dropped)

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from postwright.llm._common import id_crc, only, small_batches, staged
 
@@ -224,6 +226,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; every column stays."""
-    bad = score(docs, train(docs, labels, id_col, text_col), id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")
+    """``docs`` without those predicted toxic; every column stays. Each row is judged where it is: no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf(BooleanType())
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        s = Scorer(model.value)
+        for t in texts:
+            yield t.map(lambda x: s.score(x) < 0.5).astype(bool)
+
+    return docs.where(clean(F.col(f"`{text_col}`").cast("binary")))
