@@ -88,7 +88,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     recipes = staged(chunk_recipes(docs, id_col, text_col, id_bits, smallest, largest), "recipes")
     rows = _verified(recipes).withColumn("key", F.xxhash64("recipe"))
-    groups = rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join's two sides are plain shuffles and a hot group's rows can be split among tasks.
+    groups = staged(rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["key", "recipe"]).select(
         "doc_id",
         "keep_id",
