@@ -171,6 +171,7 @@ def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | Non
         keys = keys.join(cyclic.withColumn("cyclic", F.lit(True)), ["conv_id", "call_id"], "left")
     else:
         keys = keys.withColumn("cyclic", F.lit(None).cast("boolean"))
+    keys = staged(keys, "halves")  # so that rows of a hot identifier can be split among tasks
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own = (is_call & (F.col("row") == F.col("call_row"))) | (is_result & (F.col("row") == F.col("result_row")))
     links = half.select("conv_id", "call_id", "kind", "row", "turn").join(keys, ["conv_id", "call_id"]).select(
