@@ -44,7 +44,7 @@ BLOCK = 32
 #: Buckets of the word before in a block of pair counts.
 PAIR_BLOCK = 1
 #: Words a task counts before it hands the counts on.
-COUNTED = 400_000
+COUNTED = 250_000
 BATCH = 8192
 RATE = 0.3
 
@@ -228,7 +228,7 @@ def _train(vocab_b, model_b):
             for text in b.column(0).to_pylist():
                 held.append(reader.ids(words_of(text)))
                 size += len(held[-1])
-                if size >= 16 * BATCH:
+                if size >= 4 * BATCH:
                     learn()
                     size = 0
         if held:
@@ -284,12 +284,27 @@ def word_factor(pairs: np.ndarray, counts: np.ndarray, classes: np.ndarray, step
     return log_p().astype(np.float32)
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, ``most`` at most, of all that are short enough to be sent along.
+
+    Frequencies fall into steps of a hundredth (4,096 at most, whole numbers at the low end); the words over
+    the lowest step that still fits are taken where they are, so no task sorts the vocabulary.
+    """
+    short = counts.where(F.length("word") <= LONGEST).withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 64))
+    total, lowest = 0, None
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step):
+        total += r.k
+        if total > most:
+            break
+        lowest = r.step
+    return short.where(F.col("step") >= lowest if lowest is not None else F.lit(False)).select("word", "n")
+
+
 def fit(texts: DataFrame, counts: DataFrame) -> Model:
     """``texts``: training texts with columns shard (0 to ROUNDS - 1) and text; ``counts``: their word counts."""
     spark = texts.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # A bounded list, whatever the vocabulary's size.
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
+    top = frequent(counts, LISTED).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     vocab = Vocabulary([bytes(w) for w in top.column("word").to_pylist()], top.column("n").to_numpy(), int(total[0]), int(total[1]))
     weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     per_class = np.bincount(vocab.classes, vocab.counts[: vocab.n_model], minlength=CLASSES) if vocab.n_model else np.zeros(CLASSES)
@@ -341,7 +356,7 @@ def _score(model_b):
             found: list[float] = []
             held: list[np.ndarray] = []
             for d in [*docs, None]:
-                if held and (d is None or sum(map(len, held)) > 16 * BATCH):
+                if held and (d is None or sum(map(len, held)) > 4 * BATCH):
                     found += model.log10(reader, held).tolist()
                     held = []
                 held += [d] if d is not None else []
