@@ -179,8 +179,13 @@ def _link_cells(radius: int, hot: int):
                 key, fp, rep = (np.concatenate(x) for x in zip(held[0], (key, fp, rep), strict=True))
             last = int(np.argmax((key == key[-1]).all(axis=1)))  # start of the last, perhaps unfinished, cell
             if last:
-                yield from whole_cells(key[:last], fp[:last], rep[:last])
-                n_hot = 0
+                end = 0
+                if n_hot:  # a hot cell ends here: its last rows are members like those before
+                    end = int(np.argmin((key == key[0]).all(axis=1)))
+                    yield out(1, fp[:end].view(np.int64), rep[:end])
+                    n_hot = 0
+                if end < last:
+                    yield from whole_cells(key[end:last], fp[end:last], rep[end:last])
             key, fp, rep = key[last:], fp[last:], rep[last:]
             if len(fp) > hot or n_hot:  # members of a hot cell pass through: memory stays bounded
                 yield out(1, fp[:-1].view(np.int64), rep[:-1])

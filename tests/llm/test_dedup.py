@@ -88,6 +88,28 @@ def test_links_lose_nothing(spark, hot):
     assert [found.get(i, i) for i in range(len(prints))] == brute_components(prints)
 
 
+@pytest.mark.parametrize("rows", ["2", "3"])
+def test_hot_cells_across_batches_lose_nothing(spark, rows):
+    """Pairs that differ in two axis groups share one grid only, whose cells here are hot and end inside a batch."""
+    rng = random.Random(7)
+    prints = set()
+    for _ in range(3):
+        base = rng.getrandbits(36)
+        for _ in range(20):
+            x = base | rng.getrandbits(28) << 36
+            prints |= {x, x ^ 1 << rng.randrange(36, 50) ^ 1 << rng.randrange(50, 64)}
+    prints = sorted(prints)
+    unique = spark.createDataFrame([(simhash.signed(p), i) for i, p in enumerate(prints)], "fp long, rep long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        found = {r.node: r.component for r in connected_components(simhash.near_links(unique, hot=6)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert [found.get(i, i) for i in range(len(prints))] == brute_components(prints)
+
+
 def test_lower_bound_and_exact_distance():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 1 << 63, (2, 500), dtype=np.uint64)
