@@ -1,6 +1,7 @@
 """Benchmark decontamination: find documents that hold a passage of a benchmark item.
 
-For an item of n words every window of n words of a document is a suspect. A window is worth
+For an item of n words every window of n words of a document is a suspect, and a document of fewer
+words is one as a whole. A window is worth
 a fingerprint only if it shares a shingle with the item, as any window of positive similarity does; so
 the document's shingles are looked up among the benchmark's first. Windows that remain get a
 weighted SimHash of their shingles; fingerprints within the radius of an item's are found
@@ -152,27 +153,33 @@ class Benchmark:
         out = []
         for k, hits in places.items():
             it = self.items[k]
-            # A similarity of s needs s of the item's shingles at least in the window (n of each): skip windows with fewer.
-            need = int(np.ceil(2 * it.n_shingles * self.similarity / (1 + self.similarity) - 1e-9))
-            if it.n_words > len(words) or len(hits) < need:
+            size = min(it.n_shingles, len(own))  # a document shorter than the item is one window
+            # A similarity of s needs s / (1 + s) of the shingles of item and window together: skip windows that share fewer.
+            need = int(np.ceil((it.n_shingles + size) * self.similarity / (1 + self.similarity) - 1e-9))
+            if len(hits) < need:
                 continue
             before = np.concatenate(([0], np.cumsum(np.bincount(hits, minlength=len(own)))))
-            inside = before[it.n_shingles :] - before[: len(own) + 1 - it.n_shingles]  # of each window
+            inside = before[size:] - before[: len(own) + 1 - size]  # of each window
             best = None
             for s in np.flatnonzero(inside >= need).tolist():
-                fp = prints.get((s, it.n_words))
-                if fp is None:
-                    h, n = np.unique(own[s : s + it.n_shingles], return_counts=True)
-                    fp = prints[s, it.n_words] = simhash(h, n)
-                near = any(k in self.index[it.n_words].get((b, int(fp) >> shift & mask), ()) for b, (shift, mask) in enumerate(self.blocks))
-                if near and int(np.bitwise_count(fp ^ it.fp)) <= self.radius:
-                    sim = weighted_similarity(it.counts, Counter(tuple(words[q : q + width]) for q in range(s, s + it.n_shingles)))
+                if size < it.n_shingles or self._near(prints, own, s, k):  # the one window of a short document needs no fingerprint
+                    sim = weighted_similarity(it.counts, Counter(tuple(words[q : q + width]) for q in range(s, s + size)))
                     if sim >= self.similarity and (best is None or sim > best[3]):
-                        best = (it.item_id, s, it.n_words, sim)
+                        best = (it.item_id, s, size + width - 1, sim)
             if best:
                 out.append(best)
         return out
 
+    def _near(self, prints, own, s, k):
+        """Whether the fingerprint of the window from shingle ``s`` on is within the radius of item ``k``'s."""
+        it = self.items[k]
+        fp = prints.get((s, it.n_words))
+        if fp is None:
+            h, n = np.unique(own[s : s + it.n_shingles], return_counts=True)
+            fp = prints[s, it.n_words] = simhash(h, n)
+        near = any(k in self.index[it.n_words].get((b, int(fp) >> shift & mask), ()) for b, (shift, mask) in enumerate(self.blocks))
+        return near and int(np.bitwise_count(fp ^ it.fp)) <= self.radius
+
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
     return (a & b).total() / (a | b).total()

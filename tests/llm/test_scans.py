@@ -105,6 +105,34 @@ def test_leaks_match_brute_force(spark, block_bytes):
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    """A document with fewer words than the item is compared whole."""
+    rng = random.Random(8)
+    long, mid = ([f"v{rng.randrange(500)}" for _ in range(n)] for n in (60, 36))
+    items = [(0, " ".join(long)), (1, " ".join(mid)), (2, "a b c d e f g h i"), (3, "a b c"), (4, "a a a a a a a a a a a a")]
+    texts = [long[:30] + long[31:], mid[:-5], mid[:-10], long[3:], long[:40], "a b c d e f g h".split(), "a b".split(), ["a"] * 11, ["a"] * 8, []]
+    for x in (long, mid):
+        for _ in range(40):
+            cut = list(x)
+            for _ in range(rng.randint(1, 4)):
+                del cut[rng.randrange(len(cut))]
+            texts.append(cut[: len(cut) - rng.randint(0, 4)])
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def similarity(text, item):
+        k = min(5, len(item))
+        a, b = (Counter(tuple(x[q : q + k]) for q in range(len(x) - k + 1)) for x in (text, item))
+        return decontaminate.weighted_similarity(a, b)
+
+    short = {(i, j): similarity(t, x.split()) for i, t in enumerate(texts) for j, x in items if len(t) < len(x.split())}
+    want = {k: s for k, s in short.items() if s >= 0.8} | {(i, j): s for i, t in docs for j, x in items if (i, j) not in short and (s := best_window(t, x)) >= 0.8}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == want and {(0, 0), (1, 1), (3, 0), (5, 2), (7, 4)} <= set(want) and len(want) > 10
+    assert all(r.n_words == min(len(texts[r.doc_id]), len(items[r.item_id][1].split())) for r in rows)
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     b = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None)], "item_id long, text string")
     assert Counter(r.doc_id for r in decontaminate.contaminated(odd_docs, b).collect()) == {1: 1, 2: 1, 8: 2}
