@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwright.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from postwright.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from postwright.llm._common import staged, table
 
 
@@ -23,7 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,12 @@ def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+
+
+def without_rows(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id (null included) and ``xxhash64`` of the text are in ``dropped`` (``id``, ``hash``); sent or shuffled as in ``without_ids``."""
+    rows = staged(dropped.select(F.col("id").alias("__dropped"), F.col("hash").alias("__hash")).distinct(), "dropped")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__dropped")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    return docs.join(rows, same, "left_anti")
