@@ -137,14 +137,14 @@ def _format(schemas: dict[str, dict]):
     return run
 
 
-def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | None = None, max_depth: int = 1000) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """One row per row of ``messages``: conv_id, turn, kind, call_id, linked_turn, status, order_turn, order_depth, valid, arguments, problem, message.
 
     ``messages``: conv_id, turn, kind (call, result, or anything else: plain), role, content, name, call_id, arguments.
     ``depends``: further (conv_id, call_id, on_call_id): a call that needs the result of another.
     status: ``linked``; ``duplicate`` (a call or result whose identifier an earlier one of its kind has; by turn,
     ties by content); ``orphan`` (a result without a call); ``pending`` (a call without a result); ``cycle``
-    (depends on itself); ``plain``. linked_turn is the turn of the other half, null for duplicates.
+    (depends on itself, or on a call that does); ``plain``. A chain of more than ``max_depth`` layers, if that is given, is an error. linked_turn is the turn of the other half, null for duplicates.
     Null identifiers link nothing (orphan or pending), null conversations link nothing either. Repeated rows
     are duplicates. Other columns are ignored; an empty table gives an empty result. Calls and results of one
     identifier are reduced to the first before they are joined, so a hot identifier multiplies nothing.
@@ -194,7 +194,7 @@ def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | Non
     )
 
 
-def _ordered(order: DataFrame, depends: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def _ordered(order: DataFrame, depends: DataFrame, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
     """Calls with the latest turn and the depth that they rest on, layer by layer, and the calls that rest on themselves."""
     edges = staged(
         depends.where("conv_id IS NOT NULL AND call_id IS NOT NULL AND on_call_id IS NOT NULL").distinct()
@@ -203,9 +203,8 @@ def _ordered(order: DataFrame, depends: DataFrame, max_depth: int) -> tuple[Data
         "depends",
     )
     left, done = edges, staged(order.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"), "ordered")
-    for _ in range(max_depth):
-        if left.isEmpty():
-            break
+    layers = 0
+    while not left.isEmpty():  # ends, as each layer but the last takes calls from those left
         # Calls all of whose needs are ordered come next.
         on = done.select("conv_id", F.col("call_id").alias("on_call_id"), F.greatest("at", "result_turn").alias("need_at"), F.col("depth").alias("need_depth"))
         layer = (
@@ -217,6 +216,9 @@ def _ordered(order: DataFrame, depends: DataFrame, max_depth: int) -> tuple[Data
         new = staged(new, "layer")
         if new.isEmpty():
             break
+        layers += 1
+        if max_depth is not None and layers > max_depth:
+            raise RuntimeError(f"calls depend on each other in more than {max_depth} layers")
         before, done = done, staged(done.union(new), "ordered")
         discard(before)
         left = staged(left.join(new.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "left")

@@ -1,3 +1,4 @@
+import inspect
 import json
 import math
 import random
@@ -125,6 +126,18 @@ def test_links_orders_and_validates(spark):
     assert tool_links.link(m.where("false"), SCHEMA, depends).count() == 0
 
 
+def test_deep_chains_are_no_cycles(spark):
+    """A limit on layers is an error, never a wrong status; without one all layers are ordered."""
+    calls = spark.createDataFrame([(1, k, "call", "assistant", None, "f", f"c{k}", '{"x": 1}') for k in range(6)], COLUMNS)
+    depends = spark.createDataFrame([(1, f"c{k + 1}", f"c{k}") for k in range(5)], "conv_id long, call_id string, on_call_id string")
+    with pytest.raises(RuntimeError, match="2 layers"):
+        tool_links.link(calls, SCHEMA, depends, max_depth=2)
+    for most in (5, None):
+        rows = tool_links.link(calls, SCHEMA, depends, max_depth=most).collect()
+        assert {r.turn: (r.status, r.order_depth) for r in rows} == {k: ("pending", 2 * k) for k in range(6)}
+    assert inspect.signature(tool_links.link).parameters["max_depth"].default is None
+
+
 @pytest.mark.parametrize(("value", "schema", "ok"), [
     (1, {"type": "integer"}, True), (1.5, {"type": "integer"}, False), (True, {"type": "number"}, False), ("a", {"enum": ["a", 1]}, True), ({"a": 1}, {"additionalProperties": False}, False),
     ([1, "x"], {"items": {"type": "integer"}}, False), ("ab", {"pattern": "^a", "maxLength": 2}, True), (5, {"maximum": 4}, False), ({}, {"required": ["k"]}, False), (None, {"type": "null"}, True), ([], {"minItems": 1}, False), ("x", {"const": "y"}, False)])
