@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import ascii_lower, only, staged, without_ids
+from postwright.llm._common import BROADCAST_IDS, ascii_lower, only, staged
 
 #: A chunk ends after a character pair that comes about every hundred characters of prose.
 BREAK = r"(?<=[^a-z][a-z][^a-z])"
@@ -100,6 +100,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that another row replaces; every column stays. Needs distinct ids to keep one row a group."""
-    dropped = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("id"))
-    return without_ids(docs, id_col, dropped)
+    """``docs`` with one row of each group of equal texts; every column stays.
+
+    Rows are dropped by id (null included) and text, so a repeated id costs no other text. Of rows that share the id
+    that stays as well as the text, or of a group without ids, any one stays.
+    """
+    rows = exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), "keep_id", "kept", F.col("text_sha256").alias("__sha"))
+    rows = staged(rows, "exact-rows")
+    replaced = staged(rows.where("NOT kept AND keep_id IS NOT NULL").select("__id", "__sha").distinct(), "dropped")
+    repeated = staged(rows.where("kept OR keep_id IS NULL").groupBy("__id", "__sha").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__sha"), "repeated")
+    named = docs.withColumn("__own", F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS // 8 else ids  # noqa: E731 - a digest is as large as eight ids
+    out = named.join(few(replaced), same, "left_anti")
+    if not repeated.isEmpty():
+        again = few(repeated)
+        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col, "__own"]))
+    return out.drop("__own")

@@ -42,6 +42,14 @@ def test_drop_exact(spark, no_docs):
     assert exact_dedup.exact_duplicates(no_docs).count() == 0
 
 
+def test_drop_exact_with_repeated_and_null_ids(spark):
+    rows = [(1, "copy"), (2, "COPY"), (1, "a text of its own"), (None, "copy"), (None, "none has an id"), (None, "None has an id"), (7, "twice"), (7, "twice"), (None, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS keep_id")
+    got = exact_dedup.drop_exact_duplicates(d)
+    assert got.columns == d.columns
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got.collect()) == [("1", "a text of its own"), ("2", "copy"), ("7", "twice"), ("None", "alone"), ("None", "none has an id")]
+
+
 def slow_fingerprint(text):
     words = lower(text).encode().split()
     grams = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or [b" ".join(words)] * bool(words)
