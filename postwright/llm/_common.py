@@ -12,8 +12,9 @@ from postwright.sources.staging import shared_dir, staged  # noqa: F401
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows of one Arrow batch sent to Python; keeps a batch of long texts small.
+#: Rows and bytes of one Arrow batch sent to Python, so that a batch of long texts stays small.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,10 @@ def id_crc(id_col: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; a smaller setting of the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound what one Arrow batch holds, for this session from here on (plans are lazy and read the setting when they run); a smaller setting of the user stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -56,27 +57,43 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Ids that may be sent to all executors at once (8 bytes each, about 64 MB as a hash table).
+BROADCAST_IDS = 1_000_000
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named input columns under the given names, so that no other column can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-#: Ids that may be sent to all executors at once (8 bytes each, about 64 MB as a hash table).
-BROADCAST_IDS = 1_000_000
-
-
-def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``dropped`` (one column ``id``). Few ids are sent to where the texts are; more than that are joined by shuffle."""
-    ids = staged(dropped.select(F.col("id").alias("__dropped")).where("__dropped IS NOT NULL").distinct(), "dropped")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+def sent_or_shuffled(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The side of a join, written and counted: few rows are sent to where the texts are, more than ``most`` are left to a shuffle join."""
+    rows = staged(rows, name)
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_IDS if most is None else most) else rows
 
 
 def without_rows(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id (null included) and ``xxhash64`` of the text are in ``dropped`` (``id``, ``hash``); sent or shuffled as in ``without_ids``."""
-    rows = staged(dropped.select(F.col("id").alias("__dropped"), F.col("hash").alias("__hash")).distinct(), "dropped")
-    if rows.count() <= BROADCAST_IDS:
-        rows = F.broadcast(rows)
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__dropped")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
-    return docs.join(rows, same, "left_anti")
+    """``docs`` without the rows whose id (null included) and ``xxhash64`` of the text are in ``dropped`` (``id``, ``hash``).
+
+    Rows are told apart by id and text, so a repeated id costs no other text. Columns of ``docs`` may have any names.
+    """
+    found = sent_or_shuffled(dropped.select("id", "hash").distinct(), "dropped")
+    return anti(docs, [(id_col, "id"), (F.xxhash64(F.col(f"`{text_col}`")), "hash")], found)
+
+
+def anti(docs: DataFrame, keys: list, found: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` joined by null-safe keys (a column's name or an expression of ``docs``, a name in ``found``); names that no column of ``docs`` has stand between."""
+    fresh = unused(docs, len(keys) * 2)
+    left, right = fresh[: len(keys)], fresh[len(keys) :]
+    own = docs.select("*", *[(F.col(f"`{k}`") if isinstance(k, str) else k).alias(n) for (k, _), n in zip(keys, left, strict=True)])
+    other = found.select(*[F.col(k).alias(n) for (_, k), n in zip(keys, right, strict=True)])
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return own.join(other, same, how).drop(*left)
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [c for k in range(n + len(taken)) if (c := f"own_{k}") not in taken][:n]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import BROADCAST_IDS, ascii_lower, only, staged
+from postwright.llm._common import BROADCAST_IDS, anti, ascii_lower, only, sent_or_shuffled, staged, unused
 
 #: A chunk ends after a character pair that comes about every hundred characters of prose.
 BREAK = r"(?<=[^a-z][a-z][^a-z])"
@@ -60,7 +60,8 @@ def _verified(recipes: DataFrame) -> DataFrame:
     )
     if ordinals.isEmpty():
         return plain
-    keyed = recipes.withColumn("row", F.xxhash64("doc_id", "text_sha256"))
+    own = F.col("doc_id").cast("string")
+    keyed = recipes.withColumn("row", F.concat(F.when(own.isNull(), "n").otherwise(F.concat(F.lit("v"), own)), F.lit("/"), "text_sha256"))
     hit = keyed.select("row", F.explode(F.array_distinct("ids")).alias("id")).join(ordinals, "id", "left_semi").select("row").distinct()
     fixed = (
         keyed.join(hit, "row", "left_semi").dropDuplicates(["row"])
@@ -105,15 +106,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are dropped by id (null included) and text, so a repeated id costs no other text. Of rows that share the id
     that stays as well as the text, or of a group without ids, any one stays.
     """
-    rows = exact_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), "keep_id", "kept", F.col("text_sha256").alias("__sha"))
-    rows = staged(rows, "exact-rows")
-    replaced = staged(rows.where("NOT kept AND keep_id IS NOT NULL").select("__id", "__sha").distinct(), "dropped")
-    repeated = staged(rows.where("kept OR keep_id IS NULL").groupBy("__id", "__sha").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__sha"), "repeated")
-    named = docs.withColumn("__own", F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS // 8 else ids  # noqa: E731 - a digest is as large as eight ids
-    out = named.join(few(replaced), same, "left_anti")
-    if not repeated.isEmpty():
-        again = few(repeated)
-        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col, "__own"]))
-    return out.drop("__own")
+    rows = staged(exact_duplicates(docs, id_col, text_col), "exact-rows")
+    key = ("doc_id", "text_sha256")
+    replaced = rows.where("NOT kept AND keep_id IS NOT NULL").select(*key).distinct()
+    repeated = rows.where("kept OR keep_id IS NULL").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    most = BROADCAST_IDS // 8  # a digest is as large as eight ids
+    digest = F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256)
+    same = [(id_col, "doc_id"), (digest, "text_sha256")]
+    out = anti(docs, same, sent_or_shuffled(replaced, "dropped", most))
+    if repeated.isEmpty():
+        return out
+    again, mark = sent_or_shuffled(repeated, "repeated", most), unused(docs, 1)[0]
+    one = anti(out, same, again, "left_semi").withColumn(mark, digest).dropDuplicates([id_col, mark]).drop(mark)
+    return anti(out, same, again).union(one)

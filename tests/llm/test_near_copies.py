@@ -64,4 +64,24 @@ def test_bands_of_pairs_at_the_threshold():
     rng = np.random.default_rng(2)
     for _ in range(2000):
         own = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
-        assert (near_copies.bands(own) == near_copies.bands(own[:80])).any()
+        assert (near_copies.bands(near_copies.least_hashes(own)) == near_copies.bands(near_copies.least_hashes(own[:80]))).any()
+
+
+def test_sketches_count_differing_values(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(50):
+        x, y = near_copies.least_hashes(a := rng.integers(0, 1 << 63, 60, dtype=np.uint64)), near_copies.least_hashes(np.concatenate([a[:50], rng.integers(0, 1 << 63, 10, dtype=np.uint64)]))
+        mixed = [(v * near_copies.MULTIPLIER) >> np.uint64(60) for v in (x, y)]
+        rows.append((near_copies.sketch(x).view(np.int64).tolist(), near_copies.sketch(y).view(np.int64).tolist(), int((mixed[0] != mixed[1]).sum())))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, n int").select("n", near_copies.differing("x", "y").alias("d")).collect()
+    assert all(r.n == r.d for r in got)
+
+
+def test_many_members_of_one_pivot(spark, monkeypatch):
+    """A group dealt to several tasks keeps every link."""
+    monkeypatch.setattr(near_copies, "SHARE", 3)
+    base = [f"w{k}" for k in range(100)]
+    docs = [(k, " ".join([*base[: k % 50], f"x{k}", *base[k % 50 + 1 :]])) for k in range(40)]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == brute_kept(docs)

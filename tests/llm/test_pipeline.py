@@ -1,7 +1,7 @@
 import corpus_pipeline
 import pytest
 
-from postwright.llm import _common, decontaminate, exact_dedup, packing, simhash, toxicity
+from postwright.llm import _common, decontaminate, exact_dedup, packing, toxicity
 from test_models import corpus
 
 
@@ -40,18 +40,31 @@ def test_stages_equal_their_operators(spark, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(toxicity.drop_toxic(docs, labels)) == ids(toxicity.toxicity(docs, labels).where("predicted = 0"))
     assert ids(exact_dedup.drop_exact_duplicates(docs)) == ids(exact_dedup.exact_duplicates(docs).where("kept"))
-    assert ids(simhash.drop_near_duplicates(docs)) == ids(simhash.near_duplicates(docs).where("doc_id = component_id"))
     hit = {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()}
     assert ids(decontaminate.drop_contaminated(docs, bench)) == [i for i in ids(docs) if i not in hit]
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_dropping_by_broadcast_or_shuffle(spark, monkeypatch, limit):
+def test_dropping_rows_by_broadcast_or_shuffle(spark, monkeypatch, limit):
     monkeypatch.setattr(_common, "BROADCAST_IDS", limit)
-    docs = spark.createDataFrame([(i, "x") for i in range(10)] + [(None, "y")], "doc_id long, text string")
-    dropped = spark.createDataFrame([(3,), (4,), (4,), (None,)], "id long")
-    assert sorted(r.doc_id for r in _common.without_ids(docs, "doc_id", dropped).where("doc_id IS NOT NULL").collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
-    assert _common.without_ids(docs, "doc_id", dropped).count() == 9
+    docs = spark.createDataFrame([(i, "x", "o") for i in range(10)] + [(None, "y", "o"), (None, None, "o"), (3, "z", "o")], "doc_id long, text string, own_0 string")
+    dropped = docs.where("doc_id IN (3, 4) AND text = 'x' OR doc_id IS NULL AND text = 'y'").selectExpr("doc_id AS id", "xxhash64(text) AS hash")
+    left = _common.without_rows(docs, "doc_id", "text", dropped.union(dropped))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.where("doc_id IS NOT NULL").collect()) == sorted([(i, "x") for i in (0, 1, 2, 5, 6, 7, 8, 9)] + [(3, "z")])
+    assert [r.text for r in left.where("doc_id IS NULL").collect()] == [None]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies])
+def test_dedup_stages_lose_no_unique_row(spark, stage):
+    """Repeated ids, null ids, repeated rows and clashing names: one row of each group of equal texts stays, and every text stays."""
+    same, other = "the same text in several rows of this table", "another text that nobody else has at all here"
+    rows = [(5, same), (9, same), (5, other), (7, "dup dup dup dup dup dup"), (7, "dup dup dup dup dup dup"), (None, "dup dup dup dup dup dup"), (None, "alone without an id among all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS own_0", "'x' AS __dropped", "'x' AS key", "'x' AS kept")
+    kept = stage(spark, docs, "").collect()
+    texts = sorted(r.text for r in kept)
+    assert set(texts) == {t for _, t in rows}
+    assert texts.count(same) == 1 and texts.count(other) == 1 and all(r.doc_id is not None for r in kept if r.text.startswith("dup"))
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
