@@ -74,10 +74,10 @@ def test_base_scores_are_exact(spark, odd_docs, monkeypatch, listed):
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "MODEL_WORDS", 20)
-    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(corpus(60)[0])], "shard long, text string").selectExpr("shard % 2 AS shard", "cast(text AS binary) AS text")
-    counts = maxent_lm.word_counts(d.select("text"))
-    m = maxent_lm.fit(d, counts)
-    reader = maxent_lm.Reader(m.vocab)
+    texts = [t.encode() for _, t in corpus(60)[0]]
+    counts = maxent_lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text binary"))
+    reader = maxent_lm.Reader(maxent_lm.vocabulary(counts))
+    m = maxent_lm.fit(spark.createDataFrame([(k % 2, reader.ids(maxent_lm.words_of(t)).tobytes()) for k, t in enumerate(texts)], "shard int, ids binary"), reader.vocab)
     every = [*range(m.vocab.n_model)]
     history = reader.ids([b"w1", b"nice"])[:2]
     p = [10 ** (m.log10(reader, [np.append(history, w)])[0] - m.log10(reader, [history])[0]) for w in [*every, m.vocab.n_model]]
@@ -97,6 +97,43 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
 
 
+def test_a_long_document_scores_as_a_whole(spark):
+    """Pieces keep their history: cutting a document changes nothing."""
+    text = [b"a", b"b", b"c", b"d", b"e"] * 5000
+    vocab = maxent_lm.Vocabulary([b"a", b"b", b"c", maxent_lm.END], np.array([9, 8, 7, 2]), 30, 6)
+    reader = maxent_lm.Reader(vocab)
+    rng = np.random.default_rng(5)
+    ids = reader.ids(text)
+    whole = reader.batch([(0, ids, 0)])
+    cut = [reader.batch(p) for p in maxent_lm.pieces_of([ids], 700)]
+    for k in range(4):
+        assert (np.concatenate([c[k] for c in cut]) == whole[k]).all()
+    values, n = rng.random((5000, 3)), rng.integers(1, 90, 100)
+    first = np.cumsum(n) - n
+    assert np.allclose(maxent_lm.sums_of_runs(values, first, n), np.add.reduceat(values[: n.sum()], first, axis=0))
+    rows = rng.integers(0, 1 << 20, 4000)
+    assert (maxent_lm.order_of(rows) == np.argsort(rows, kind="stable")).all()
+
+
+def test_a_step_is_the_gradient_of_the_loss():
+    """One step on one token moves each of its rows against the softmax gradient, scaled as Adagrad does."""
+    rng = np.random.default_rng(6)
+    w, bias = rng.normal(size=(10, maxent_lm.CLASSES)).astype(np.float32), np.zeros(maxent_lm.CLASSES, np.float32)
+    before, rows = w.copy(), np.array([[1, 3, 5, 7]])
+    z = before[[1, 3, 5, 7]].sum(axis=0)
+    grad = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    grad[2] -= 1
+    maxent_lm.step(w, bias, np.zeros(10, np.float32), np.zeros(10, np.float32), rows, np.array([2]))
+    want = -maxent_lm.RATE * grad / np.sqrt((grad * grad).mean() + 1e-3)
+    assert np.allclose((w - before)[[1, 3, 5, 7]], want, atol=1e-5) and (w == before).all(axis=1).sum() == 6
+
+
+def test_the_model_grows_with_the_corpus():
+    words = [str(k).encode() for k in range(20000)]
+    sizes = [(v.n_model, v.rows) for v in (maxent_lm.Vocabulary(words, np.full(20000, 9), t, 30000) for t in (1 << 20, 1 << 24, 1 << 27))]
+    assert sizes == [(4096, 32768), (4096, 32768), (8192, 65536)]
+
+
 def test_lm_of_empty_tables(spark, odd_docs, no_docs):
     assert maxent_lm.scores(no_docs).count() == 0
     only_held = odd_docs.where("doc_id IS NULL")
