@@ -1,22 +1,25 @@
 """Benchmark decontamination: find documents that hold a passage of a benchmark item.
 
 For an item of n words every window of n words of a document is a suspect, and a document of fewer
-words is one as a whole. A window is worth
-a fingerprint only if it shares a shingle with the item, as any window of positive similarity does; so
-the document's shingles are looked up among the benchmark's first. Windows that remain get a
-weighted SimHash of their shingles; fingerprints within the radius of an item's are found
-by multi-index blocks (radius + 1 blocks of bits, one of which must be equal), and
-candidates are verified by exact weighted-shingle similarity: the sum of least over the sum of
-largest shingle counts, 0.8 or more.
+words is one as a whole. Windows too few of whose shingles belong to the benchmark at all cannot be similar to any item of
+their size and are passed over, which loses nothing. All others get a SimHash of their shingles, repeats included, rolled along the
+document. A multi-index over the items' fingerprints, and nothing else, says which items a window may
+be: the 64 bits are cut into six blocks, and a block that differs in two bits or fewer is looked up among the
+items' blocks. Two fingerprints within 17 bits have such a block, as six blocks with three or more differing bits
+each make 18. Candidates within 17 bits are verified by exact weighted-shingle
+similarity: the sum of least over the sum of largest shingle counts, 0.8 or more.
 
 At a similarity of 0.8 the fingerprints of window and item differ in 9.2 of 64 bits on
-average, with a standard deviation of 2.8; the radius of 26 is six of those away.
+average, with a standard deviation of 2.8; the radius of 17 is 2.8 of those away, so that about one window in 400 at that very
+similarity is missed (the tests measure it), and fewer above it. Of random fingerprints a fifth share
+a block and one in 7,000 lies within the radius.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,11 @@ from postwright.llm._common import only, small_batches
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 26
+RADIUS = 17
+#: Bits in which a block that is looked up may differ.
+TOLERANCE = 2
+#: Windows that are fingerprinted at once.
+SPAN = 8192
 #: Bytes of benchmark text that may be broadcast at once; a larger benchmark is searched in blocks of items.
 BLOCK_BYTES = 8 << 20
 #: Bits of the table that says which shingle hashes may belong to the benchmark.
@@ -106,27 +113,70 @@ class Item:
         self.fp = simhash(h, n)
 
 
+class MultiIndex:
+    """Fingerprints by blocks of bits: all that lie within ``radius`` of a given one, by looking up blocks that differ in few bits."""
+
+    def __init__(self, fps: np.ndarray, radius: int, tolerance: int = TOLERANCE):
+        self.fps, self.radius = fps, radius
+        t = min(tolerance, radius)
+        self.blocks = blocks_of(64, -(-(radius + 1) // (t + 1)))
+        self.tables = []
+        for shift, mask in self.blocks:
+            bits = [np.uint64(1) << np.uint64(k) for k in range(int(mask).bit_length())]
+            flips = np.array([sum(c, np.uint64(0)) for k in range(t + 1) for c in combinations(bits, k)], np.uint64)
+            keys = (((fps >> np.uint64(shift)) & np.uint64(mask))[:, None] ^ flips).ravel()
+            order = np.argsort(keys, kind="stable")
+            known, start = np.unique(keys[order], return_index=True)
+            self.tables.append((known, np.append(start, len(keys)), order // len(flips)))
+
+    def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``fps``, place in the index) of all pairs within the radius."""
+        found = [np.zeros(0, np.int64)]
+        for (shift, mask), (known, start, items) in zip(self.blocks, self.tables, strict=True):
+            keys = (fps >> np.uint64(shift)) & np.uint64(mask)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = np.flatnonzero(known[at] == keys)
+            first, n = start[at[hit]], start[at[hit] + 1] - start[at[hit]]
+            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append(np.repeat(hit, n) * len(self.fps) + items[place])
+        w, k = np.divmod(np.unique(np.concatenate(found)), len(self.fps))
+        close = np.bitwise_count(fps[w] ^ self.fps[k]) <= self.radius
+        return w[close], k[close]
+
+
+def rolled(own: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` shingles from each of ``starts`` (ascending) on."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        till = int(np.searchsorted(starts, low + SPAN))
+        bits = np.unpackbits(own[low : starts[till - 1] + size].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+        ones = sums[starts[at:till] - low + size] - sums[starts[at:till] - low]
+        out[at:till] = np.packbits(ones * 2 > size, axis=1, bitorder="little").view("<u8").ravel()
+        at = till
+    return out
+
+
 class Benchmark:
-    """The items of one block, by shingle width; items without words match nothing."""
+    """The items of one block, by number of shingles; items without words match nothing."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], similarity: float = SIMILARITY, radius: int = RADIUS):
-        self.similarity, self.radius, self.hash = similarity, radius, WordHashes()
+        self.similarity, self.hash = similarity, WordHashes()
         self.items = [Item(i, w, self.hash(w)) for i, t in items if (w := words_of(t))]
-        self.blocks = blocks_of(64, radius + 1)
-        self.index: dict[int, dict[tuple[int, int], set[int]]] = {}  # by item length: (block, bits) to items
-        self.by_shingle: dict[int, dict[int, list[int]]] = {}  # by width: shingle hash to items
-        for k, it in enumerate(self.items):
-            own = self.index.setdefault(it.n_words, {})
-            for b, (shift, mask) in enumerate(self.blocks):
-                own.setdefault((b, int(it.fp) >> shift & mask), set()).add(k)
-            for h in set(shingle_hashes(self.hash(it.words), it.width).tolist()):
-                self.by_shingle.setdefault(it.width, {}).setdefault(h, []).append(k)
+        groups: dict[tuple[int, int], list[Item]] = {}
+        known: dict[int, list[np.ndarray]] = {}
+        for it in self.items:
+            groups.setdefault((it.width, it.n_shingles), []).append(it)
+            known.setdefault(it.width, []).append(shingle_hashes(self.hash(it.words), it.width))
+        self.groups = {k: (own, MultiIndex(np.array([it.fp for it in own], np.uint64), radius)) for k, own in groups.items()}
         self.tables = {}
-        for width, found in self.by_shingle.items():
-            known = np.sort(np.fromiter(found, np.uint64, len(found)))
+        for width, found in known.items():
+            hashes = np.unique(np.concatenate(found))
             maybe = np.zeros(1 << TABLE_BITS, bool)
-            maybe[known >> np.uint64(64 - TABLE_BITS)] = True
-            self.tables[width] = (maybe, known)
+            maybe[hashes >> np.uint64(64 - TABLE_BITS)] = True
+            self.tables[width] = (maybe, hashes)
 
     def search(self, text: bytes | None) -> list[tuple[object, int, int, float]]:
         """(item_id, first word, words, similarity): the best window of each item that the text holds, the first among equals."""
@@ -145,40 +195,41 @@ class Benchmark:
         return sorted(found, key=lambda x: (x[0] is None, x[0], x[1]))
 
     def _windows(self, words, own, at, width):
-        places: dict[int, list[int]] = {}
-        for p in at.tolist():
-            for k in self.by_shingle[width][int(own[p])]:
-                places.setdefault(k, []).append(p)
-        prints: dict[tuple[int, int], np.uint64] = {}
+        hits = np.zeros(len(own) + 1, np.int64)
+        hits[at + 1] = 1
+        before = np.cumsum(hits)  # benchmark shingles ahead of each place
         out = []
-        for k, hits in places.items():
-            it = self.items[k]
-            size = min(it.n_shingles, len(own))  # a document shorter than the item is one window
-            # A similarity of s needs s / (1 + s) of the shingles of item and window together: skip windows that share fewer.
-            need = int(np.ceil((it.n_shingles + size) * self.similarity / (1 + self.similarity) - 1e-9))
-            if len(hits) < need:
+        for (w, n), (items, index) in self.groups.items():
+            size = min(n, len(own))  # a document shorter than the item is one window
+            # A similarity of s needs s / (1 + s) of the shingles of item and window together.
+            need = int(np.ceil((n + size) * self.similarity / (1 + self.similarity) - 1e-9))
+            if w != width or len(at) < need:
+                continue
+            low, high = max(0, int(at[0]) - size + 1), min(len(own) - size, int(at[-1]))
+            inside = before[low + size : high + size + 1] - before[low : high + 1]
+            starts = np.flatnonzero(inside >= need) + low
+            if not len(starts):
                 continue
-            before = np.concatenate(([0], np.cumsum(np.bincount(hits, minlength=len(own)))))
-            inside = before[size:] - before[: len(own) + 1 - size]  # of each window
-            best = None
-            for s in np.flatnonzero(inside >= need).tolist():
-                if size < it.n_shingles or self._near(prints, own, s, k):  # the one window of a short document needs no fingerprint
-                    sim = weighted_similarity(it.counts, Counter(tuple(words[q : q + width]) for q in range(s, s + size)))
-                    if sim >= self.similarity and (best is None or sim > best[3]):
-                        best = (it.item_id, s, size + width - 1, sim)
-            if best:
-                out.append(best)
+            place, item = index.near(rolled(own, starts, size))
+            most = inside[starts[place] - low]  # shingles that the window can share with any item
+            for k in np.unique(item).tolist():
+                mine = np.flatnonzero(item == k)
+                best = self._best(items[k], words, starts[place[mine]], most[mine] / (n + size - most[mine]), size)
+                if best:
+                    out.append((items[k].item_id, best[1], size + width - 1, best[0]))
         return out
 
-    def _near(self, prints, own, s, k):
-        """Whether the fingerprint of the window from shingle ``s`` on is within the radius of item ``k``'s."""
-        it = self.items[k]
-        fp = prints.get((s, it.n_words))
-        if fp is None:
-            h, n = np.unique(own[s : s + it.n_shingles], return_counts=True)
-            fp = prints[s, it.n_words] = simhash(h, n)
-        near = any(k in self.index[it.n_words].get((b, int(fp) >> shift & mask), ()) for b, (shift, mask) in enumerate(self.blocks))
-        return near and int(np.bitwise_count(fp ^ it.fp)) <= self.radius
+    def _best(self, it, words, starts, bounds, size):
+        """(similarity, start) of the most similar window, the first among equals; those that may be most similar are compared first."""
+        best = None
+        for j in np.lexsort((starts, -bounds)).tolist():
+            s, bound = int(starts[j]), float(bounds[j])
+            if bound < self.similarity - 1e-9 or best and (bound, -s) < (best[0], -best[1]):
+                break
+            sim = weighted_similarity(it.counts, Counter(tuple(words[q : q + it.width]) for q in range(s, s + size)))
+            if sim >= self.similarity and (best is None or (sim, -s) > (best[0], -best[1])):
+                best = (sim, s)
+        return best
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:

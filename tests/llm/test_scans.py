@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from postwright.llm import decontaminate, license_scan, url_filter
@@ -139,16 +140,60 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, b).count() == 0 and decontaminate.contaminated(odd_docs, b.where("false")).count() == 0
 
 
-def test_multi_index_finds_all_within_the_radius():
-    rng = random.Random(1)
-    blocks = decontaminate.blocks_of(64, 5)
-    assert sum(bin(m).count("1") for _, m in blocks) == 64
-    for _ in range(500):
-        x = rng.getrandbits(64)
-        y = x
-        for _ in range(4):
-            y ^= 1 << rng.randrange(64)
-        assert any(x >> s & m == y >> s & m for s, m in blocks)
+@pytest.mark.parametrize("radius", [0, 1, 2, 5, 17])
+def test_multi_index_finds_all_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    items = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    asked = items[rng.integers(0, 300, 400)]
+    for _ in range(20):
+        flip = rng.random(400) < 0.6
+        asked = np.where(flip, asked ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)), asked)
+    index = decontaminate.MultiIndex(items, radius)
+    want = {(i, j) for i, x in enumerate(asked) for j, y in enumerate(items) if int(x ^ y).bit_count() <= radius}
+    got = list(zip(*map(list, index.near(asked)), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want and (want or radius < 5)
+
+
+def test_rolled_fingerprints():
+    rng = np.random.default_rng(4)
+    own = rng.integers(0, 1 << 63, 300, dtype=np.uint64)[rng.integers(0, 200, 30000)]
+    starts = np.sort(rng.choice(29900, 500, replace=False))
+    want = [decontaminate.simhash(*np.unique(own[s : s + 60], return_counts=True)) for s in starts]
+    assert (decontaminate.rolled(own, starts, 60) == np.array(want)).all()
+
+
+def edited_passages(n=400, seed=12):
+    """Items, and for each a document with the item edited so that its best window is near the threshold."""
+    rng = random.Random(seed)
+    items, docs = [], []
+    for i in range(n):
+        x = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(30, 120))]
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 45))):
+            y[rng.randrange(len(y))] = f"n{rng.randrange(4000)}"
+        around = [f"v{rng.randrange(4000)}" for _ in range(200)]
+        items.append((i, " ".join(x)))
+        docs.append((i, " ".join(around[:90] + y + around[90:])))
+    return items, docs
+
+
+def test_recall_of_edited_passages():
+    """Of all passages of similarity 0.8 or more that brute force finds, at least 0.99 are found."""
+    items, docs = edited_passages()
+    bench = decontaminate.Benchmark([(i, t.encode()) for i, t in items])
+    want = {i for (i, t), (_, d) in zip(items, docs, strict=True) if best_window(d, t) >= 0.8}
+    got = {i for i, d in docs if i in {x[0] for x in bench.search(d.encode())}}
+    assert got <= want and len(want) > 200 and len(got) >= 0.99 * len(want)
+
+
+def test_candidates_come_from_the_index_alone(monkeypatch):
+    """An index that finds nothing leaves nothing to verify, and one of radius 0 just the windows whose fingerprint equals an item's."""
+    items, docs = edited_passages(60)
+    found = lambda **more: {(i, x[0]) for bench in [decontaminate.Benchmark([(i, t.encode()) for i, t in items], **more)] for i, d in docs for x in bench.search(d.encode())}
+    every, equal = found(), found(radius=0)
+    assert equal < every
+    monkeypatch.setattr(decontaminate.MultiIndex, "near", lambda self, fps: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not found()
 
 
 URLS = [(1, None, "", "", None, None), (2, "nothing", "", "", None, None), (3, "HTTP://A.Net/?x://q.org/fr/", "a.net", "/", "net/", "block"), (4, "http://net/en/", "net", "/en/", "net/", "block"),
