@@ -65,28 +65,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_tool_links": r"""
-        WITH m AS (
+        WITH j AS (
           SELECT conv_id, turn, role, text,
                  CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
                  CASE role WHEN 'user' THEN 't' || turn WHEN 'assistant' THEN 't' || (turn - 1) END AS call_id,
-                 row_number() OVER (PARTITION BY conv_id, role, turn ORDER BY text) AS k
+                 CASE WHEN text IS NULL THEN '{"turn":' || turn || '}' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS json
           FROM conversations),
+        m AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id, role, turn ORDER BY CASE role WHEN 'user' THEN json ELSE text END NULLS LAST) AS k FROM j),
         linked AS (
           SELECT m.*, o.turn AS other
           FROM m LEFT JOIN m o ON o.conv_id = m.conv_id AND o.call_id = m.call_id AND o.kind <> m.kind AND o.k = 1
-               AND m.kind <> 'plain' AND o.kind <> 'plain')
-        SELECT conv_id, turn, kind, call_id, CASE WHEN k = 1 THEN other END AS linked_turn,
+               AND m.kind <> 'plain' AND o.kind <> 'plain'),
+        chains AS (
+          SELECT conv_id, turn, other, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain
+          FROM linked WHERE kind = 'call' AND k = 1),
+        placed AS (
+          SELECT conv_id, 't' || turn AS call_id,
+                 greatest(turn, max(greatest(turn, coalesce(other, turn))) OVER before) AS place, 2 * count(*) OVER before AS depth
+          FROM chains WINDOW before AS (PARTITION BY conv_id, turn % 2, chain ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT l.conv_id, turn, kind, l.call_id, CASE WHEN k = 1 THEN other END AS linked_turn,
                CASE WHEN kind = 'plain' THEN 'plain' WHEN k > 1 THEN 'duplicate' WHEN other IS NOT NULL THEN 'linked'
                     WHEN kind = 'call' THEN 'pending' ELSE 'orphan' END AS status,
-               turn AS order_turn,
-               CASE WHEN kind = 'result' AND other IS NOT NULL AND k = 1 THEN 1 ELSE 0 END::INT AS order_depth,
+               CASE WHEN kind <> 'plain' AND k = 1 THEN greatest(turn, coalesce(place, turn)) ELSE turn END AS order_turn,
+               CASE WHEN k > 1 OR kind = 'plain' OR depth IS NULL THEN 0 WHEN kind = 'call' THEN depth ELSE depth + 1 END::INT AS order_depth,
                CASE WHEN kind = 'call' THEN coalesce(length(text) > 0 AND turn >= 0, false) END AS valid,
-               CASE WHEN kind = 'call' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS arguments,
-               CASE WHEN kind = 'call' AND text = '' THEN '$.text: wrong length' END AS problem,
-               CASE WHEN kind = 'call' THEN '{"role":"user","tool_calls":[{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"ask"}]}'
-                    WHEN kind = 'result' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"' || call_id || '"}'
-                    ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS message
-        FROM linked""",
+               CASE WHEN kind = 'call' THEN json END AS arguments,
+               CASE WHEN kind <> 'call' THEN NULL WHEN text IS NULL THEN '$.text: missing' WHEN text = '' THEN '$.text: wrong length' END AS problem,
+               CASE WHEN kind = 'call' THEN '{"role":"user","tool_calls":[{"arguments":' || json || ',"id":"' || l.call_id || '","name":"ask"}]}'
+                    WHEN kind = 'result' THEN '{' || coalesce('"content":' || to_json(text) || ',', '') || '"role":"assistant","tool_call_id":"' || l.call_id || '"}'
+                    ELSE '{' || coalesce('"content":' || to_json(text) || ',', '') || '"role":' || to_json(role) || '}' END AS message
+        FROM linked l LEFT JOIN placed p ON p.conv_id = l.conv_id AND p.call_id = l.call_id""",
     "op9_exact_dedup": """
         WITH n AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t

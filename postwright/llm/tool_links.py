@@ -143,7 +143,7 @@ def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | Non
     ``messages``: conv_id, turn, kind (call, result, or anything else: plain), role, content, name, call_id, arguments.
     ``depends``: further (conv_id, call_id, on_call_id): a call that needs the result of another.
     status: ``linked``; ``duplicate`` (a call or result whose identifier an earlier one of its kind has; by turn,
-    ties by content); ``orphan`` (a result without a call); ``pending`` (a call without a result); ``cycle``
+    ties by content, arguments and name); ``orphan`` (a result without a call); ``pending`` (a call without a result); ``cycle``
     (depends on itself, or on a call that does); ``plain``. A chain of more than ``max_depth`` layers, if that is given, is an error. linked_turn is the turn of the other half, null for duplicates.
     Null identifiers link nothing (orphan or pending), null conversations link nothing either. Repeated rows
     are duplicates. Other columns are ignored; an empty table gives an empty result. Calls and results of one
@@ -154,11 +154,7 @@ def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | Non
     names = ["conv_id", "turn", "kind", "role", "content", "name", "call_id", "arguments"]
     m = staged(only(messages, **{n: n for n in names}).withColumn("row", F.monotonically_increasing_id()), "messages")
     half = m.where("kind IN ('call', 'result') AND conv_id IS NOT NULL AND call_id IS NOT NULL")
-    rank = F.struct(F.col("turn").isNull().alias("n"), "turn", F.xxhash64("content", "arguments", "name").alias("h"), "row")
-    first = half.groupBy("conv_id", "call_id").agg(
-        F.min(F.when(F.col("kind") == "call", rank)).alias("call"), F.min(F.when(F.col("kind") == "result", rank)).alias("result")
-    ).select("conv_id", "call_id", F.col("call.row").alias("call_row"), F.col("call.turn").alias("call_turn"),
-             F.col("result.row").alias("result_row"), F.col("result.turn").alias("result_turn"))
+    first = _first_halves(half)
     first = staged(first, "first-halves")
     # What a call's order rests on: its own turn, or that of the results it needs; a result's: its call's.
     order = first.where("call_row IS NOT NULL").select("conv_id", "call_id", F.col("call_turn").alias("at"), F.lit(0).alias("depth"), "result_turn")
@@ -194,18 +190,67 @@ def link(messages: DataFrame, schemas: dict[str, dict], depends: DataFrame | Non
     )
 
 
+def _first_halves(half: DataFrame) -> DataFrame:
+    """(conv_id, call_id, call_row, call_turn, result_row, result_turn): the first call and the first result of each identifier.
+
+    First by turn, null turns last; ties by content, arguments and name, nulls last. Texts move only where turns tie.
+    """
+    key, turn = ["conv_id", "call_id", "kind"], F.struct(F.col("turn").isNull().alias("none"), "turn")
+    heads = staged(half.select(*key, turn.alias("t"), "row").groupBy(*key, "t").agg(F.min("row").alias("row"), F.count("*").alias("n")), "heads")
+    heads = heads.groupBy(*key).agg(F.min(F.struct("t", "row", "n")).alias("h")).select(*key, "h.*")
+    tied = staged(heads.where("n > 1").select(*key, "t"), "tied")
+    if not tied.isEmpty():
+        text = F.struct(*[x for c in ("content", "arguments", "name") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], "row")
+        won = half.withColumn("t", turn).join(tied, [*key, "t"], "left_semi").groupBy(*key).agg(F.min(text).alias("w")).select(*key, F.col("w.row").alias("won"))
+        heads = heads.join(won, key, "left").withColumn("row", F.coalesce("won", "row"))
+    is_call = F.col("kind") == "call"
+    return heads.groupBy("conv_id", "call_id").agg(
+        F.max(F.when(is_call, F.col("row"))).alias("call_row"), F.max(F.when(is_call, F.col("t.turn"))).alias("call_turn"),
+        F.max(F.when(~is_call, F.col("row"))).alias("result_row"), F.max(F.when(~is_call, F.col("t.turn"))).alias("result_turn"),
+    )
+
+
 def _ordered(order: DataFrame, depends: DataFrame, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
-    """Calls with the latest turn and the depth that they rest on, layer by layer, and the calls that rest on themselves."""
+    """Calls with the latest turn and the depth that they rest on, and the calls that rest on themselves."""
     edges = staged(
         depends.where("conv_id IS NOT NULL AND call_id IS NOT NULL AND on_call_id IS NOT NULL").distinct()
         .join(order.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
         .join(order.select("conv_id", F.col("call_id").alias("on_call_id")), ["conv_id", "on_call_id"], "left_semi"),
         "depends",
     )
+    needs = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if needs == 1 and max_depth is None:
+        return _chained(order, edges)
+    return _layered(order, edges, max_depth)
+
+
+def _chained(order: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls that need one other call at most: each looks twice as far ahead in every round, so a chain of n takes log2(n) rounds."""
+    weight = order.select("conv_id", F.col("call_id").alias("on_call_id"), F.greatest("at", "result_turn").alias("need_at"))
+    jumps = staged(edges.join(weight, ["conv_id", "on_call_id"]).select("conv_id", "call_id", F.col("on_call_id").alias("to"), "need_at", F.lit(1).alias("steps")), "jumps")
+    open_before = jumps.count()
+    while open_before:
+        ahead = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("need_at").alias("next_at"), F.col("steps").alias("more"))
+        after = staged(
+            jumps.join(ahead, ["conv_id", "to"], "left")
+            .select("conv_id", "call_id", F.col("next").alias("to"), F.greatest("need_at", "next_at").alias("need_at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")),
+            "jumps",
+        )
+        discard(jumps)
+        jumps, still = after, after.where("to IS NOT NULL").count()
+        if still == open_before:  # as a chain's far end closes in every round, only cycles are left
+            break
+        open_before = still
+    found = order.join(jumps, ["conv_id", "call_id"], "left").where("to IS NULL")
+    done = found.select("conv_id", "call_id", F.greatest("at", "need_at").alias("at"), F.coalesce(F.col("steps") * 2, F.lit(0)).alias("depth"), "result_turn")
+    return done, jumps.where("to IS NOT NULL").select("conv_id", "call_id")
+
+
+def _layered(order: DataFrame, edges: DataFrame, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """Layer by layer: calls all of whose needs are ordered come next."""
     left, done = edges, staged(order.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"), "ordered")
     layers = 0
     while not left.isEmpty():  # ends, as each layer but the last takes calls from those left
-        # Calls all of whose needs are ordered come next.
         on = done.select("conv_id", F.col("call_id").alias("on_call_id"), F.greatest("at", "result_turn").alias("need_at"), F.col("depth").alias("need_depth"))
         layer = (
             left.join(on.withColumn("known", F.lit(1)), ["conv_id", "on_call_id"], "left")
@@ -240,6 +285,13 @@ def turns_as_messages(conversations: DataFrame) -> DataFrame:
     )
 
 
+def turn_dependencies(messages: DataFrame) -> DataFrame:
+    """(conv_id, call_id, on_call_id): a question needs the answer to the one two turns before, where there is one."""
+    calls = messages.where("kind = 'call' AND turn IS NOT NULL")
+    return calls.select("conv_id", "call_id", F.concat(F.lit("t"), F.col("turn") - 2).alias("on_call_id"))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Every turn of a chat table, linked, ordered, validated and serialised (see ``link``)."""
-    return link(turns_as_messages(conversations), CHAT_SCHEMAS)
+    """Every turn of a chat table, linked, ordered by what it rests on, validated and serialised (see ``link``)."""
+    messages = turns_as_messages(conversations)
+    return link(messages, CHAT_SCHEMAS, turn_dependencies(messages))
