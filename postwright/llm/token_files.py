@@ -21,17 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postwright.llm._common import only, shared_path, small_batches
 from postwright.llm.tokenize import default_path, encoder
+from postwright.operators.ordering import prefix_sums
 
 MAGIC = b"PWTOK1\0\0"
 HEADER = np.dtype([("magic", "S8"), ("bits", "<u4"), ("block_ids", "<u4"), ("n_docs", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
 BLOCK_IDS = 4096
 #: A shard is closed once it holds this many ids (packed ids in memory: 2 bytes each for a 16-bit vocabulary).
 SHARD_IDS = 8_000_000
+#: Tasks that read shards, at most; each then reads several.
+READERS = 20_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -182,7 +184,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Encode whole texts, append ``end_id`` and write shards in ascending id order into ``folder``, which all executors share.
 
     Returns the manifest, one row per shard: path, part, shard, n_ids, doc_ids, base (ids in all shards before).
-    Null text is empty (the end id alone); null ids come first; rows of one id are ordered by text.
+    Null text is empty (the end id alone); null ids come first; rows of one id are ordered by a hash of the text and then the text, so
+    that many rows of one id, or without one, are dealt to many tasks.
     A task that runs again writes the same names, each file appearing whole.
     """
     spark = docs.sparkSession
@@ -191,17 +194,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     bits = bits_for(max(encoder(path).vocab_size, end_id + 1))
     d = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
     shards = (
-        d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        d.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
         .mapInArrow(_write(path, end_id, folder, bits, block_ids, shard_ids), f"path string, part int, shard int, n_ids long, doc_ids array<{kind}>")
     )
     manifest = f"{folder}/manifest"
     shards.write.parquet(manifest)
     shards = spark.read.schema(shards.schema).parquet(manifest)
-    # One row a shard, without its documents: a few thousand numbers for terabytes.
-    before = F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = shards.select("path", "part", "shard", "n_ids").select("path", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    return shards.join(bases, "path")
+    bases = prefix_sums(shards.select("path", "part", "shard", "n_ids"), ["part", "shard"], {"base": F.col("n_ids")})
+    return shards.join(bases.select("path", F.col("base").cast("long").alias("base")), "path")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +220,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a manifest."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a manifest.
+
+    A manifest is small beside its files, so the number of tasks follows the files: one for each, up to ``READERS``.
+    """
+    tasks = max(1, min(manifest.count(), READERS))
     kind = manifest.schema["doc_ids"].dataType.elementType.simpleString()
-    return manifest.select("path", "base", "doc_ids").repartition("path").mapInArrow(_read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "base", "doc_ids").repartition(tasks).mapInArrow(_read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
