@@ -24,8 +24,9 @@ from postwright.llm._common import id_crc, only, small_batches, staged
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 5000
-#: Terms that the model has weights for, at most; the most telling ones of the sample.
-TERMS = 8192
+#: A term has weights if this many sampled documents hold it and its chi-square against the label is over the bound (one in a thousand by chance).
+LEAST_DOCS = 5
+CHI_SQUARE = 10.8
 HASH_BITS = 30
 FACTORS = 8
 PREFIXES = (4, 5, 6)
@@ -64,17 +65,17 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def select_terms(rows: DataFrame, most: int = TERMS) -> np.ndarray:
-    """The terms of five documents or more that depend most on the label (chi-square over 10.8: one in a thousand by chance), sorted.
+def select_terms(rows: DataFrame) -> np.ndarray:
+    """All terms of ``LEAST_DOCS`` documents or more whose chi-square is over ``CHI_SQUARE``, sorted.
 
-    ``rows``: toxic, terms. Counted by term on the executors; ``most`` numbers come to the driver.
+    ``rows``: toxic, terms; the bounded sample, so that its terms are bounded too. Counted by term on the executors.
     """
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("both"), F.sum("toxic").alias("hit")).where("both >= 5")
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("both"), F.sum("toxic").alias("hit")).where(F.col("both") >= LEAST_DOCS)
     expected = F.col("both") * F.col("pos") / F.col("n")
     spread = expected * (1 - F.col("pos") / F.col("n")) * (1 - F.col("both") / F.col("n")) + 1e-9
-    chi = counts.join(F.broadcast(totals)).select("term", F.round((F.col("hit") - expected) * (F.col("hit") - expected) / spread, 6).alias("chi")).where("chi > 10.8")
-    return np.sort(np.array([r.term for r in chi.orderBy(F.desc("chi"), "term").limit(most).collect()], np.int64))
+    chi = counts.join(F.broadcast(totals)).select("term", ((F.col("hit") - expected) * (F.col("hit") - expected) / spread).alias("chi")).where(F.col("chi") > CHI_SQUARE)
+    return np.sort(chi.select("term").toArrow().column(0).to_numpy().astype(np.int64))
 
 
 def fit(ids: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15,
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most ``per_class`` of each class, those whose ids hash lowest; a class that is cut
     counts for as many as it has. Rows with a null id or label are left out; of several labels
-    of one id the largest counts.
+    of one id the largest counts, of several texts one (the least by hash), so a repeated id is one document of the sample.
     """
     known = (
         only(labels, doc_id=label_id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -159,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = picked[0].union(picked[1]).withColumn("weight", weight.cast("double"))
     rows = staged(
         d.join(F.broadcast(sample), "doc_id")  # 2 * per_class rows of three numbers at most
-        .select("toxic", "weight", F.col("text").cast("binary").alias("text"))
+        .select("doc_id", F.struct(F.xxhash64("text").alias("h"), "toxic", "weight", F.col("text").cast("binary").alias("text")).alias("s"))
+        .groupBy("doc_id").agg(F.min("s").alias("s")).select("s.toxic", "s.weight", "s.text")
         .mapInArrow(_terms, "toxic int, weight double, terms array<int>"),
         "toxic-sample",
     )
@@ -226,7 +228,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; every column stays. Each row is judged where it is: no shuffle."""
+    """``docs`` without those predicted toxic; every column stays. Texts without words (null, empty) are nothing to reject and stay, whatever share
+    of the labels is toxic. Each row is judged where it is: no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     small_batches(docs.sparkSession)
 
@@ -234,6 +237,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Scorer(model.value)
         for t in texts:
-            yield t.map(lambda x: s.score(x) < 0.5).astype(bool)
+            yield t.map(lambda x: not (x or b"").translate(WORDS).strip() or s.score(x) < 0.5).astype(bool)
 
     return docs.where(clean(F.col(f"`{text_col}`").cast("binary")))

@@ -40,6 +40,92 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
+def plain_chi_square(rows, least=5, over=10.8):
+    n, pos = len(rows), sum(y for y, _ in rows)
+    found = []
+    for t in {t for _, ts in rows for t in ts}:
+        both, hit = sum(t in ts for _, ts in rows), sum(y for y, ts in rows if t in ts)
+        table = [[hit, both - hit], [pos - hit, n - pos - both + hit]]
+        marks = [[both * pos / n, both * (n - pos) / n], [(n - both) * pos / n, (n - both) * (n - pos) / n]]
+        chi = sum((o - e) ** 2 / e for x, y in zip(table, marks, strict=True) for o, e in zip(x, y, strict=True) if e)
+        if both >= least and chi > over:
+            found.append(t)
+    return sorted(found)
+
+
+def test_terms_match_a_plain_chi_square(spark):
+    rng = random.Random(2)
+    rows = [(y := int(k % 3 == 0), sorted({rng.randrange(40) for _ in range(8)} | ({100 + rng.randrange(5)} if y and rng.random() < 0.6 else set()))) for k in range(300)]
+    got = toxicity.select_terms(spark.createDataFrame(rows, "toxic int, terms array<int>"))
+    assert got.tolist() == plain_chi_square(rows) and {100, 101} <= set(got.tolist()) and len(got) < 20
+
+
+def plain_fit(n, rows, toxic, weight, factors, epochs, rate, decay, batch, seed):
+    """The same steps, one document and one pair of terms at a time."""
+    prior = (sum(w * y for w, y in zip(weight, toxic, strict=True)) + 0.5) / (sum(weight) + 2)
+    rng = np.random.default_rng(seed)
+    b, w, v = math.log(prior / (1 - prior)), [0.0] * n, rng.normal(0, 0.02, (n, factors))
+    weight = [x / (sum(weight) / len(weight)) for x in weight]
+    sb, sw, sv = 1.0, [1e-6] * n, np.full((n, factors), 1e-6)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part, gb, gw, gv = order[at : at + batch], 0.0, {}, {}
+            for d in part:
+                terms = rows[d]
+                y = b + sum(w[t] for t in terms) + sum(v[s] @ v[t] for i, s in enumerate(terms) for t in terms[:i])
+                g = (1 / (1 + math.exp(-y)) - toxic[d]) * weight[d]
+                gb += g / len(part)
+                for t in terms:
+                    gw[t] = gw.get(t, 0) + g / len(part)
+                    gv[t] = gv.get(t, 0) + g * sum((v[s] for s in terms if s != t), np.zeros(factors)) / len(part)
+            sb += gb * gb
+            b -= rate * gb / math.sqrt(sb)
+            for t in gw:
+                x, z = gw[t] + decay * w[t], gv[t] + decay * v[t]
+                sw[t] += x * x
+                sv[t] += z * z
+                w[t] -= rate * x / math.sqrt(sw[t])
+                v[t] -= rate * 0.3 * z / np.sqrt(sv[t])
+    return b, np.array(w), v
+
+
+def test_fit_matches_a_plain_version():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(40)]
+    toxic, weight = np.array([float({0, 1} <= set(r.tolist())) for r in rows]), rng.uniform(0.5, 2, 40)
+    got = toxicity.fit(np.arange(6), rows, toxic, weight, factors=3, epochs=3, batch=7)
+    b, w, v = plain_fit(6, rows, toxic, weight, 3, 3, 0.15, 2e-4, 7, 7)
+    assert math.isclose(got.bias, b, rel_tol=1e-9) and np.allclose(got.weights, w) and np.allclose(got.vectors, v)
+
+
+def test_scorer_matches_the_terms_of_whole_texts():
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("insult", "gruppe", "é", "x") for b in ("", "s", "heit", "1")]
+    ids = np.unique(np.concatenate([toxicity.terms(w.encode()) for w in words[:9]]))
+    m = toxicity.FactorizationMachine(ids, 0.1, np.linspace(-1, 1, len(ids)), np.random.default_rng(1).normal(0, 0.3, (len(ids), 4)))
+    scorer = toxicity.Scorer(m, most=3)
+    for _ in range(50):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))).upper().encode()
+        want = m.at(np.flatnonzero(np.isin(ids, toxicity.terms(text))))
+        assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-want)), rel_tol=1e-9)
+
+
+def test_a_repeated_id_is_one_document_of_the_sample(spark, monkeypatch):
+    docs, labels = corpus(60)
+    d, lab = spark.createDataFrame(docs + [docs[1]] * 500, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, rows, *a, fit=toxicity.fit, **b: seen.append(len(rows)) or fit(ids, rows, *a, **b))
+    toxicity.train(d, lab, folds=5)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in labels)]
+
+
+def test_empty_texts_stay_whatever_the_prior(spark):
+    d = spark.createDataFrame([(k, f"bad words {k}") for k in range(20)] + [(50, None), (51, ""), (52, " .!")], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    assert {50, 51, 52} == {r.doc_id for r in toxicity.drop_toxic(d, lab).collect()}
+
+
 def test_machine_equals_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.FactorizationMachine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
@@ -175,6 +261,17 @@ def test_deep_chains_are_no_cycles(spark):
     assert inspect.signature(tool_links.link).parameters["max_depth"].default is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_equal_layers(spark, seed):
+    """Doubling along chains gives what layers give, cycles and what rests on them included."""
+    rng = random.Random(seed)
+    order = spark.createDataFrame([(c, f"c{k}", rng.randrange(9), 0, rng.choice([None, 3, 7])) for c in range(4) for k in range(12)], "conv_id long, call_id string, at long, depth int, result_turn long")
+    edges = spark.createDataFrame([(c, f"c{k}", f"c{rng.randrange(12) if seed == 2 else rng.randrange(k)}") for c in range(4) for k in range(1, 12)], "conv_id long, call_id string, on_call_id string")
+    (done, cyclic), (want, stuck) = tool_links._chained(order, edges), tool_links._layered(order, edges, None)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(done) == rows(want) and rows(cyclic) == rows(stuck) and (seed != 2 or rows(stuck))
+
+
 @pytest.mark.parametrize(("value", "schema", "ok"), [
     (1, {"type": "integer"}, True), (1.5, {"type": "integer"}, False), (True, {"type": "number"}, False), ("a", {"enum": ["a", 1]}, True), ({"a": 1}, {"additionalProperties": False}, False),
     ([1, "x"], {"items": {"type": "integer"}}, False), ("ab", {"pattern": "^a", "maxLength": 2}, True), (5, {"maximum": 4}, False), ({}, {"required": ["k"]}, False), (None, {"type": "null"}, True), ([], {"minItems": 1}, False), ("x", {"const": "y"}, False)])
@@ -188,11 +285,16 @@ def test_canonical_json_is_stable():
 
 
 def test_chat_turns_match_sql(spark, tmp_path):
-    rows = [(1, 0, "user", "hé \"q\" \\ \n"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (2, 0, "system", "s"), (2, 1, "user", "q"), (3, 5, "assistant", "late"), (4, 0, "user", "")]
+    rows = [(1, 0, "user", "hé \"q\" \\ \n"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (2, 0, "system", "s"), (2, 1, "user", "q"), (3, 5, "assistant", "late"), (4, 0, "user", ""), (6, 0, "user", None), (6, 1, "assistant", None)]
+    rng = random.Random(5)
+    rows += [(5, t, r, f"text {t}") for t, r in enumerate(["user", "assistant"] * 20) if t not in (11, 20)]
+    rows += [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["a", "a b", "a\"", "b", "é", ""])) for c in range(10, 25) for t in [rng.randrange(7) for _ in range(12)]]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     c.write.parquet(f"{tmp_path}/conversations.parquet")
     conversations = duckdb.read_parquet(f"{tmp_path}/conversations.parquet/*.parquet")
     assert len(conversations) == len(rows)
     want = duckdb.sql(queries.ORACLE_SQL["op4_tool_links"])
     got = tool_links.format_conversations(c)
-    assert sorted(map(str, [tuple(r[n] for n in want.columns) for r in got.collect()])) == sorted(map(str, [tuple(r) for r in want.fetchall()]))
+    rows = got.collect()
+    assert sorted(map(str, [tuple(r[n] for n in want.columns) for r in rows])) == sorted(map(str, [tuple(r) for r in want.fetchall()]))
+    assert max(r.order_depth for r in rows) > 15 and sum(r.status == "duplicate" for r in rows) > 20
