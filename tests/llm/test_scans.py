@@ -218,3 +218,59 @@ def test_url_model_tells_apart(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     right = sum(got[1000 + i] == "block" for i in range(50)) + sum(got[2000 + i] == "allow" for i in range(50))
     assert right >= 95
+
+
+def plain_probability(urls, context, char, order=url_filter.ORDER):
+    """Witten-Bell by counting strings: the same for one class."""
+    seen = Counter()
+    for u in urls:
+        t = b"\0" * order + u.lower() + b"\0"
+        for k in range(order, len(t)):
+            for n in range(order + 1):
+                seen[t[k - n : k], t[k : k + 1]] += 1
+    p = 1 / 256
+    for n in range(order + 1):
+        c = context[len(context) - n :]
+        after = [v for (x, _), v in seen.items() if x == c]
+        if after:
+            p = (seen[c, char] + len(after) * p) / (sum(after) + len(after))
+    return p
+
+
+def url_model(urls, sides):
+    import pyarrow as pa
+
+    rows = [r for b in url_filter._count(iter([pa.RecordBatch.from_arrays([pa.array(urls, pa.binary()), pa.array(sides, pa.int32())], names=["url", "side"])])) for r in b.to_pylist()]
+    pair, n = np.array([r["pair"] for r in rows], np.uint64), np.array([r["n"] for r in rows])
+    context, at = np.unique(pair >> np.uint64(8), return_inverse=True)
+    return url_filter.UrlModel(url_filter.Counts(pair, n), url_filter.Counts(context, np.bincount(at, n)), url_filter.Counts(context, np.bincount(at)))
+
+
+def test_url_likelihoods_match_plain_counts_and_sum_to_one():
+    rng = random.Random(6)
+    urls = [f"http://{rng.choice('ab')}{rng.choice('xyz')}.org/{rng.randrange(30)}".encode() for _ in range(40)] + [b"", "http://é.net/Ü".encode()]
+    sides = [k % 2 for k in range(len(urls))]
+    m = url_model(urls, sides)
+    for side in (0, 1):
+        own = [u for u, s in zip(urls, sides, strict=True) if s == side]
+        for context in (b"\0\0\0\0", b"http", b"//ax", b"org/", b"qqqq", "é.".encode().rjust(4, b"\0")):
+            start = sum(c << 8 * (4 - k) for k, c in enumerate(context))
+            p = m.probability(side, np.array([start + c for c in range(256)], np.uint64))
+            assert abs(p.sum() - 1) < 1e-12
+            for c in b"/ax.\0q":
+                assert abs(p[c] - plain_probability(own, context, bytes([c]))) < 1e-12
+    for u in (urls[3], b"http://ax.org/12", b""):
+        t = b"\0" * 4 + u.lower() + b"\0"
+        want = sum(np.log(plain_probability([x for x, s in zip(urls, sides, strict=True) if s == 0], t[k - 4 : k], t[k : k + 1]) / plain_probability([x for x, s in zip(urls, sides, strict=True) if s == 1], t[k - 4 : k], t[k : k + 1])) for k in range(4, len(t))) / (len(u) + 1)
+        assert abs(m.ratio([u])[0] - want) < 1e-9
+
+
+def test_only_frequent_contexts_are_sent(spark, monkeypatch):
+    contexts = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate([(100, 10), (50, 5), (50, 6), (7, 3), (1, 1), (1, 1)])], "context long, n long, t long")
+    assert [url_filter._least_seen(contexts, most) for most in (100, 26, 25, 24, 21, 20, 10, 9)] == [1, 1, 7, 7, 50, 100, 100, 101]
+    assert url_filter._least_seen(contexts.where("false"), 5) == 1
+    rows = [(i, f"http://{'abcd'[i % 4] * 6}.{'net' if i % 2 else 'org/fr'}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + [(1000, "http://bbbbbb.com/7"), (1001, "http://aaaaaa.com/8")], "page_id long, url string")
+    monkeypatch.setattr(url_filter, "PAIRS", 300)
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert got[1000] == "block" and got[1001] == "allow"
