@@ -47,6 +47,55 @@ def test_gates_miss_nothing():
         assert s.scan(t.encode())[2] == want and want
 
 
+NOTICES = [
+    ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: GPL-3.0-only", "gpl"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("/* SPDX-License-Identifier: ISC */", "isc"), ("SPDX-License-Identifier: Zlib", "zlib"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+    ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"), ("SPDX-License-Identifier: MPL-2.0", "mpl"), ("SPDX-License-Identifier: EPL-2.0", "epl"), ("SPDX-License-Identifier: CC0-1.0", "cc0"),
+    ("SPDX-License-Identifier: BSL-1.0", "boost"), ("SPDX-License-Identifier: 0BSD", "0bsd"), ("SPDX-License-Identifier: Unlicense", "unlicense"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache,mit"), ("Licensed under the GPL v3", "gpl"), ("released under GPLv2 or later", "gpl"), ("licensed under the MIT", "mit"), ("License: MIT", "mit"), ("License: BSD", "bsd"),
+    ("Distributed under the terms of the LGPL version 2.1", "lgpl"), ("available under the AGPLv3", "agpl"), ("This project is licensed under Apache 2.0", "apache"), ("Licensed under the ISC License", "isc"), ("released under the zlib license", "zlib"),
+    ("Licensed under the Mozilla Public License 2.0", "mpl"), ("licensed under MPL 2.0", "mpl"), ("published under the Eclipse Public License v2.0", "epl"), ("Licensed under the EUPL-1.2", "eupl"), ("Distributed under the Boost Software License, Version 1.0.", "boost"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("released under the WTFPL", "wtfpl"), ("Content is available under CC BY-SA 3.0", "cc-by-sa"), ("licensed under CC BY-NC-ND 4.0", "cc-by-nc-nd"),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 license", "cc-by-nc"), ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"), ("https://creativecommons.org/licenses/by/4.0/", "cc-by"), ("https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "bsd"), ("Neither the name of the Foo Project nor the names of its contributors may be used to endorse", "bsd-3-clause"),
+    ("All advertising materials mentioning features or use of this software must display", "bsd-4-clause"), ("You should have received a copy of the GNU General Public License along with this program.", "gpl"),
+    ("You should have received a copy of the GNU Lesser General Public License along with this library", "lgpl"), ("You should have received a copy of the GNU Affero General Public License along with", "agpl"),
+    ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "gfdl"), ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl"),
+    ("Altered source versions must be plainly marked as such", "zlib"), ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"), ("you can redistribute it and/or modify it under the same terms as Perl itself", "artistic"),
+    ("The Software shall be used for Good, not Evil.", "json"), ("This software is based in part on the work of the Independent JPEG Group", "ijg"), ("This product includes software developed by the OpenSSL Project", "openssl"),
+    ("Copyright (c) 2014-2020 Somebody. All rights reserved.", "copyright,proprietary"), ("Unauthorized copying of this file, via any medium, is strictly prohibited", "proprietary"), ("For non-commercial use only", "non-commercial"),
+    ("Licensed under the GNU General Public License version 2 with Classpath exception", "gpl,classpath-exception"), ("dual licensed under the MIT and the GPL", "mit"), ("under the terms of the GPL, version 3", "gpl"), ("Licensed under the 3-clause BSD license", "bsd-3-clause"),
+]
+PLAIN = ["the mit campus lies by the river", "an isc of its own", "apache helicopters flew over the public road", "she used zlib to compress it", "gpl is three letters", "a boost for the artistic scene", "identify the mit student", "we see the bsd family of systems"]
+
+
+@pytest.mark.parametrize(("text", "labels"), NOTICES)
+def test_real_notices(text, labels):
+    assert set(labels.split(",")) <= {r.label for _, _, r in license_scan.Scanner().scan(text.encode())[2]}
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_mentions_are_no_license(text):
+    assert license_scan.Scanner().scan(text.encode())[2] == []
+
+
+def test_places_take_linear_time():
+    """A text of megabytes, all of it phrases."""
+    import time
+
+    s = license_scan.Scanner()
+    took = []
+    for n in (20_000, 160_000):
+        text = b"apache license mit license " * n
+        began = time.perf_counter()
+        words, places, kept = s.scan(text)
+        took.append(time.perf_counter() - began)
+        assert words == 4 * n and len(places) == 2 * n and kept
+    assert took[1] < 30 * took[0]
+
+
 def test_suppression_by_priority_and_containment():
     rng = random.Random(2)
     rules = license_scan.rules()
