@@ -9,10 +9,9 @@ from postwright.operators.ordering import prefix_sums, top_k
 from postwright.operators.search import contributions
 
 
-def hub_counts(sims: DataFrame, entries: DataFrame, k: int = 10, key: str = "vec_id") -> DataFrame:
-    """(entry_id, n): how many rows of the bank have the entry among their ``k`` nearest, zeros and all."""
-    best = top_k(sims, [key], [F.desc("sim"), F.col("entry_id")], k)
-    n = best.groupBy("entry_id").agg(F.count("*").alias("n"))
+def hub_counts(nearest: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry_id, n): how many rows of the bank have the entry among their nearest, zeros and all (A17). ``nearest``: as from ``postings.nearest_entries``."""
+    n = nearest.groupBy("entry_id").agg(F.count("*").alias("n"))
     return entries.select("entry_id").join(n, "entry_id", "left").select("entry_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -30,20 +29,26 @@ def hubness(counts: DataFrame) -> DataFrame:
     )
 
 
-def background(sims: DataFrame) -> DataFrame:
-    """(entry_id, mean, sd): population moments of each entry's similarity to a bank."""
-    return sims.groupBy("entry_id").agg(F.avg("sim").alias("mean"), F.greatest(F.stddev_pop("sim"), F.lit(1e-12)).alias("sd"))
+def background(moments: DataFrame) -> DataFrame:
+    """(entry_id, mean, sd): population moments of each entry's similarity to a bank (A27). ``moments``: as from ``postings.similarity_moments``."""
+    mean = F.col("total") / F.col("n")
+    spread = F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))
+    return moments.select("entry_id", mean.alias("mean"), F.greatest(F.sqrt(spread), F.lit(1e-12)).alias("sd"))
 
 
-def upper_tail(sims: DataFrame, q: float, n: int) -> DataFrame:
-    """(entry_id, tail): the m-th largest similarity, m = max(int((1 - q) n), 8): not a percentile."""
-    m = max(int((1 - q) * n), 8)
-    return top_k(sims, ["entry_id"], [F.desc("sim")], m).groupBy("entry_id").agg(F.min("sim").alias("tail"))
+def tail_place(q: float, n: int) -> int:
+    """Which of the largest of n similarities counts as the upper tail: max(int((1 - q) n), 8), not a percentile."""
+    return max(int((1 - q) * n), 8)
 
 
-def below_tau(sims: DataFrame, tau: float) -> DataFrame:
-    """One row: percentage of similarities under the threshold."""
-    return sims.agg((F.avg((F.col("sim") < tau).cast("double")) * 100).alias("below"))
+def upper_tail(largest: DataFrame, m: int) -> DataFrame:
+    """(entry_id, tail): the m-th largest similarity, or the least there is. ``largest``: as from ``postings.largest_similarities`` for the same m."""
+    return top_k(largest, ["entry_id"], [F.desc("sim")], m).groupBy("entry_id").agg(F.min("sim").alias("tail"))
+
+
+def below_tau(moments: DataFrame) -> DataFrame:
+    """One row: percentage of similarities under the threshold that the moments were taken with."""
+    return moments.agg((F.sum("below") / F.sum("n") * 100).alias("below"))
 
 
 def median_gaps(stats: DataFrame, columns: list[str], least_held: int = 1, least_seen: int = 20) -> DataFrame:

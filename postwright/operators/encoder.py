@@ -7,8 +7,11 @@ three methods.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from postwright.functions.hashing import md5_int
 from postwright.functions.vectors import DOUBLES, l2_normalise
 
 
+#: Bytes of states that are sent to executors for pooling; a larger table is joined.
+SENT_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class EncoderSpec:
     name: str
@@ -52,6 +59,12 @@ class LookupEncoder:
         if self.spec.pooling != "mean":
             raise ValueError(f"unknown pooling {self.spec.pooling}")
         counted = units.groupBy(key, "vec_id").agg(F.count("*").alias("n"))
+        if self.n * self.spec.dim * 8 <= SENT_BYTES:
+            t = self.states.toArrow().sort_by("vec_id")
+            matrix = t.column("state").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            sent = units.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), matrix))
+            sets = counted.groupBy(key).agg(F.collect_list(F.struct(F.col("vec_id").cast("long").alias("v"), "n")).alias("s")).select(key, F.col("s.v").alias("v"), F.col("s.n").alias("n"))
+            return sets.mapInArrow(_means(sent), f"{key} {sets.schema[key].dataType.simpleString()}, vec array<double>").withColumn("vec", l2_normalise("vec"))
         return mean_vector(self.with_states(counted), [key], "state", "n", "vec").withColumn("vec", l2_normalise("vec"))
 
     def bare(self, vocab: DataFrame) -> DataFrame:
@@ -59,6 +72,27 @@ class LookupEncoder:
         return self.with_states(self.units(vocab)).select("entry_id", F.col("state").alias("vec"))
 
 
+def _means(sent):
+    """(key, states, counts) to the mean of each row's states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        for b in batches:
+            rows, keep = [], []
+            for k, (v, n) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                v, n = v.values.to_numpy(), n.values.to_numpy()
+                order = np.argsort(v)  # the same sum whatever order rows came in
+                v, n = v[order], n[order]
+                at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+                known = ids[at] == v
+                if known.any():
+                    keep.append(k)
+                    rows.append(n[known] @ matrix[at[known]] / n[known].sum())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(rows, pa.list_(pa.float64()))], names=[b.schema.names[0], "vec"])
+
+    return run
+
+
 def mean_vector(rows: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None, name: str = "mean") -> DataFrame:
     """The (weighted) mean of vectors by group, dimension by dimension with partial sums (A4)."""
     n = F.col(weight) if weight else F.lit(1)

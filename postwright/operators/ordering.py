@@ -35,9 +35,3 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     """The first ``k`` of each group with their rank from 1 (W3, W4, W11). The planner limits groups before the shuffle."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
-
-def small(rows: DataFrame, at_most: int = 100_000) -> DataFrame:
-    """Rows to be sent to every executor, once it is certain that there are few enough."""
-    if rows.limit(at_most + 1).count() > at_most:
-        raise ValueError(f"more than {at_most} rows to send: work in blocks")
-    return F.broadcast(rows)

@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwright.functions.hashing import sample_key
+from postwright.functions.vectors import DOUBLES
+from postwright.operators.postings import DIGITS, SLICE_CELLS, entry_blocks
 
 
-def probe_metrics(sims: DataFrame, own: DataFrame, tau: float) -> DataFrame:
-    """(probe, self_rank, z_gap, participation) of each probe.
+def probe_metrics(probes: DataFrame, entries: DataFrame, dim: int, tau: float) -> DataFrame:
+    """(probe, own_sim, self_rank, z_gap, participation) of each probe.
 
-    ``sims``: probe, entry_id, sim; ``own``: probe, own_id. self_rank counts entries strictly more similar; the z-gap
-    is from the lower median, over the sample deviation; participation is of what is over ``tau``.
+    ``probes``: probe, own_id, state. self_rank counts entries strictly more similar; the z-gap is from the lower median, over the sample
+    deviation; participation is of what is over ``tau``. All entries (a vocabulary, which is bounded) are sent along, so each probe is one row.
     """
-    s = sims.join(own, "probe")
-    mine = s.where("entry_id = own_id").select("probe", F.col("sim").alias("own_sim"))
-    r = F.greatest(F.col("sim") - tau, F.lit(0.0))
-    g = s.join(mine, "probe").groupBy("probe").agg(
-        F.sum((F.col("sim") > F.col("own_sim")).cast("int")).alias("self_rank"),
-        F.max("sim").alias("m"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY sim)").alias("med"), F.stddev_samp("sim").alias("sd"),
-        F.sum(r).alias("r1"), F.sum(r * r).alias("r2"),
-    )
-    return g.select("probe", "self_rank", ((F.col("m") - F.col("med")) / F.greatest("sd", F.lit(1e-6))).alias("z_gap"), (F.col("r1") * F.col("r1") / F.greatest("r2", F.lit(1e-12))).alias("participation"))
+    blocks = list(entry_blocks(entries, dim))
+    ids, matrix = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(0, np.int64), np.zeros((0, dim)))
+    sent = probes.sparkSession.sparkContext.broadcast((ids, matrix))
+    p = probes.where("own_id IS NOT NULL").select("probe", "own_id", F.col("state").cast(DOUBLES).alias("state"))
+    kind = p.schema["probe"].dataType.simpleString()
+    return p.mapInArrow(_probe_rows(sent, tau), f"probe {kind}, own_sim double, self_rank long, z_gap double, participation double")
+
+
+def _probe_rows(sent, tau: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+        known = ids[first]
+        for b in batches:
+            step = max(1, SLICE_CELLS // max(1, len(ids)))
+            for at in range(0, b.num_rows if len(ids) else 0, step):
+                part = b.slice(at, step)
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+                sim = np.round(np.maximum.reduceat(x @ matrix.T, first, axis=1), DIGITS)
+                own_id = part.column(1).to_numpy()
+                place = np.minimum(np.searchsorted(known, own_id), len(known) - 1)
+                own = sim[np.arange(len(sim)), place]
+                middle = (sim.shape[1] - 1) // 2
+                median = np.partition(sim, middle, axis=1)[:, middle]
+                sd = sim.std(axis=1, ddof=1) if sim.shape[1] > 1 else np.zeros(len(sim))
+                over = np.maximum(sim - tau, 0.0)
+                total, squares = over.sum(axis=1), (over * over).sum(axis=1)
+                found = [own, (sim > own[:, None]).sum(axis=1), (sim.max(axis=1) - median) / np.maximum(sd, 1e-6), total * total / np.maximum(squares, 1e-12)]
+                row = pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], names=["probe", "own_sim", "self_rank", "z_gap", "participation"])
+                yield row.filter(pa.array(known[place] == own_id))
+
+    return run
 
 
 def matched_random_auc(sims: DataFrame, own: DataFrame, draws: int = 4, seed: str = "auc") -> DataFrame:
@@ -39,11 +68,9 @@ def related_rank(sims: DataFrame, related: DataFrame) -> DataFrame:
     return ranks.join(related, ["probe", "entry_id"], "left_semi").groupBy("probe").agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
 
 
-def self_activation(sims: DataFrame, own: DataFrame) -> DataFrame:
-    """One row: median self rank, share ranked first, share in the first ten."""
-    s = sims.join(own, "probe")
-    mine = s.where("entry_id = own_id").select("probe", F.col("sim").alias("own_sim"))
-    rank = s.join(mine, "probe").groupBy("probe").agg((F.sum((F.col("sim") > F.col("own_sim")).cast("int")) + 1).alias("rank"))
+def self_activation(metrics: DataFrame) -> DataFrame:
+    """One row: median self rank from 1, share ranked first, share in the first ten (W8). ``metrics``: as from ``probe_metrics``."""
+    rank = metrics.select((F.col("self_rank") + 1).alias("rank"))
     return rank.agg(F.median("rank").alias("median_rank"), F.avg((F.col("rank") == 1).cast("double")).alias("first"), F.avg((F.col("rank") <= 10).cast("double")).alias("top10"))
 
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from postwright.functions.vectors import DOUBLES
 from postwright.operators.ordering import top_k
-from postwright.operators.postings import DIGITS, entry_blocks
+from postwright.operators.postings import DIGITS, SLICE_CELLS, entry_blocks
+
+
+#: Bytes of query vectors that are searched at once; a task keeps the ``k`` best of each (16 bytes a place).
+QUERY_BYTES = 8 << 20
 
 
 def contributions(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -35,17 +39,45 @@ def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scores(queries, docs), k)
 
 
+#: Cells of a grid that one pass adds up.
+GRID_CELLS = 64
+
+
 def grid_search(queries: DataFrame, docs: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """One store, many settings: every cell cuts stored ranks and thresholds its own way.
 
-    ``grid``: cell, k_q, k_d, tau_q, tau_d, saturation; a handful of rows. Stored weights are over the lowest threshold.
+    ``grid``: cell, k_q, k_d, tau_q, tau_d, saturation; a handful of rows. Stored weights are over the lowest threshold. The store is joined once, at the widest
+    setting, and each pair's products are added up for every cell that admits them.
     """
-    g = F.broadcast(grid)
-    sat = lambda w: F.when(F.col("saturation") == "log1p", F.log1p(w)).otherwise(w)
-    q = queries.join(g, (F.col("rank") < F.col("k_q")) & (F.col("weight") > F.col("tau_q"))).select("cell", "qid", "entry_id", sat(F.col("weight") - F.col("tau_q")).alias("qw"))
-    d = docs.join(g, (F.col("rank") < F.col("k_d")) & (F.col("weight") > F.col("tau_d"))).select("cell", "pid", "entry_id", sat(F.col("weight") - F.col("tau_d")).alias("dw"))
-    s = q.join(d, ["cell", "entry_id"]).groupBy("cell", "qid", "pid").agg(F.round(F.sum(F.col("qw") * F.col("dw")), DIGITS).alias("score"))
-    return ranked(s, k, ("cell", "qid"))
+    cells = grid.orderBy("cell").collect()
+    out = None
+    for at in range(0, len(cells), GRID_CELLS):
+        part = _grid_scores(queries, docs, cells[at : at + GRID_CELLS])
+        out = part if out is None else out.union(part)
+    return ranked(out, k, ("cell", "qid"))
+
+
+def _grid_scores(queries: DataFrame, docs: DataFrame, cells: list) -> DataFrame:
+    widest = lambda side: (F.col("rank") < max(c[f"k_{side}"] for c in cells)) & (F.col("weight") > min(c[f"tau_{side}"] for c in cells))
+    # Weights as each threshold and saturation make them, once a posting and not once a pair.
+    kinds = {side: sorted({(c[f"tau_{side}"], c["saturation"]) for c in cells}) for side in "qd"}
+
+    def weights(side):
+        found = []
+        for i, (tau, kind) in enumerate(kinds[side]):
+            over = F.col("weight") - tau
+            found.append(F.when(F.col("weight") > tau, F.log1p(over) if kind == "log1p" else over).alias(f"{side}{i}"))
+        return found
+
+    q = queries.where(widest("q")).select("qid", "entry_id", F.col("rank").alias("rank_q"), *weights("q"))
+    d = docs.where(widest("d")).select("pid", "entry_id", F.col("rank").alias("rank_d"), *weights("d"))
+    sums = []
+    for c in cells:
+        wq, wd = (F.col(f"{side}{kinds[side].index((c[f'tau_{side}'], c['saturation']))}") for side in "qd")
+        sums.append(F.sum(F.when((F.col("rank_q") < c.k_q) & (F.col("rank_d") < c.k_d), wq * wd)).alias(f"c{c.cell}"))
+    added = q.join(d, "entry_id").groupBy("qid", "pid").agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(c.cell).alias("cell"), F.round(F.col(f"c{c.cell}"), DIGITS).alias("score")) for c in cells])).alias("s")
+    return added.select("qid", "pid", each).where("s.score IS NOT NULL").select("s.cell", "qid", "pid", "s.score")
 
 
 def rescore(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -62,7 +94,7 @@ def dense_search(query_vectors: DataFrame, doc_vectors: DataFrame, dim: int, k:
     spark = doc_vectors.sparkSession
     d = doc_vectors.select("pid", F.col("vec").cast(DOUBLES).alias("vec"))
     out = None
-    for ids, matrix in entry_blocks(query_vectors.withColumnRenamed("qid", "entry_id"), dim):
+    for ids, matrix in entry_blocks(query_vectors.withColumnRenamed("qid", "entry_id"), dim, QUERY_BYTES):
         part = d.mapInArrow(_best(spark.sparkContext.broadcast((ids, matrix)), k), "qid long, pid long, score double")
         out = part if out is None else out.union(part)
     if out is None:
@@ -74,15 +106,20 @@ def _best(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
         score, pid = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        step = max(k, SLICE_CELLS // max(1, len(ids)))  # queries times passages of a slice
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            score = np.concatenate([score, np.round(matrix @ x.T, DIGITS)], axis=1)
-            pid = np.concatenate([pid, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))], axis=1)
-            if score.shape[1] > k:
-                order = np.lexsort((pid, -score), axis=1)[:, :k]
-                score, pid = np.take_along_axis(score, order, 1), np.take_along_axis(pid, order, 1)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                new = np.round(matrix @ x.T, DIGITS)
+                own = np.broadcast_to(part.column(0).to_numpy(), new.shape)
+                if score.shape[1] == k:  # most passages are worse than all that a query has
+                    better = np.flatnonzero((new >= score[:, -1:]).any(axis=0))
+                    new, own = new[:, better], own[:, better]
+                score, pid = np.concatenate([score, new], axis=1), np.concatenate([pid, own], axis=1)
+                if score.shape[1] > k:
+                    order = np.lexsort((pid, -score), axis=1)[:, :k]
+                    score, pid = np.take_along_axis(score, order, 1), np.take_along_axis(pid, order, 1)
         n = score.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n).astype(np.int64)), pa.array(pid.ravel()), pa.array(score.ravel())], names=["qid", "pid", "score"])
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwright.functions import text as T
-from postwright.operators.ordering import small
 
 
 def tokens(passages: DataFrame, unicode: bool = False, most: int | None = None) -> DataFrame:
@@ -84,15 +87,62 @@ def stride(rows: DataFrame, key: str, step: int) -> DataFrame:
     return rows.where(F.col(key) % step == 0)
 
 
-def contains_phrase(passages: DataFrame, phrases: DataFrame, at_most: int = 100_000) -> DataFrame:
-    """(pid, phrase) where the lower-cased text holds the phrase anywhere (P11). ``phrases`` is a query set; its size is checked before it is sent along."""
-    return passages.select("pid", F.lower("text").alias("text")).join(small(phrases.select("phrase"), at_most), F.expr("contains(text, phrase)")).select("pid", "phrase")
+#: Bytes of phrases that one pass over the texts looks for.
+PHRASE_BYTES = 8 << 20
+
+
+def containing(texts: DataFrame, phrases: DataFrame, id_col: str, phrase_id: str, text_col: str = "text", phrase_col: str = "phrase", block_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """(id, phrase id) of every text that holds a phrase anywhere, letter for letter. Null or empty phrases are in no text.
+
+    Phrases are the query set: they go to the executors in blocks of bounded size as one automaton each, so a text is read once a block whatever their number.
+    """
+    spark = texts.sparkSession
+    t = texts.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    own, asked = t.schema[id_col].dataType.simpleString(), phrases.schema[phrase_id].dataType.simpleString()
+    schema, out, block, size = f"{id_col} {own}, {phrase_id} {asked}", None, {}, 0
+
+    def search():
+        part = t.mapInArrow(_found(spark.sparkContext.broadcast(block), id_col, phrase_id), schema)
+        return part if out is None else out.union(part)
+
+    for r in phrases.where(F.length(phrase_col) > 0).select(phrase_id, phrase_col).orderBy(phrase_id).toLocalIterator():
+        if size and size + len(r[1]) > block_bytes:
+            out = search()
+            block, size = {}, 0
+        block.setdefault(r[1], []).append(r[0])
+        size += len(r[1])
+    if block:
+        out = search()
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _found(block, id_col: str, phrase_id: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for phrase, ids in block.value.items():
+            automaton.add_word(phrase, ids)
+        automaton.make_automaton()
+        for b in batches:
+            row, found = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                hits = {i for _, ids in automaton.iter(text) for i in ids}
+                row += [k] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(found)] if found else [b.column(0)[:0], b.column(0)[:0]], names=[id_col, phrase_id])
+
+    return run
+
+
+def contains_phrase(passages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(pid, phrase) where the lower-cased text holds the phrase anywhere."""
+    p = phrases.select("phrase", F.col("phrase").alias("held")).distinct()
+    return containing(passages.select("pid", F.lower("text").alias("text")), p, "pid", "phrase", phrase_col="held")
 
 
 def co_occurrence_label(passages: DataFrame, indicators: DataFrame) -> DataFrame:
     """(pid, word, sense): passages with an indicator of just one of a word's two senses, and the word itself (J11). ``indicators``: word, sense, term."""
     words = distinct_words(passages)
-    has = words.join(small(indicators.select("word", "sense", "term")), words.word == indicators.term).select("pid", indicators.word.alias("w"), "sense")
+    has = words.join(indicators.select("word", "sense", "term"), words.word == indicators.term).select("pid", indicators.word.alias("w"), "sense")
     senses = has.groupBy("pid", "w").agg(F.min("sense").alias("lo"), F.max("sense").alias("hi")).where("lo = hi")
     return senses.join(words.withColumnRenamed("word", "w"), ["pid", "w"], "left_semi").select("pid", F.col("w").alias("word"), F.col("lo").alias("sense"))
 

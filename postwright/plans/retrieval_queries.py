@@ -66,7 +66,7 @@ def vector_functions(w: World) -> DataFrame:
 
 @query("J5 A7", f"WITH {ENTRIES} SELECT entry_id, count(*) AS n, sum(sim) AS total, max(sim) AS most FROM sims GROUP BY entry_id", "total most", 9)
 def similarity_profile(w: World) -> DataFrame:
-    return w.all_sims.groupBy("entry_id").agg(F.count("*").alias("n"), F.sum("sim").alias("total"), F.max("sim").alias("most"))
+    return w.moments.select("entry_id", "n", "total", "most")
 
 
 @query("A6 P7", f"WITH {DOCS} SELECT pid, count(*) AS n, sum(sim) AS total FROM dprof GROUP BY pid", "total", 9)
@@ -86,7 +86,7 @@ def query_postings(w: World) -> DataFrame:
 
 @query("P8", f"WITH {DOCS} SELECT pid, sum(round(ln(1 + sim - {TAU_D}), 8)) AS total FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(ln(1 + sim - {TAU_D}), 8) DESC, entry_id) AS r FROM dprof) WHERE r <= {K_D} GROUP BY pid", "total", 9)
 def saturated_postings(w: World) -> DataFrame:
-    return postings.sparsify(w.doc_profile, TAU_D, K_D, saturation="log1p").groupBy("pid").agg(F.sum("weight").alias("total"))
+    return w.top(w.toks, TAU_D, K_D, "log1p").groupBy("pid").agg(F.sum("weight").alias("total"))
 
 
 @query("S9 S10 S14 P20", f"WITH {DOCS} SELECT pid AS row_id, entry_id, weight, rank FROM docs WHERE rank < 16")
@@ -266,7 +266,7 @@ def fitted_tau(w: World) -> DataFrame:
 def similarity_below_tau(w: World) -> DataFrame:
     from postwright.operators.diagnostics import below_tau
 
-    return below_tau(w.all_sims, 0.2)
+    return below_tau(w.moments)
 
 
 @query("G19 A41", f"WITH {DOCS}, {HELD}, allp AS (SELECT * FROM dprof), b AS (SELECT pid, count(*) AS b FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(sim - {TAU_D}, 8) DESC, entry_id) AS r FROM dprof ANTI JOIN held USING (entry_id)) WHERE r <= {CAP} GROUP BY pid), m AS (SELECT pid, count(*) AS n, count(*) FILTER (entry_id NOT IN (SELECT entry_id FROM held)) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(sim - {TAU_D}, 8) DESC, entry_id) AS r FROM dprof) WHERE r <= {CAP} GROUP BY pid), j AS (SELECT greatest(b - coalesce(kept, 0), 0) AS lost, coalesce(n, 0) AS n FROM b LEFT JOIN m USING (pid)) SELECT avg(lost) AS mean_lost, avg(CASE WHEN lost > 0 THEN 1.0 ELSE 0 END) AS share_losing, avg(CASE WHEN n >= {CAP} THEN 1.0 ELSE 0 END) AS share_at_cap FROM j", "mean_lost share_losing share_at_cap")

@@ -10,7 +10,7 @@ from postwright.operators import decisions, diagnostics, geometry, insertion, me
 from postwright.operators.ordering import top_k
 from postwright.plans.registry import query
 from postwright.plans.retrieval_queries import variants
-from postwright.plans.world import DOCS, ENTRIES, HELD, QRELS, RUN, STORES, TAU_D, VOCAB, World, metrics_sql, vec_id
+from postwright.plans.world import DIM, DOCS, ENTRIES, HELD, QRELS, RUN, STORES, TAU_D, VOCAB, World, metrics_sql, vec_id
 
 # --- background statistics and hubness ---
 
@@ -22,7 +22,8 @@ st AS (SELECT entry_id, decile, held.entry_id IS NOT NULL AS held, mean, sd, tai
 
 def entry_stats(w: World) -> DataFrame:
     marks = w.held.withColumn("h", F.lit(True))
-    b, t = diagnostics.background(w.all_sims), diagnostics.upper_tail(w.all_sims, 0.98, w.encoder.n)
+    m = diagnostics.tail_place(0.98, w.encoder.n)
+    b, t = diagnostics.background(w.moments), diagnostics.upper_tail(postings.largest_similarities(w.states, w.entries, DIM, m), m)
     return w.vocab.select("entry_id", "decile").join(marks, "entry_id", "left").join(b, "entry_id").join(t, "entry_id").select("entry_id", "decile", F.coalesce("h", F.lit(False)).alias("held"), "mean", "sd", "tail")
 
 
@@ -37,7 +38,7 @@ hub AS (SELECT entry_id, coalesce(n, 0) AS n FROM vocab LEFT JOIN (SELECT entry_
 
 @query("A17", f"WITH {HUBS} SELECT entry_id, n FROM hub")
 def hub_counts(w: World) -> DataFrame:
-    return diagnostics.hub_counts(w.all_sims, w.vocab)
+    return diagnostics.hub_counts(postings.nearest_entries(w.states, w.entries, DIM, 10), w.vocab)
 
 
 @query("A17 B13", f"""WITH {HUBS}, t AS (SELECT avg(n) AS mu, count(*) AS c, sum(n) AS total, max(n) AS most FROM hub),
@@ -46,7 +47,7 @@ def hub_counts(w: World) -> DataFrame:
   sum(CASE WHEN i > c - greatest(1, floor(c / 100)) THEN n ELSE 0 END) / any_value(total) AS top1_share, any_value(most) AS most,
   sum((2 * i - c - 1) * n) / (any_value(c) * any_value(total)) AS gini FROM o, t""", "skewness top1_share gini")
 def hubness(w: World) -> DataFrame:
-    return diagnostics.hubness(diagnostics.hub_counts(w.all_sims, w.vocab))
+    return diagnostics.hubness(diagnostics.hub_counts(postings.nearest_entries(w.states, w.entries, DIM, 10), w.vocab))
 
 
 @query("A14", f"WITH {STATS}, d AS (SELECT decile, median(mean) FILTER (NOT held) AS m, quantile_disc(tail, 0.5) FILTER (NOT held) AS t FROM st GROUP BY decile) SELECT decile, coalesce(m, (SELECT median(mean) FROM st WHERE NOT held)) AS mean_target, coalesce(t, (SELECT quantile_disc(tail, 0.5) FROM st WHERE NOT held)) AS tail_target FROM d", "mean_target tail_target")
@@ -142,11 +143,15 @@ def probe_frames(w: World) -> tuple[DataFrame, DataFrame]:
     return p.join(w.all_sims, "vec_id").select("probe", "entry_id", "sim"), p.select("probe", F.col("probe").alias("own_id"))
 
 
+def probe_rows(w: World) -> DataFrame:
+    p = w.encoder.with_states(w.encoder.units(w.vocab.select("entry_id", F.concat("word", F.lit("#1")).alias("word"))))
+    return probes.probe_metrics(p.select(F.col("entry_id").alias("probe"), F.col("entry_id").alias("own_id"), "state"), w.entries, DIM, 0.2)
+
+
 @query("W2 A22 A23 B12", f"""WITH {PROBES} SELECT probe, count(*) FILTER (sim > own_sim) AS self_rank, (max(sim) - quantile_disc(sim, 0.5)) / greatest(stddev_samp(sim), 1e-6) AS z_gap,
   power(sum(greatest(sim - 0.2, 0)), 2) / greatest(sum(power(greatest(sim - 0.2, 0), 2)), 1e-12) AS participation FROM ps JOIN mine USING (probe) GROUP BY probe""", "z_gap participation")
 def probe_metrics(w: World) -> DataFrame:
-    sims, own = probe_frames(w)
-    return probes.probe_metrics(sims, own, 0.2)
+    return probe_rows(w).drop("own_sim")
 
 
 @query("A21", f"""WITH {PROBES} SELECT probe, avg(CASE WHEN sim < own_sim THEN 1.0 ELSE 0 END) AS auc FROM (SELECT * FROM ps WHERE entry_id <> own_id QUALIFY row_number() OVER (PARTITION BY probe ORDER BY md5('auc|' || probe || '|' || entry_id), entry_id) <= 4) JOIN mine USING (probe) GROUP BY probe""", "auc")
@@ -163,14 +168,13 @@ def related_rank(w: World) -> DataFrame:
 
 @query("W8 B13", f"WITH {PROBES}, r AS (SELECT probe, count(*) FILTER (sim > own_sim) + 1 AS rank FROM ps JOIN mine USING (probe) GROUP BY probe) SELECT median(rank) AS median_rank, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS first, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS top10 FROM r", "median_rank first top10")
 def self_activation(w: World) -> DataFrame:
-    return probes.self_activation(*probe_frames(w))
+    return probes.self_activation(probe_rows(w))
 
 
 @query("A24", f"""WITH {PROBES}, r AS (SELECT probe AS entry_id, CAST(count(*) FILTER (sim > own_sim) AS DOUBLE) AS v FROM ps JOIN mine USING (probe) GROUP BY probe), x AS (SELECT is_stop, decile, v FROM r JOIN vocab USING (entry_id))
   SELECT 'all' AS part, count(*) AS n, avg(v) AS mean FROM x UNION ALL SELECT CASE WHEN is_stop THEN 'stop' ELSE 'content' END, count(*), avg(v) FROM x GROUP BY is_stop UNION ALL SELECT 'decile ' || decile, count(*), avg(v) FROM x WHERE NOT is_stop GROUP BY decile""", "mean")
 def grouped_summary(w: World) -> DataFrame:
-    sims, own = probe_frames(w)
-    m = probes.probe_metrics(sims, own, 0.2).join(w.vocab.withColumnRenamed("entry_id", "probe"), "probe")
+    m = probe_rows(w).join(w.vocab.withColumnRenamed("entry_id", "probe"), "probe")
     return probes.grouped_summary(m.withColumn("v", F.col("self_rank").cast("double")), "v")
 
 
@@ -300,8 +304,7 @@ def calibrate_tail(w: World) -> DataFrame:
 
 @query("G22", f"WITH {PROBES}, {HELD}, sa AS (SELECT probe AS entry_id, decile, held.entry_id IS NOT NULL AS held, own_sim AS sa FROM mine JOIN vocab ON vocab.entry_id = probe LEFT JOIN held ON held.entry_id = probe), t AS (SELECT decile, coalesce(median(sa) FILTER (NOT held), (SELECT median(sa) FROM sa WHERE NOT held)) AS t FROM sa GROUP BY decile) SELECT entry_id, CASE WHEN abs(sa) > 1e-6 THEN t / sa ELSE 1 END AS a, 0.0::DOUBLE AS b FROM sa JOIN t USING (decile) WHERE held", "a b")
 def calibrate_self(w: World) -> DataFrame:
-    sims, own = probe_frames(w)
-    sa = sims.join(own, "probe").where("entry_id = own_id").select("entry_id", F.col("sim").alias("sa"))
+    sa = probe_rows(w).select(F.col("probe").alias("entry_id"), F.col("own_sim").alias("sa"))
     s = w.vocab.select("entry_id", "decile").join(w.held.withColumn("h", F.lit(True)), "entry_id", "left").join(sa, "entry_id").select("entry_id", "decile", F.coalesce("h", F.lit(False)).alias("held"), "sa")
     return insertion.affine_self(s)
 
@@ -516,7 +519,7 @@ def impact_search(w: World) -> DataFrame:
 @query("B8 G19", f"WITH {STORES}, c AS (SELECT * FROM (SELECT pid, entry_id, round(sim - {TAU_D}, 8) AS weight, row_number() OVER (PARTITION BY pid ORDER BY round(sim - {TAU_D}, 8) DESC, entry_id) AS r FROM dprof) WHERE r <= 512), s AS (SELECT qid, pid, round(sum(q.weight * c.weight), 8) AS score FROM qpost q JOIN c USING (entry_id) GROUP BY qid, pid) SELECT qid, pid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= 20")
 def full_store_search(w: World) -> DataFrame:
     """The wide store, 512 entries a passage."""
-    return search.search(w.query_postings, postings.sparsify(w.doc_profile, TAU_D, 512), 20).select("qid", "pid", "score")
+    return search.search(w.query_postings, w.top(w.toks, TAU_D, 512), 20).select("qid", "pid", "score")
 
 
 @query("X6 G24", f"WITH {STATS}, d AS (SELECT decile, quantile_disc(tail, 0.5) FILTER (NOT held) AS t FROM st GROUP BY decile) SELECT entry_id, coalesce(t, (SELECT quantile_disc(tail, 0.5) FROM st WHERE NOT held)) - tail AS shift FROM st JOIN d USING (decile)", "shift")

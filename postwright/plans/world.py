@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwright.operators import encoder, postings, search, tokens, vocabulary
-from postwright.operators.ordering import small
 
 #: Least frequency of a vocabulary word, its size, sparsity targets, thresholds.
 FLOOR, MOST = 100, 30_000
@@ -38,9 +37,8 @@ class World:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        """A passage is relevant to a query whose first 80 characters it holds."""
-        heads = self.queries.select("qid", F.substring("text", 1, 80).alias("head"))
-        return self.passages.join(small(heads), F.expr("contains(text, head)")).select("qid", "pid")
+        """A passage is relevant to a query whose whole text it holds."""
+        return tokens.containing(self.passages, self.queries, "pid", "qid", phrase_col="text").select("qid", "pid")
 
     @cached_property
     def toks(self) -> DataFrame:
@@ -86,17 +84,26 @@ class World:
         """The largest similarities over a threshold: what is below it goes before the join."""
         return postings.max_pool(self.encoder.units(toks), self.sims.where(F.col("sim") > over))
 
+    def top(self, toks: DataFrame, tau: float, k: int, saturation: str = "none") -> DataFrame:
+        """The ``k`` heaviest postings of each text."""
+        return postings.pooled_postings(self.encoder.units(toks), self.sims, tau, k, saturation=saturation)
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        """Sums of all similarities by entry, and how many are under ``TAU_Q``."""
+        return postings.similarity_moments(self.states, self.entries, DIM, TAU_Q)
+
     @cached_property
     def doc_profile(self) -> DataFrame:
         return self.profile(self.toks, TAU_D)
 
     @cached_property
     def docs(self) -> DataFrame:
-        return postings.sparsify(self.doc_profile, TAU_D, K_D).persist()
+        return self.top(self.toks, TAU_D, K_D).persist()
 
     @cached_property
     def query_postings(self) -> DataFrame:
-        return postings.sparsify(self.profile(self.query_toks, TAU_Q), TAU_Q, K_Q).withColumnRenamed("pid", "qid").persist()
+        return self.top(self.query_toks, TAU_Q, K_Q).withColumnRenamed("pid", "qid").persist()
 
     @cached_property
     def held(self) -> DataFrame:
@@ -129,7 +136,7 @@ VOCAB = f"""{TOKENS},
 vocab AS (SELECT CAST(r AS INTEGER) AS entry_id, word, freq, CAST(least(floor(r * 10 / n), 9) AS INTEGER) AS decile, word IN ({STOP}) AS is_stop
   FROM (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) - 1 AS r, count(*) OVER () AS n
         FROM (SELECT word, count(*) AS freq FROM tok WHERE regexp_full_match(word, '[a-z]+') GROUP BY word HAVING count(*) >= {FLOOR} ORDER BY freq DESC, word LIMIT {MOST})))"""
-QRELS = "qrels AS (SELECT item_id AS qid, doc_id AS pid FROM documents d, benchmark b WHERE contains(d.text, substr(b.text, 1, 80)))"
+QRELS = "qrels AS (SELECT item_id AS qid, doc_id AS pid FROM documents d, benchmark b WHERE contains(d.text, b.text))"
 
 
 def vec_id(word: str = "word") -> str:
