@@ -3,7 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept; all
 but the last return the columns of ``documents``. Null and empty texts are clean documents and
 go through; of rows with equal texts the one with the largest doc_id stays, of a near-duplicate group the one with
-the smallest. Empty tables give empty results.
+the smallest. Near duplicates are op1's at the pipeline's terms: five-word shingles, similarity 0.8 or more, verified. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postwright.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from postwright.llm._common import staged, table
+from postwright.sources.staging import scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read back."""
+    """All stages over ``documents``, each written to the shared folder and read back; what a stage wrote on its way is removed once its result stands."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

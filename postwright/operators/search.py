@@ -128,10 +128,9 @@ def _best(block, k: int):
 
 def bm25_postings(toks: DataFrame, terms: DataFrame, k1: float = 0.82, b: float = 0.68) -> DataFrame:
     """(word, pid, weight) of the words in ``terms`` (B1). Lengths and averages are over all tokens."""
-    counts = toks.groupBy("pid", "word").agg(F.count("*").alias("tf"))
-    length = counts.groupBy("pid").agg(F.sum("tf").alias("dl"))
+    length = toks.groupBy("pid").agg(F.count("*").alias("dl"))
     totals = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = counts.join(terms.select("word").distinct(), "word", "left_semi")
+    wanted = toks.join(terms.select("word").distinct(), "word", "left_semi").groupBy("pid", "word").agg(F.count("*").alias("tf"))
     df = wanted.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * idf

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of tables written inside open ``scratch`` blocks, innermost last.
+_open: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; on a cluster that is an error, as executors would write to their own disks."""
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="postwright-")
+        found = spark.sparkContext.getCheckpointDir()
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = found or tempfile.mkdtemp(prefix="postwright-")
         spark.conf.set(key, found)
     return found.rstrip("/")
 
@@ -23,9 +34,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write and read back. A lost executor costs no recomputation of what came before."""
     path = f"{shared_dir(df.sparkSession)}/postwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside the block are removed at its end, but for the last one, which is its result."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        made = _open.pop()
+        for path in made[:-1]:
+            remove(spark, path)
+        if _open:
+            _open[-1] += made[-1:]
+
+
 def fingerprint(settings: dict) -> str:
     """A name for a result: equal settings, equal name."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from postwright.operators import tokens, vocabulary
 from postwright.sources import artifacts, collections, reports, staging
@@ -74,3 +75,30 @@ def test_streams_keep_counts(spark, tmp_path):
     assert sorted(map(tuple, spark.table("running").select("word", "df", "tf").collect())) == want
     counts.maintain(stream, f"{tmp_path}/deltas", f"{tmp_path}/c2").awaitTermination()
     assert sorted(map(tuple, counts.current(spark.read.parquet(f"{tmp_path}/deltas")).select("word", "df", "tf").collect())) == want
+
+
+def test_scratch_keeps_the_last_table_alone(spark):
+    with staging.scratch(spark) as made:
+        a = staging.staged(spark.range(3), "a")
+        b = staging.staged(a.selectExpr("id + 1 AS id"), "b")
+        paths = list(made)
+    assert sorted(r.id for r in b.collect()) == [1, 2, 3]
+    assert [staging.exists(spark, p) for p in paths] == [False, True]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session())
