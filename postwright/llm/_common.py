@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.sources.staging import shared_dir, staged  # noqa: F401
+from postwright.sources.staging import remove, shared_dir, staged  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -50,11 +50,9 @@ def discard(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing will read again."""
     spark = df.sparkSession
     own = f"{shared_dir(spark)}/postwright/".split(":", 1)[-1].lstrip("/")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if own in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            remove(spark, folder)
 
 
 #: Ids that may be sent to all executors at once (8 bytes each, about 64 MB as a hash table).

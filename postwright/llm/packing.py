@@ -4,7 +4,8 @@ Pieces are dealt to partitions by hash. Each partition packs its own by best-fit
 and computes lower bounds by dual feasible functions: a partition whose bin count equals its
 bound is certified and closed. In partitions with a gap, full bins are closed too and
 the rest of the documents are exchanged: dealt anew over fewer partitions, which rerun
-best-fit decreasing. A rerun that does not save a bin keeps the bins it was given.
+best-fit decreasing. A rerun that does not save a bin keeps the bins it was given; exchanges
+go on until one saves nothing, or all that is open has been in one partition.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from postwright.llm.tokenize import default_path, encoder
 CAPACITY = 2048
 #: Pieces that one task packs; a task holds about 60 bytes for each.
 PARTITION_PIECES = 60_000
-EXCHANGES = 3
 
 
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
@@ -149,11 +149,11 @@ def _packer(capacity: int, n_parts: int, round_no: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, exchanges: int = EXCHANGES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, exchanges: int | None = None) -> DataFrame:
     """(uid, sequence_id, offset) for pieces (uid long, length long), lengths 1 to ``capacity``.
 
     sequence_id is any number, offset the piece's place in its sequence, gapless from 0.
-    Pieces as long as a sequence have one of their own and take no part in packing.
+    Pieces as long as a sequence have one of their own and take no part in packing. ``exchanges``: at most so many, where given.
     """
     spark = pieces.sparkSession
     whole = pieces.where(F.col("length") >= capacity).select("uid", "length", (-F.col("uid") - 1).alias("bin"))
@@ -161,21 +161,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     n_all = rest.count()
     open_rows, closed_parts, n_parts = rest, [], max(1, -(-n_all // partition_pieces))
     first = n_parts
-    for k in range(exchanges + 1):
-        n = open_rows.count() if k else n_all
-        if not n:
-            break
+    k = given = 0
+    while n := open_rows.count() if k else n_all:
         n_parts = max(1, -(-n // partition_pieces))
         # After the first round whole bins move, so that what they hold can be kept.
         key = F.col("bin") if k else F.col("uid")
         dealt = open_rows.select(F.pmod(F.xxhash64(key, F.lit(k)), F.lit(n_parts)).alias("part"), "uid", "length", "bin")
-        done = staged(dealt.repartition(n_parts, "part").mapInArrow(_packer(capacity, max(first, n_parts), k), "uid long, length long, bin long, closed boolean"), f"packed-{k}")
-        if k < exchanges and not (k and n_parts == 1):
-            closed_parts.append(done.where("closed").select("uid", "length", "bin"))
-            open_rows = done.where("NOT closed").select("uid", "length", "bin")
-        else:
+        done = staged(dealt.repartitionByRange(n_parts, "part").mapInArrow(_packer(capacity, max(first, n_parts), k), "uid long, length long, bin long, closed boolean"), f"packed-{k}")
+        last = k == exchanges or k and (n_parts == 1 or done.select("bin").distinct().count() >= given)
+        if last:
             closed_parts.append(done.select("uid", "length", "bin"))
             break
+        closed_parts.append(done.where("closed").select("uid", "length", "bin"))
+        open_rows = done.where("NOT closed").select("uid", "length", "bin")
+        given, k = open_rows.select("bin").distinct().count(), k + 1
     packed = whole
     for p in closed_parts:
         packed = packed.union(p)
