@@ -55,7 +55,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 

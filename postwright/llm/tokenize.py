@@ -18,8 +18,8 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks and words that one worker remembers (about 150 bytes each).
-MEMO_CHUNKS = 300_000
-MEMO_WORDS = 450_000
+MEMO_CHUNKS = 200_000
+MEMO_WORDS = 300_000
 #: Python splits at these, the library's white space does not hold them.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 

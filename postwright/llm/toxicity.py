@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class Scorer:
-    def __init__(self, model: FactorizationMachine, most: int = 300_000):
+    def __init__(self, model: FactorizationMachine, most: int = 150_000):
         self.model, self.most = model, most
         self.rows = {int(t): k for k, t in enumerate(model.ids)}
         self.memo: dict[bytes, tuple[int, ...]] = {}
