@@ -72,6 +72,26 @@ class LookupEncoder:
         return self.with_states(self.units(vocab)).select("entry_id", F.col("state").alias("vec"))
 
 
+@dataclass(frozen=True)
+class LayeredEncoder:
+    """An encoder of several layers over a lookup table (M3): layer k of a word is the normalised mean of the rows of the word and of the word with each mark up to k."""
+
+    base: LookupEncoder
+    layers: int
+
+    def truncated(self, layers: int) -> LayeredEncoder:
+        """The same encoder cut off after a layer: what lies above is never computed (M4)."""
+        return LayeredEncoder(self.base, min(layers, self.layers))
+
+    def states(self, words: DataFrame, key: str) -> DataFrame:
+        """(key, layer, state) of a column ``word``, layers from 0."""
+        marks = F.explode(F.sequence(F.lit(0), F.lit(self.layers))).alias("mark")
+        rows = words.select(key, "word", marks).withColumn("word", F.when(F.col("mark") > 0, F.concat("word", F.lit("~"), F.col("mark").cast("string"))).otherwise(F.col("word")))
+        rows = self.base.with_states(self.base.units(rows)).select(key, "mark", "state")
+        layer = F.explode(F.sequence(F.col("mark"), F.lit(self.layers))).alias("layer")  # a row is part of its own layer and of all above
+        return mean_vector(rows.select(key, layer, "state"), [key, "layer"], "state", name="vec").select(key, "layer", l2_normalise("vec").alias("state"))
+
+
 def _means(sent):
     """(key, states, counts) to the mean of each row's states."""
 

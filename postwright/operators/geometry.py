@@ -131,10 +131,10 @@ def atoms(vectors: DataFrame, m: int, most: int = 100, key: str = "entry_id") ->
     return sampled.groupBy(key).applyInPandas(one, f"{key} {kind}, atom int, vec array<double>")
 
 
-def head(vectors: DataFrame, w1: np.ndarray, w2: np.ndarray, vec: str = "vec") -> DataFrame:
-    """Residual head h + W2 gelu(W1 h), normalised (F8, F9); zero W2 is the identity on unit vectors."""
-
-
+def head(vectors: DataFrame, w1: np.ndarray, w2: np.ndarray, vec: str = "vec", activation: str = "gelu") -> DataFrame:
+    """Residual head h + W2 f(W1 h), normalised (F8, F9), f the exact gelu or relu; zero W2 is the identity on unit vectors."""
+    if activation not in ("gelu", "relu"):
+        raise ValueError(f"unknown activation {activation}")
     erf = np.vectorize(math.erf)
     at = vectors.columns.index(vec)
     typed = vectors.withColumn(vec, F.col(vec).cast(DOUBLES))
@@ -144,7 +144,8 @@ def head(vectors: DataFrame, w1: np.ndarray, w2: np.ndarray, vec: str = "vec") -
             if b.num_rows:
                 h = b.column(at).flatten().to_numpy().reshape(b.num_rows, -1)
                 z = h @ w1.T
-                h = h + (z * 0.5 * (1 + erf(z / math.sqrt(2)))) @ w2.T
+                z = np.maximum(z, 0.0) if activation == "relu" else z * 0.5 * (1 + erf(z / math.sqrt(2)))
+                h = h + z @ w2.T
                 h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, h.shape[1]), pa.int32()), pa.array(h.ravel()))
                 yield pa.RecordBatch.from_arrays([col if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)

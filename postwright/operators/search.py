@@ -126,6 +126,30 @@ def _best(block, k: int):
     return run
 
 
+def late_interaction(candidates: DataFrame, query_units: DataFrame, doc_units: DataFrame, states: DataFrame) -> DataFrame:
+    """(qid, pid, score): for each distinct state of a query the most similar state of the passage, added up (M6).
+
+    ``candidates``: qid, pid; units: qid or pid, vec_id. What moves is a list of states for each text of a candidate; the vectors are sent along once.
+    """
+    t = states.toArrow().sort_by("vec_id")
+    matrix = t.column("state").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    sent = states.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), matrix))
+    q = query_units.groupBy("qid").agg(F.collect_set(F.col("vec_id").cast("long")).alias("q"))
+    d = doc_units.join(candidates.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.collect_set(F.col("vec_id").cast("long")).alias("d"))
+    return candidates.select("qid", "pid").join(q, "qid").join(d, "pid").select("qid", "pid", "q", "d").mapInArrow(_max_sim(sent), "qid long, pid long, score double")
+
+
+def _max_sim(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        rows = lambda x: matrix[np.searchsorted(ids, np.sort(x.values.to_numpy()))]
+        for b in batches:
+            score = [float((rows(q) @ rows(d).T).max(axis=1).sum()) for q, d in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["qid", "pid", "score"])
+
+    return run
+
+
 def bm25_postings(toks: DataFrame, terms: DataFrame, k1: float = 0.82, b: float = 0.68) -> DataFrame:
     """(word, pid, weight) of the words in ``terms`` (B1). Lengths and averages are over all tokens."""
     length = toks.groupBy("pid").agg(F.count("*").alias("dl"))

@@ -9,7 +9,6 @@ from postwright.functions.hashing import sample_key
 from postwright.operators import decisions, diagnostics, geometry, insertion, metrics, postings, probes, search, training, vocabulary
 from postwright.operators.ordering import top_k
 from postwright.plans.registry import query
-from postwright.plans.retrieval_queries import variants
 from postwright.plans.world import DIM, DOCS, ENTRIES, HELD, QRELS, RUN, STORES, TAU_D, VOCAB, World, metrics_sql, vec_id
 
 # --- background statistics and hubness ---
@@ -123,14 +122,6 @@ def lexical_held_out_queries(w: World) -> DataFrame:
     return diagnostics.lexical_held_queries(q, w.toks.select("pid", "word").distinct(), w.qrels, words)
 
 
-@query("A33", None, "rho lo hi")
-def recovery_ratio(w: World) -> DataFrame:
-    """Aliases stand for the model and the whole vocabulary for the oracle; the interval is tested against its definition."""
-    v = variants(w).persist()
-    m = {name: metrics.per_query(v.where(F.col("variant") == name).drop("variant"), w.qrels) for name in ("all", "seen", "alias")}
-    return metrics.recovery_ratio(m["alias"], m["seen"], m["all"], m["seen"], "ndcg", 200)
-
-
 # --- probes: occurrences of words as probes of their own entries ---
 
 PROBES = f"""{ENTRIES}, pr AS (SELECT DISTINCT entry_id AS probe, entry_id AS own_id, v FROM (SELECT entry_id, {vec_id("word || '#1'")} AS v FROM vocab)),
@@ -420,19 +411,6 @@ def history_tail(w: World) -> DataFrame:
     return metrics.tail_mean(w.table("events"), "event_id", "value")
 
 
-LAYERS = [(1, 0.4, 0.1, 0.7), (2, 0.6, 0.2, 0.9), (3, 0.6, 0.3, 0.8), (4, 0.5, 0.3, 0.9)]
-
-
-@query("D1 B7", "SELECT * FROM (VALUES (1, 0.4::DOUBLE, 0.1::DOUBLE, 0.7::DOUBLE), (2, 0.6, 0.2, 0.9), (3, 0.6, 0.3, 0.8), (4, 0.5, 0.3, 0.9)) t(layer, hit10, rel_mrr, sense) ORDER BY hit10 DESC, rel_mrr DESC, layer LIMIT 1")
-def best_layer(w: World) -> DataFrame:
-    return decisions.best_layer(w.spark.createDataFrame(LAYERS, "layer int, hit10 double, rel_mrr double, sense double"))
-
-
-@query("D1 A43", "SELECT metric, arg_max(layer, (v, -layer)) AS layer FROM (UNPIVOT (SELECT * FROM (VALUES (1, 0.4::DOUBLE, 0.1::DOUBLE, 0.7::DOUBLE), (2, 0.6, 0.2, 0.9), (3, 0.6, 0.3, 0.8), (4, 0.5, 0.3, 0.9)) t(layer, hit10, rel_mrr, sense)) ON hit10, rel_mrr, sense INTO NAME metric VALUE v) GROUP BY metric")
-def best_layer_by_metric(w: World) -> DataFrame:
-    return decisions.best_by_metric(w.spark.createDataFrame(LAYERS, "layer int, hit10 double, rel_mrr double, sense double"), ["hit10", "rel_mrr", "sense"])
-
-
 @query("D2", "WITH r AS (SELECT * FROM (VALUES ('R1', 100.0::DOUBLE, 0.90::DOUBLE, 0.3::DOUBLE), ('R2', 120.0, 0.91, 0.2), ('R3', 90.0, 0.99, 0.1)) t(rep, nnz, self_hit, hub_share) WHERE nnz >= 96) SELECT * FROM r WHERE self_hit >= (SELECT max(self_hit) FROM r) - 0.02 ORDER BY hub_share, rep LIMIT 1")
 def usable_representation(w: World) -> DataFrame:
     rows = [("R1", 100.0, 0.90, 0.3), ("R2", 120.0, 0.91, 0.2), ("R3", 90.0, 0.99, 0.1)]
@@ -482,15 +460,6 @@ def query_entries(w: World) -> DataFrame:
     return q.join(w.vocab.select("word", "entry_id"), "word").groupBy("qid", "entry_id").agg(F.count("*").alias("n"))
 
 
-@query("F8 F9", "SELECT vec_id, list_sum(e) / sqrt(list_dot_product(e, e)) AS total FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "total")
-def identity_head(w: World) -> DataFrame:
-    """A head whose second matrix is zero, as at the start of training."""
-    import numpy as np
-
-    h = geometry.head(w.states.select("vec_id", "state"), np.ones((8, 64)), np.zeros((64, 8)), "state")
-    return h.select("vec_id", F.aggregate("state", F.lit(0.0), lambda a, x: a + x).alias("total"))
-
-
 @query("O11 G8", None, "norm")
 def random_control(w: World) -> DataFrame:
     """As many directions without meaning as there are held-out entries."""

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwright.sources.log import open_uri
+
 
 def padded_to_postings(store: DataFrame, kind: str) -> DataFrame:
     """Rows (row_id, idx array, val array) to (kind, row_id, entry_id, weight, rank): padding (no weight) is left out, ranks are from 0."""
@@ -49,6 +51,16 @@ def read_npz(spark: SparkSession, path: str, row_id: str = "row_id") -> DataFram
     return files.mapInArrow(load, schema)
 
 
+def save_npz(uri: str, **arrays: np.ndarray) -> None:
+    """Arrays as one archive in any file system that the executors share (S8). For what fits the driver."""
+    raw = io.BytesIO()
+    np.savez(raw, **arrays)
+    files, path = open_uri(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as out:
+        out.write(raw.getvalue())
+
+
 def _kinds(raw: bytes) -> dict[str, str]:
     with np.load(io.BytesIO(raw), allow_pickle=False) as z:
         return {k: "double" if z[k].ndim == 1 and z[k].dtype.kind in "fiub" else "string" for k in sorted(z.files)}
@@ -60,13 +72,16 @@ def save_json(path: str, value: Any) -> None:
     def plain(x):
         return x.item() if isinstance(x, np.generic) else x.tolist() if isinstance(x, np.ndarray) else str(x)
 
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, default=plain, sort_keys=True)
+    files, path = open_uri(path)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as out:
+        out.write(json.dumps(value, indent=2, default=plain, sort_keys=True).encode())
 
 
 def load_json(path: str) -> Any:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    files, path = open_uri(path)
+    with files.open_input_stream(path) as f:
+        return json.loads(f.read())
 
 
 def tagged(kind: str, tag: str | None = None, **more: str) -> str:

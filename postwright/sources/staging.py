@@ -7,7 +7,7 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +74,23 @@ def cached_result(spark: SparkSession, folder: str, settings: dict, make) -> Dat
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, tuple[str, ...], Callable[..., DataFrame]]]) -> dict[str, tuple[DataFrame, bool]]:
+    """Name to (table, whether it was made now) of stages (name, names of stages it reads, function of their tables) in any order that has an order.
+
+    A stage whose commit marker is in ``folder`` is read and not made again, unless one that it reads was made anew; so a run that broke off goes on where it stopped.
+    """
+    left, done = {name: (needs, make) for name, needs, make in stages}, {}
+    while left:
+        ready = [name for name, (needs, _) in left.items() if all(n in done for n in needs)]
+        if not ready:
+            raise ValueError(f"stages wait for each other or for what is not there: {sorted(left)}")
+        for name in ready:
+            needs, make = left.pop(name)
+            path = f"{folder}/{name}"
+            fresh = not exists(spark, f"{path}/_SUCCESS") or any(done[n][1] for n in needs)
+            if fresh:
+                make(*[done[n][0] for n in needs]).write.mode("overwrite").parquet(path)
+            done[name] = (spark.read.parquet(path), fresh)
+    return done

@@ -219,3 +219,68 @@ def test_json_of_numpy(tmp_path):
 
     artifacts.save_json(f"{tmp_path}/a.json", {"x": np.float32(0.5), "y": np.arange(3)})
     assert json.load(open(f"{tmp_path}/a.json")) == {"x": 0.5, "y": [0, 1, 2]} and artifacts.tagged("proto", "legal", enc="e5") == "proto_e5_legal"
+
+
+def test_fit_map_matches_a_plain_loop_and_goes_on_after_a_break(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [([float(x) for x in rng.normal(size=3)], [float(x) for x in rng.normal(size=3)], [[float(x) for x in rng.normal(size=3)] for _ in range(2)]) for _ in range(20)]
+    t = spark.createDataFrame(rows, "query array<double>, positive array<double>, negatives array<array<double>>")
+    w, losses = np.eye(3), []
+    for _ in range(4):
+        total, g = 0.0, np.zeros((3, 3))
+        for q, p, n in rows:
+            q, x = np.array(q), np.array([p, *n])
+            z = 2.0 * (x @ (q @ w))
+            prob = np.exp(z) / np.exp(z).sum()
+            total -= np.log(prob[0])
+            g += 2.0 * np.outer(q, (prob - np.eye(3)[0]) @ x)
+        losses.append(total / 20)
+        w = w - 0.3 * g / 20
+    training.fit_map(t, 3, 2, f"{tmp_path}/run", 0.3, 2.0)
+    broken = training.fit_map(t, 3, 4, f"{tmp_path}/run", 0.3, 2.0).orderBy("step").collect()
+    assert [r.step for r in broken] == [0, 1, 2, 3] and np.allclose([r.loss for r in broken], losses) and losses[-1] < losses[0]
+    assert np.allclose(broken[-1].weights, w.ravel())
+
+
+def test_gelu_head_matches_its_definition(spark):
+    rng = np.random.default_rng(1)
+    x, w1, w2 = rng.normal(size=(5, 4)), rng.normal(size=(3, 4)), rng.normal(size=(4, 3))
+    z = x @ w1.T
+    h = x + (z * 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))) @ w2.T
+    want = h / np.linalg.norm(h, axis=1, keepdims=True)
+    got = geometry.head(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "entry_id int, vec array<double>"), w1, w2).orderBy("entry_id").collect()
+    assert np.allclose([r.vec for r in got], want)
+
+
+@pytest.mark.parametrize("rows", [8_000_000, 0])
+def test_pooling_sent_or_joined(spark, monkeypatch, rows):
+    """Few similarities are pooled where the texts are, many are joined: the same postings."""
+    from postwright.operators import postings
+
+    monkeypatch.setattr(postings, "SENT_ROWS", rows)
+    rng = np.random.default_rng(2)
+    sims = [(v, e, float(np.round(rng.random(), 2))) for v in range(12) for e in range(30) if rng.random() < 0.5]
+    units = [(p, int(rng.integers(14))) for p in range(25) for _ in range(rng.integers(1, 9))]
+    s, u = spark.createDataFrame(sims, "vec_id long, entry_id int, sim double"), spark.createDataFrame(units, "pid long, vec_id long")
+    best = {}
+    for p, v in units:
+        for w, e, x in sims:
+            if w == v:
+                best[p, e] = max(best.get((p, e), 0), x)
+    assert {(r.pid, r.entry_id): r.sim for r in postings.max_pool(u, s).collect()} == best
+    want = set()
+    for p in {p for p, _ in units}:
+        own = sorted((-round(x - 0.3, 8), e) for (q, e), x in best.items() if q == p and x > 0.3)[:4]
+        want |= {(p, e, -w, k) for k, (w, e) in enumerate(own)}
+    assert {(r.pid, r.entry_id, r.weight, r["rank"]) for r in postings.pooled_postings(u, s, 0.3, 4).collect()} == want
+
+
+def test_phrases_anywhere_in_blocks(spark):
+    from postwright.operators import tokens
+
+    texts = [(1, "xabcy abc"), (2, "ab c"), (3, None), (4, ""), (5, "éabcé b"), (5, "b")]
+    phrases = [(7, "abc"), (8, "b"), (9, ""), (10, None), (11, "abc")]
+    t, p = spark.createDataFrame(texts, "pid long, text string"), spark.createDataFrame(phrases, "qid long, phrase string")
+    for block in (1, 1000):
+        got = sorted(tuple(r) for r in tokens.containing(t, p, "pid", "qid", block_bytes=block).collect())
+        assert got == sorted((i, q) for i, x in texts for q, y in phrases if x and y and y in x)

@@ -102,3 +102,15 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_dir(Session())
+
+
+def test_stages_in_any_order_and_waiting_for_each_other(spark, tmp_path):
+    made = []
+    stages = [("b", ("a",), lambda a: made.append("b") or a.selectExpr("id * 2 AS id")), ("a", (), lambda: made.append("a") or spark.range(3))]
+    out = staging.run_stages(spark, str(tmp_path), stages)
+    assert sorted(r.id for r in out["b"][0].collect()) == [0, 2, 4] and made == ["a", "b"]
+    assert not any(fresh for _, fresh in staging.run_stages(spark, str(tmp_path), stages).values()) and made == ["a", "b"]
+    staging.remove(spark, f"{tmp_path}/a")  # what reads a stage that is made anew is made anew too
+    assert all(fresh for _, fresh in staging.run_stages(spark, str(tmp_path), stages).values())
+    with pytest.raises(ValueError, match="wait"):
+        staging.run_stages(spark, str(tmp_path), [("x", ("y",), None), ("y", ("x",), None)])
