@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postwright.llm import decontaminate, exact_dedup, license_scan, maxent_lm, packing, simhash, token_files, tool_links, toxicity, url_filter
 from postwright.llm._common import table
@@ -50,6 +51,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can say."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can say."""
+    return op3_maxent_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can say, the verdict where a rule gives it."""
+    rule = F.col("rule")
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(rule.isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's rows against op5's: the same documents, each with one end id."""
+    files = op7_token_files(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("in_files"))
+    packed = op5_best_fit_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("in_pieces"))
+    return files.join(packed, "doc_id", "full").where("in_files IS DISTINCT FROM in_pieces").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -61,6 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "base_license_places": base_license_places,
+    "base_lm_scores": base_lm_scores,
+    "base_url_rules": base_url_rules,
+    "token_counts": token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,6 +124,44 @@ ORACLE_SQL: dict[str, str] = {
                     WHEN kind = 'result' THEN '{' || coalesce('"content":' || to_json(text) || ',', '') || '"role":"assistant","tool_call_id":"' || l.call_id || '"}'
                     ELSE '{' || coalesce('"content":' || to_json(text) || ',', '') || '"role":' || to_json(role) || '}' END AS message
         FROM linked l LEFT JOIN placed p ON p.conv_id = l.conv_id AND p.call_id = l.call_id""",
+    "base_license_places": r"""
+        WITH w AS (
+          SELECT doc_id, row_number() OVER () AS r,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-/:-`{-\x{7F}]+') AS ws
+          FROM documents),
+        p AS (
+          SELECT r, i - 1 AS place, label
+          FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+               (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) b(phrase, label)
+          WHERE ws[i] = phrase[1] AND ws[i:i + len(phrase) - 1] = phrase)
+        SELECT doc_id, len(ws) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM w LEFT JOIN p USING (r) GROUP BY r, doc_id, ws""",
+    "base_lm_scores": r"""
+        WITH d AS (
+          SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS ws,
+                 coalesce(doc_id::VARCHAR, '') AS id FROM documents),
+        bits AS (
+          SELECT r, list_reduce(list_transform(range(0, length(id)), lambda i: ord(substr(id, i + 1, 1))::BIGINT), lambda a, b:
+            list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), 4294967295::BIGINT) AS state FROM d),
+        h AS (SELECT d.*, xor(state, 4294967295) % 10 = 0 AS held_out FROM d JOIN bits USING (r)),
+        t AS (SELECT r, held_out, unnest(list_append(ws, chr(10))) AS w FROM h),
+        c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+        s AS (
+          SELECT r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base
+          FROM t LEFT JOIN c USING (w), n GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, round(base, 3) AS base_score FROM h JOIN s USING (r), n""",
+    "base_url_rules": r"""
+        WITH u AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r FROM pages),
+        fits AS (
+          SELECT r, rh || rp AS rule, v FROM u, (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) rules(v, rh, rp)
+          WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+        best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) = 1)
+        SELECT page_id, host, path, rule, v AS verdict FROM u LEFT JOIN best USING (r)""",
+    "token_counts": "SELECT doc_id FROM documents WHERE false",
     "op9_exact_dedup": """
         WITH n AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
