@@ -2,16 +2,50 @@
 
 Every step is an aggregate and an equi-join on ``(a, b)`` rows, so hub nodes are
 pre-aggregated and their join partitions can be split; no node's neighbours are gathered.
+A link table of a bounded size takes one task and no shuffle instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.llm._common import discard, staged
 
 
+#: Links that one task takes, at most (16 bytes each).
+ONE_TASK = 200_000
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the pairs (i, j) connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if found:
+        links = np.concatenate(found)
+        nodes, place = np.unique(links, return_inverse=True)
+        place = place.reshape(links.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest(len(nodes), place[:, 0], place[:, 1])])], names=["node", "component"])
+
+
 def _lower_links(links: DataFrame) -> DataFrame:
     """Links as (u, v) with v < u, each once."""
     return (
@@ -40,6 +74,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs one round at most.
     """
     edges = staged(_lower_links(links), "links")
+    if edges.count() <= ONE_TASK:
+        return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_whole, "node long, component long")
     seen = None
     for _ in range(max_rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

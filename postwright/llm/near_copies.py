@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 HASHES = 80
 BAND_ROWS = 5
 #: Pivots of a cell in each round after the first two.
-SLOTS = 48
+SLOTS = 128
 #: Members that one task compares with a pivot.
 SHARE = 256
 AT_ONCE = 512
@@ -213,19 +213,19 @@ def _links(members: DataFrame, close: DataFrame, texts: DataFrame, width: int, l
         left = alive.join(pivots.select("cell", F.col("pivot").alias("key")), ["cell", "key"], "left_anti")
         if member is not None:
             left = left.drop("component").join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        was, alive = alive, staged(_mixed(left), "near-alive")
+        was = alive
+        if round_no == 1:
+            left = staged(_mixed(left), "near-left")
+            own = _alone(left.select("key").distinct(), texts, width)
+            left = left.drop("alone").join(own, "key", "left").withColumn("alone", F.coalesce(F.col("alone").cast("int"), F.lit(0)))
+        if round_no:  # what is too different from all others of its cell leaves, and then the cells of one component
+            smallest = left.groupBy("cell").agg(F.min("size").alias("smallest"))
+            left = left.join(smallest, "cell").where(_room(least) >= F.col("smallest")).drop("smallest")
+        alive = staged(_mixed(left), "near-alive")
         for old in (pivots, pairs, found, was):
             discard(old)
         if alive.isEmpty():
             return member
-        if round_no == 1:
-            own = _alone(alive.select("key").distinct(), texts, width)
-            alive = staged(alive.drop("alone").join(own, "key", "left").withColumn("alone", F.coalesce(F.col("alone").cast("int"), F.lit(0))), "near-alone")
-        if round_no:
-            smallest = alive.groupBy("cell").agg(F.min("size").alias("smallest"))
-            alive = staged(_mixed(alive.join(smallest, "cell").where(_room(least) >= F.col("smallest")).drop("smallest")), "near-alive")
-            if alive.isEmpty():
-                return member
         round_no += 1
 
 

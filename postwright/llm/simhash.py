@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.llm._common import only, small_batches, staged
-from postwright.llm.components import connected_components
+from postwright.llm.components import connected_components, forest
 
 SEED = 42
 LOW = 0x5555555555555555
@@ -110,22 +110,6 @@ def near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that the pairs (i, j) connect it to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _long_run(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     found_i, found_j = [], []
     for at in range(0, len(fp), 256):

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from postwright.llm import exact_dedup, simhash
+from postwright.llm import components
 from postwright.llm.components import connected_components
 
 
@@ -135,7 +136,9 @@ def test_near_components_of_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_long_chain_is_one_component(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_long_chain_is_one_component(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
