@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.llm import decontaminate, exact_dedup, license_scan, maxent_lm, packing, simhash, token_files, tool_links, toxicity, url_filter
+from postwright.llm import decontaminate, exact_dedup, license_scan, maxent_lm, merkle, packing, simhash, token_files, tool_links, toxicity, url_filter
 from postwright.llm._common import table
 
 
@@ -51,6 +51,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2 that SQL can say."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "base_license_places": base_license_places,
     "base_lm_scores": base_lm_scores,
     "base_url_rules": base_url_rules,
@@ -161,6 +166,51 @@ ORACLE_SQL: dict[str, str] = {
           WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
         best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) = 1)
         SELECT page_id, host, path, rule, v AS verdict FROM u LEFT JOIN best USING (r)""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, row_number() OVER () AS r, coalesce('v' || lang, 'n') AS part, text,
+                 concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(doc_id::VARCHAR, '') AS id
+          FROM documents),
+        crc AS (
+          SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(id)), lambda i: ord(substr(id, i + 1, 1))::BIGINT)), lambda a, b:
+            list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) AS crc FROM d),
+        h AS (
+          SELECT d.*, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS found
+          FROM d JOIN crc USING (r)),
+        bottom AS (SELECT r, part, leaf, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM h),
+        nodes AS (
+          SELECT 0 AS level, part, i, n, leaf AS h FROM bottom
+          UNION ALL
+          SELECT level + 1, part, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, part, i // 8, n),
+        tops AS (SELECT part, h AS subroot, row_number() OVER (ORDER BY part) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        upper AS (
+          SELECT 0 AS level, i, n, subroot AS h FROM tops
+          UNION ALL
+          SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, i // 8, n),
+        root AS (SELECT h AS root FROM upper WHERE n = 1),
+        sides AS (
+          SELECT part, level, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs,
+                 coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs
+          FROM nodes WINDOW w AS (PARTITION BY part, level, i // 8 ORDER BY i)),
+        upper_sides AS (
+          SELECT level, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs,
+                 coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs
+          FROM upper WINDOW w AS (PARTITION BY level, i // 8 ORDER BY i)),
+        ways AS (
+          SELECT b.r, s.level, s.lhs, s.rhs FROM bottom b JOIN sides s ON s.part = b.part AND s.n > 1 AND s.i = b.i // (8 ** s.level)::BIGINT
+          UNION ALL
+          SELECT b.r, 100 + u.level, u.lhs, u.rhs FROM bottom b JOIN tops t USING (part) JOIN upper_sides u ON u.n > 1 AND u.i = t.i // (8 ** u.level)::BIGINT),
+        folds AS (
+          SELECT r, found AS h, 0 AS step FROM h
+          UNION ALL
+          SELECT f.r, sha256(concat(w.lhs, f.h, w.rhs)), step + 1 FROM folds f JOIN (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level) - 1 AS step FROM ways) w USING (r, step)),
+        ends AS (SELECT r, max_by(h, step) AS folded_root FROM folds GROUP BY r),
+        proofs AS (SELECT r, sha256(string_agg(lhs || rhs, '' ORDER BY level)) AS proof FROM ways GROUP BY r)
+        SELECT h.doc_id, h.leaf, t.subroot, root.root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root.root AS verified
+        FROM h JOIN ends USING (r) LEFT JOIN proofs USING (r) JOIN tops t USING (part), root""",
     "token_counts": "SELECT doc_id FROM documents WHERE false",
     "op9_exact_dedup": """
         WITH n AS (
