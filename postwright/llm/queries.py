@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.llm import decontaminate, exact_dedup, license_scan, maxent_lm, merkle, packing, simhash, token_files, tool_links, toxicity, url_filter
+from postwright.llm import decontaminate, divergence, exact_dedup, license_scan, maxent_lm, merkle, ngram_join, packing, simhash, token_files, tool_links, toxicity, url_filter
 from postwright.llm._common import table
 
 
@@ -51,10 +51,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2 that SQL can say."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -89,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_source_divergence": op11_source_divergence,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_join": op13_ngram_join,
     "base_license_places": base_license_places,
     "base_lm_scores": base_lm_scores,
     "base_url_rules": base_url_rules,
@@ -166,6 +176,28 @@ ORACLE_SQL: dict[str, str] = {
           WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
         best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) = 1)
         SELECT page_id, host, path, rule, v AS verdict FROM u LEFT JOIN best USING (r)""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS ts
+          FROM documents),
+        t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+        shares AS (
+          SELECT lang, source, term, coalesce(c.n, 0) AS n, kept.n AS n_lang,
+                 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (sum(coalesce(c.n, 0)) OVER w + 5 * count(*) OVER w) AS p,
+                 1 + (1000000000::HUGEINT * (kept.n + 5)) // (sum(kept.n) OVER w + 5 * count(*) OVER w) AS q
+          FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term) WINDOW w AS (PARTITION BY lang, source)),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y USING (lang, term) GROUP BY ALL) f
+            ON f.lang = a.lang AND f.source = a.source AND f.other = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op12_merkle_manifest": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, row_number() OVER () AS r, coalesce('v' || lang, 'n') AS part, text,
