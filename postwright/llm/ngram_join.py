@@ -10,8 +10,8 @@ opened only where the union holds enough of the query's tokens, and its members
    against which the others are compared. What that links is one component, and is not compared again.
 3. The other sets, and all across components: tokens of one component only cannot link two, so each set is looked up by as few
    of its rarest other tokens as a partner must share one of (prefixes: ``need`` by the larger set, ``least_common`` by the smaller).
-   Sets are dealt to groups of about 32 of like size in one component or under one MinHash value; the matrix (token, group, sizes)
-   is joined with the queries' tokens, and groups that may hold a partner get the query, for the bound and the comparison.
+   Sets are dealt to groups of about 64 of like size in one component or under one MinHash value. The matrix (token, group, sizes)
+   is joined with itself, so that two groups that may hold partners meet; then each set of one is a query to the other, for the bound and the comparison.
 
 Every number of rounds is fixed. A group has a bounded number of sets and tokens (a longer set alone is one), a hot group's queries
 are dealt to several tasks, and a large component of near copies costs eight comparisons a member, not its pairs.
@@ -37,10 +37,10 @@ PERCENT = 85
 PARTS = ((64, 1.0), (400, 0.5), (1 << 62, 0.25))
 HASHES = 8
 #: Sets and tokens of a group, about.
-GROUP = 32
-GROUP_TOKENS = 1 << 16
+GROUP = 64
+GROUP_TOKENS = 1 << 17
 #: Queries of a group that one task takes.
-SHARE = 512
+SHARE = 128
 #: Bytes of text hashed at once.
 SPAN = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio
@@ -293,12 +293,14 @@ def matrix_links(sets: DataFrame, percent: int = PERCENT, group: int = GROUP) ->
     keys = staged(found.select("key", "size", "cell").distinct().select("key", "size", about), "ngram-keys")
     blocks = staged(keys.groupBy("about").agg(F.ceil(F.greatest(F.count("*") / group, F.sum("size") / GROUP_TOKENS)).alias("blocks")), "ngram-blocks")
     groups = staged(keys.join(blocks, "about").select("key", F.xxhash64("about", F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("gid")), "ngram-groups")
-    matrix = found.where("held").join(groups, "key").groupBy("token", "gid").agg(*[f(c).alias(f"{n}_{c}") for c in ("size", "component") for n, f in (("lo", F.min), ("hi", F.max))])
+    matrix = found.join(groups, "key").groupBy("token", "gid").agg(*[f(c).alias(f"{n}_{c}") for c in ("size", "component") for n, f in (("lo", F.min), ("hi", F.max))], F.max("held").alias("held"))
     matrix = staged(matrix, "token-group-matrix")
-    asked = found.select("key", "size", "component", "token").join(matrix, "token").where(
-        (F.col("lo_size") <= F.col("size")) & (F.col("hi_size") * 100 >= F.col("size") * percent) & ((F.col("lo_component") != F.col("component")) | (F.col("hi_component") != F.col("component")))
-    )
-    asked = staged(asked.select("gid", "key").distinct(), "ngram-queries")
+    # Groups ask for each other, not set by set: a token that a whole family has makes a row for two groups, whatever they hold.
+    asks = matrix.select("token", *[F.col(c).alias(f"q_{c}") for c in matrix.columns if c not in ("token", "held")])
+    alike = (F.col("lo_component") == F.col("hi_component")) & (F.col("q_lo_component") == F.col("q_hi_component")) & (F.col("lo_component") == F.col("q_lo_component"))
+    fits = (F.col("lo_size") <= F.col("q_hi_size")) & (F.col("hi_size") * 100 >= F.col("q_lo_size") * percent) & ~alike
+    pairs = asks.join(matrix.where("held").drop("held"), "token").where(fits).select(F.least("gid", "q_gid").alias("gid"), F.greatest("gid", "q_gid").alias("q_gid")).distinct()
+    asked = staged(staged(pairs, "ngram-pairs").join(groups.withColumnRenamed("gid", "q_gid"), "q_gid").select("gid", "key"), "ngram-queries")
     return opened(groups, asked, sets, percent)
 
 

@@ -61,7 +61,7 @@ def edited(seed, groups=14, copies=14):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "group", "share"), [(1, 32, 512), (2, 3, 2)])
+@pytest.mark.parametrize(("seed", "group", "share"), [(1, 64, 128), (2, 3, 2)])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, group, share):
     """Also with small groups, and queries of a group dealt to several tasks."""
     monkeypatch.setattr(ngram_join.matrix_links, "__defaults__", (85, group))
