@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.vectors import DOUBLES, dot
 from postwright.operators.ordering import prefix_sums, top_k
-from postwright.operators.search import contributions
+from postwright.operators.search import contributions, dense_search
+from postwright.sources.staging import staged
 
 
 def hub_counts(nearest: DataFrame, entries: DataFrame) -> DataFrame:
@@ -37,15 +43,10 @@ def background(moments: DataFrame) -> DataFrame:
 
 
 def tail_place(q: float, n: int) -> int:
-    """Which of the largest of n similarities counts as the upper tail: max(int((1 - q) n), 8), not a percentile."""
+    """Which of the largest of n similarities counts as the upper tail: max(int((1 - q) n), 8), not a percentile (A28; its value is ``postings.nth_largest``)."""
     return max(int((1 - q) * n), 8)
 
 
-def upper_tail(largest: DataFrame, m: int) -> DataFrame:
-    """(entry_id, tail): the m-th largest similarity, or the least there is. ``largest``: as from ``postings.largest_similarities`` for the same m."""
-    return top_k(largest, ["entry_id"], [F.desc("sim")], m).groupBy("entry_id").agg(F.min("sim").alias("tail"))
-
-
 def below_tau(moments: DataFrame) -> DataFrame:
     """One row: percentage of similarities under the threshold that the moments were taken with."""
     return moments.agg((F.sum("below") / F.sum("n") * 100).alias("below"))
@@ -125,11 +126,51 @@ def lexical_held_queries(query_words: DataFrame, passage_words: DataFrame, qrels
     return q.join(passage_words, ["pid", "word"], "left_semi").select("qid").distinct()
 
 
-def stability(sims_a: DataFrame, sims_b: DataFrame, k: int = 50) -> DataFrame:
-    """(entry_id, jaccard) of the ``k`` nearest bank rows of two prototypes of each entry."""
-    a, b = (top_k(s, ["entry_id"], [F.desc("sim"), F.col("vec_id")], k).select("entry_id", "vec_id") for s in (sims_a, sims_b))
-    both = a.join(b, ["entry_id", "vec_id"]).groupBy("entry_id").agg(F.count("*").alias("both"))
-    sizes = a.groupBy("entry_id").agg(F.count("*").alias("na")).join(b.groupBy("entry_id").agg(F.count("*").alias("nb")), "entry_id")
-    return sizes.join(both, "entry_id", "left").select("entry_id", (F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))).alias("jaccard"))
-
-
+#: Occurrences that prototypes of the stability curve are made of, and neighbours that are compared.
+CURVE, NEIGHBOURS, HALF = (1, 3, 5, 10, 20, 50), 50, 50
+
+
+def nested_prototypes(occurrences: DataFrame, sizes: tuple[int, ...] = CURVE, half: int = HALF) -> DataFrame:
+    """(entry_id, half, k, vec): the normalised mean state of an entry's first k occurrences in each of two disjoint halves.
+
+    ``occurrences``: entry_id, slot (from 0; a half is ``half`` slots, so that an entry has twice as many at most), state. All sizes come from one
+    running sum. A half with fewer than k occurrences gives the mean of those it has, one without any no row.
+    """
+    rows = occurrences.where(F.col("slot") < 2 * half).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("slot", F.col("state").cast(DOUBLES).alias("state")))).alias("o"))
+    return rows.select("entry_id", F.col("o.slot").alias("slot"), F.flatten("o.state").alias("state")).mapInArrow(_running_means(sizes, half), "entry_id int, half int, k int, vec array<double>")
+
+
+def _running_means(sizes: tuple[int, ...], half: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for entry, slot, state in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                slot = slot.values.to_numpy()
+                sums = np.cumsum(state.values.to_numpy().reshape(len(slot), -1), axis=0)
+                for side in (0, 1):
+                    first, last = np.searchsorted(slot, (side * half, (side + 1) * half))
+                    for k in sizes if last > first else ():
+                        end = int(np.searchsorted(slot, side * half + k))
+                        if end > first:
+                            total = sums[end - 1] - (sums[first - 1] if first else 0.0)
+                            found.append((entry, side, k, total / max(float(np.linalg.norm(total)), 1e-12)))
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["entry_id", "half", "k", "vec"])
+
+    return run
+
+
+def stability_curve(prototypes: DataFrame, bank: DataFrame, dim: int, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(k, n, jaccard, cosine): for each number of occurrences the mean overlap of the two prototypes' nearest bank rows and their mean cosine.
+
+    ``prototypes``: as from ``nested_prototypes``; ``bank``: pid, vec. Neighbours are ranked inside the product; entries with one half only are left out.
+    """
+    both = Window.partitionBy("entry_id", "k")
+    named = prototypes.withColumn("sides", F.count("*").over(both)).where("sides = 2").drop("sides")
+    named = staged(named.withColumn("qid", (F.col("entry_id").cast("long") * 1000 + F.col("k")) * 2 + F.col("half")), "prototypes")
+    near = dense_search(named.select("qid", "vec"), bank, dim, neighbours).select(F.expr("qid div 2").alias("pair"), "pid")
+    held = near.groupBy("pair", "pid").agg(F.count("*").alias("sides")).groupBy("pair").agg(F.sum((F.col("sides") == 2).cast("long")).alias("shared"), F.count("*").alias("all"))
+    one, two = (named.where(F.col("half") == h).select(F.expr("qid div 2").alias("pair"), "k", F.col("vec").alias(f"v{h}")) for h in (0, 1))
+    cosine = one.join(two.drop("k"), "pair").select("pair", "k", dot("v0", "v1").alias("cosine"))
+    return cosine.join(held, "pair").groupBy("k").agg(F.count("*").alias("n"), F.avg(F.col("shared") / F.col("all")).alias("jaccard"), F.avg("cosine").alias("cosine"))

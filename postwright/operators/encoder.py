@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postwright.functions import text as T
 from postwright.functions.hashing import md5_int
 from postwright.functions.vectors import DOUBLES, l2_normalise
 
@@ -47,6 +48,11 @@ class LookupEncoder:
         """Tokens with their ``vec_id``; ``with_states`` adds the vectors. States are joined late, so that they move as numbers."""
         return toks.withColumn("vec_id", self.vec_id(F.col("word")))
 
+    def keys(self, texts: DataFrame, row: str = "pid") -> DataFrame:
+        """(row, keys): the distinct states of each text's words, made inside the row: no row a token, no shuffle. Texts without words have none."""
+        words = F.array_distinct(F.transform(T.runs(F.col("text")), F.lower))
+        return texts.select(row, F.array_distinct(F.transform(words, self.vec_id)).alias("keys")).where(F.size("keys") > 0)
+
     def with_states(self, units: DataFrame) -> DataFrame:
         return units.join(self.states, "vec_id")
 

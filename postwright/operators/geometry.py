@@ -98,39 +98,6 @@ def eigen_shares(stats: DataFrame) -> tuple[float, float]:
     return float(values[0] / values.sum()), float(values[:5].sum() / values.sum())
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, key: str = "entry_id", seed: int = 7, rounds: int = 30) -> DataFrame:
-    """(key, cluster): k-means by cosine (M10), by the library's distributed implementation."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors.select(key, array_to_vector(F.col("vec").cast(DOUBLES)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine", featuresCol="features", predictionCol="cluster").fit(data)
-    return model.transform(data).select(key, "cluster")
-
-
-def atoms(vectors: DataFrame, m: int, most: int = 100, key: str = "entry_id") -> DataFrame:
-    """(key, atom, vec): ``m`` spherical means of each entry's sampled states (M10, the multi-prototype entries of M9).
-
-    An entry has ``most`` sampled states at most (see the occurrence sample), so a group is small.
-    """
-
-    def one(pdf):
-        import pandas as pd
-
-        x = np.array(pdf.sort_values("slot").vec.tolist())[:most]
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c = x[np.linspace(0, len(x) - 1, min(m, len(x))).astype(int)]
-        for _ in range(10):
-            own = (x @ c.T).argmax(axis=1)
-            c = np.array([x[own == a].mean(axis=0) if (own == a).any() else c[a] for a in range(len(c))])
-            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({key: pdf[key].iloc[0], "atom": np.arange(len(c), dtype=np.int32), "vec": list(c)})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    sampled = vectors.where(F.col("slot") < most).select(key, "slot", F.col("vec").cast(DOUBLES).alias("vec"))
-    return sampled.groupBy(key).applyInPandas(one, f"{key} {kind}, atom int, vec array<double>")
-
-
 def head(vectors: DataFrame, w1: np.ndarray, w2: np.ndarray, vec: str = "vec", activation: str = "gelu") -> DataFrame:
     """Residual head h + W2 f(W1 h), normalised (F8, F9), f the exact gelu or relu; zero W2 is the identity on unit vectors."""
     if activation not in ("gelu", "relu"):

@@ -6,23 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.functions.hashing import sample_key
 from postwright.functions.vectors import DOUBLES
-from postwright.operators.postings import DIGITS, SLICE_CELLS, entry_blocks
+from postwright.operators.postings import DIGITS, SLICE_CELLS, sent_entries
 
 
 def probe_metrics(probes: DataFrame, entries: DataFrame, dim: int, tau: float) -> DataFrame:
     """(probe, own_sim, self_rank, z_gap, participation) of each probe.
 
     ``probes``: probe, own_id, state. self_rank counts entries strictly more similar; the z-gap is from the lower median, over the sample
-    deviation; participation is of what is over ``tau``. All entries (a vocabulary, which is bounded) are sent along, so each probe is one row.
+    deviation; participation is of what is over ``tau``. All entries (a vocabulary, whose size is checked) are sent along, so each probe is one row.
     """
-    blocks = list(entry_blocks(entries, dim))
-    ids, matrix = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(0, np.int64), np.zeros((0, dim)))
-    sent = probes.sparkSession.sparkContext.broadcast((ids, matrix))
+    sent = probes.sparkSession.sparkContext.broadcast(sent_entries(entries, dim))
     p = probes.where("own_id IS NOT NULL").select("probe", "own_id", F.col("state").cast(DOUBLES).alias("state"))
     kind = p.schema["probe"].dataType.simpleString()
     return p.mapInArrow(_probe_rows(sent, tau), f"probe {kind}, own_sim double, self_rank long, z_gap double, participation double")
@@ -54,18 +52,60 @@ def _probe_rows(sent, tau: float):
     return run
 
 
-def matched_random_auc(sims: DataFrame, own: DataFrame, draws: int = 4, seed: str = "auc") -> DataFrame:
-    """(probe, auc): share of ``draws`` other entries, drawn by hash, less similar than the own one."""
-    s = sims.join(own, "probe")
-    mine = s.where("entry_id = own_id").select("probe", F.col("sim").alias("own_sim"))
-    others = s.where("entry_id <> own_id").withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(sample_key(seed, "probe", "entry_id"), "entry_id"))).where(F.col("r") <= draws)
-    return others.join(mine, "probe").groupBy("probe").agg(F.avg((F.col("sim") < F.col("own_sim")).cast("double")).alias("auc"))
+def target_ranks(probes: DataFrame, targets: DataFrame, entries: DataFrame, dim: int) -> DataFrame:
+    """(probe, entry_id, sim, rank) of the entries that are asked for: rank is one more than the entries strictly more similar.
+
+    ``probes``: probe, state; ``targets``: probe, entry_id, each pair once. The wanted ids go along with each probe and are looked up inside the product: no other pair becomes a row.
+    """
+    sent = probes.sparkSession.sparkContext.broadcast(sent_entries(entries, dim))
+    asked = targets.groupBy("probe").agg(F.collect_list(F.col("entry_id").cast("long")).alias("asked"))
+    p = probes.join(asked, "probe").select("probe", F.col("state").cast(DOUBLES).alias("state"), "asked")
+    kind = p.schema["probe"].dataType.simpleString()
+    return p.mapInArrow(_targets(sent), f"probe {kind}, entry_id int, sim double, rank long")
+
+
+def _targets(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+        known = ids[first]
+        for b in batches:
+            step = max(1, SLICE_CELLS // max(1, len(ids)))
+            for at in range(0, b.num_rows if len(ids) else 0, step):
+                part = b.slice(at, step)
+                sim = np.round(np.maximum.reduceat(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1) @ matrix.T, first, axis=1), DIGITS)
+                n = part.column(2).value_lengths().to_numpy()
+                row, asked = np.repeat(np.arange(len(n)), n), part.column(2).flatten().to_numpy()
+                place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                there = known[place] == asked
+                row, place = row[there], place[there]
+                # How many of a probe's similarities lie over each: by its place among them in order.
+                order = np.sort(sim, axis=1)
+                rank = [sim.shape[1] - np.searchsorted(order[r], sim[r, c], side="right") + 1 for r, c in zip(row, place, strict=True)]
+                columns = [part.column(0).take(pa.array(row)), pa.array(known[place].astype(np.int32)), pa.array(sim[row, place]), pa.array(rank, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["probe", "entry_id", "sim", "rank"])
+
+    return run
+
+
+def random_targets(probes: DataFrame, entries: DataFrame, draws: int = 4, seed: str = "auc") -> DataFrame:
+    """(probe, entry_id): ``draws`` entries drawn by hash for each probe, its own not among them. ``probes``: probe, own_id; ids of entries run from 0.
+
+    Each probe ranks a vocabulary of hashes inside its row, and keeps the first.
+    """
+    n = F.broadcast(entries.agg(F.collect_set(F.col("entry_id").cast("long")).alias("ids")))  # a vocabulary's numbers
+    hashed = F.transform(F.filter("ids", lambda e: e != F.col("own_id")), lambda e: F.struct(sample_key(seed, F.col("probe"), e).alias("h"), e.alias("e")))
+    return probes.crossJoin(n).select("probe", F.explode(F.slice(F.array_sort(hashed), 1, draws)).alias("x")).select("probe", F.col("x.e").cast("int").alias("entry_id"))
+
+
+def matched_random_auc(ranks: DataFrame, own: DataFrame) -> DataFrame:
+    """(probe, auc): share of the drawn entries that are less similar than the own one (A21). ``ranks``: as from ``target_ranks`` of ``random_targets``; ``own``: probe, own_sim."""
+    return ranks.join(own, "probe").groupBy("probe").agg(F.avg((F.col("sim") < F.col("own_sim")).cast("double")).alias("auc"))
 
 
-def related_rank(sims: DataFrame, related: DataFrame) -> DataFrame:
-    """(probe, mrr): mean reciprocal rank of related entries; a rank is one more than the entries strictly more similar (W7). ``related``: probe, entry_id."""
-    ranks = sims.withColumn("rank", F.rank().over(Window.partitionBy("probe").orderBy(F.desc("sim"))))
-    return ranks.join(related, ["probe", "entry_id"], "left_semi").groupBy("probe").agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
+def related_rank(ranks: DataFrame) -> DataFrame:
+    """(probe, mrr): mean reciprocal rank of related entries (W7). ``ranks``: as from ``target_ranks`` of the related pairs."""
+    return ranks.groupBy("probe").agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
 
 
 def self_activation(metrics: DataFrame) -> DataFrame:

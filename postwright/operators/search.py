@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.functions.vectors import DOUBLES
+from postwright.operators.encoder import SENT_BYTES
 from postwright.operators.ordering import top_k
 from postwright.operators.postings import DIGITS, SLICE_CELLS, entry_blocks
 
@@ -126,23 +127,30 @@ def _best(block, k: int):
     return run
 
 
-def late_interaction(candidates: DataFrame, query_units: DataFrame, doc_units: DataFrame, states: DataFrame) -> DataFrame:
+def late_interaction(candidates: DataFrame, query_units: DataFrame, doc_units: DataFrame, states: DataFrame, dim: int) -> DataFrame:
     """(qid, pid, score): for each distinct state of a query the most similar state of the passage, added up (M6).
 
-    ``candidates``: qid, pid; units: qid or pid, vec_id. What moves is a list of states for each text of a candidate; the vectors are sent along once.
+    ``candidates``: qid, pid; units: qid or pid, vec_id. States of up to ``SENT_BYTES`` are sent along once, and what moves is a list of their numbers for each
+    text of a candidate; those of a larger table are joined to the texts.
     """
-    t = states.toArrow().sort_by("vec_id")
-    matrix = t.column("state").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    sent = states.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), matrix))
-    q = query_units.groupBy("qid").agg(F.collect_set(F.col("vec_id").cast("long")).alias("q"))
-    d = doc_units.join(candidates.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.collect_set(F.col("vec_id").cast("long")).alias("d"))
-    return candidates.select("qid", "pid").join(q, "qid").join(d, "pid").select("qid", "pid", "q", "d").mapInArrow(_max_sim(sent), "qid long, pid long, score double")
-
-
-def _max_sim(sent):
+    q = query_units.select("qid", F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    d = doc_units.join(candidates.select("pid").distinct(), "pid", "left_semi").select("pid", F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    vectors = states.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("state").cast(DOUBLES).alias("state"))
+    sent, lists = None, [F.array_sort(F.collect_list("vec_id"))]
+    if vectors.count() * dim * 8 <= SENT_BYTES:
+        t = vectors.toArrow().sort_by("vec_id")
+        sent = states.sparkSession.sparkContext.broadcast((t.column("vec_id").to_numpy(), t.column("state").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)))
+    else:
+        q, d = q.join(vectors, "vec_id"), d.join(vectors, "vec_id")
+        lists = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "state"))), lambda s: s["state"]))]
+    q, d = q.groupBy("qid").agg(lists[0].alias("q")), d.groupBy("pid").agg(lists[0].alias("d"))
+    return candidates.select("qid", "pid").join(q, "qid").join(d, "pid").select("qid", "pid", "q", "d").mapInArrow(_max_sim(sent, dim), "qid long, pid long, score double")
+
+
+def _max_sim(sent, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = sent.value
-        rows = lambda x: matrix[np.searchsorted(ids, np.sort(x.values.to_numpy()))]
+        ids, matrix = sent.value if sent else (None, None)
+        rows = lambda x: matrix[np.searchsorted(ids, x.values.to_numpy())] if sent else x.values.to_numpy().reshape(-1, dim)
         for b in batches:
             score = [float((rows(q) @ rows(d).T).max(axis=1).sum()) for q, d in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["qid", "pid", "score"])

@@ -20,6 +20,11 @@ def tokens(passages: DataFrame, unicode: bool = False, most: int | None = None)
     return passages.select("pid", F.posexplode(found).alias("pos", "word")).select("pid", "pos", F.lower("word").alias("word"))
 
 
+def truncated_words(passages: DataFrame, most: int) -> DataFrame:
+    """(pid, words): the first ``most`` lower-cased word runs of each passage as a list."""
+    return passages.select("pid", F.transform(T.truncated(T.runs(F.col("text")), most), F.lower).alias("words"))
+
+
 def alphabetic(toks: DataFrame) -> DataFrame:
     return toks.where(T.is_alphabetic(F.col("word")))
 
@@ -74,10 +79,22 @@ def word_units(pieces: DataFrame) -> DataFrame:
     )
 
 
-def overlapping(pieces: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pieces with every run of the same passage that they overlap (J13). Equi-join on the passage, range condition inside it."""
-    a, b = pieces.alias("a"), runs.alias("b")
-    return a.join(b, (F.col("a.pid") == F.col("b.pid")) & (F.col("a.start") < F.col("b.stop")) & (F.col("a.stop") > F.col("b.start"))).select(
+#: Places of a cell of the grid that intervals are dealt to.
+CELL = 64
+
+
+def overlapping(pieces: DataFrame, runs: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pieces with every run of the same passage that they overlap.
+
+    Each interval goes to the cells of a grid that it touches, and a pair is reported in the first cell that both touch: work grows with the intervals and the
+    pairs found, and a long passage is shared out by cells. Empty intervals overlap what they lie inside of; those with a null end overlap nothing.
+    """
+    first = F.expr(f"floor(start / {cell})")
+    cells = F.explode(F.sequence(first, F.greatest(first, F.expr(f"floor((stop - 1) / {cell})")))).alias("cell")
+    a = pieces.where("start <= stop").select("pid", "start", "stop", first.alias("first"), cells).alias("a")
+    b = runs.where("start <= stop").select("pid", "start", "stop", "run", first.alias("first"), cells).alias("b")
+    same = (F.col("a.pid") == F.col("b.pid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.first", "b.first"))
+    return a.join(b, same & (F.col("a.start") < F.col("b.stop")) & (F.col("a.stop") > F.col("b.start"))).select(
         "a.pid", F.col("a.start").alias("piece_start"), F.col("a.stop").alias("piece_stop"), F.col("b.run").alias("run")
     )
 

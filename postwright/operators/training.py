@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.functions.hashing import md5_int
-from postwright.functions.vectors import DOUBLES
-from postwright.sources.staging import exists
 
 
 def flops(postings: DataFrame, n_texts: int) -> DataFrame:
@@ -44,45 +38,3 @@ def sweep_choice(runs: DataFrame, doc_target: float = 120, query_target: float =
     """The run whose densities are closest to their targets on a log scale, the first among equals (X8). ``runs``: name, nnz_d, nnz_q."""
     d = F.abs(F.log((F.col("nnz_d") + 1) / doc_target)) + F.abs(F.log((F.col("nnz_q") + 1) / query_target))
     return runs.withColumn("distance", d).orderBy("distance", "name").limit(1)
-
-
-def fit_map(triples: DataFrame, dim: int, steps: int, folder: str, rate: float = 0.5, scale: float = 10.0) -> DataFrame:
-    """(step, loss, weights): a linear map of queries trained by full-batch gradient steps on InfoNCE, from the identity on (X4); losses are those before each step.
-
-    ``triples``: query, positive (vectors), negatives (list of vectors). Every step is one pass: tasks add up the gradients of their rows and send one matrix each.
-    Each step's result is a checkpoint in ``folder``, written whole (S17); a run that is started again goes on after the last one.
-    """
-    spark = triples.sparkSession
-    rows = triples.select(F.col("query").cast(DOUBLES).alias("query"), F.array_union(F.array("positive"), F.array()).alias("p"), "negatives").select(
-        "query", F.flatten(F.concat("p", "negatives")).cast(DOUBLES).alias("others"))
-    weights, done = np.eye(dim), 0
-    while done < steps and exists(spark, f"{folder}/step={done}/_SUCCESS"):
-        weights, done = np.array(spark.read.parquet(f"{folder}/step={done}").first().weights).reshape(dim, dim), done + 1
-    for step in range(done, steps):
-        parts = rows.mapInArrow(_gradients(spark.sparkContext.broadcast(weights), scale), "n long, loss double, gradient array<double>").toArrow()
-        n = max(1, sum(parts.column("n").to_pylist()))
-        gradient = sum((np.array(g) for g in parts.column("gradient").to_pylist()), np.zeros(dim * dim)).reshape(dim, dim) / n
-        loss = sum(parts.column("loss").to_pylist()) / n
-        weights = weights - rate * gradient
-        spark.createDataFrame([(step, float(loss), weights.ravel().tolist())], "step int, loss double, weights array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/step={step}")
-    return spark.read.schema("loss double, weights array<double>, step int").option("basePath", folder).parquet(*[f"{folder}/step={k}" for k in range(steps)]).select("step", "loss", "weights")
-
-
-def _gradients(weights, scale: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        n, loss, total = 0, 0.0, np.zeros_like(w)
-        for b in batches:
-            for query, others in zip(b.column(0), b.column(1), strict=True):
-                q = query.values.to_numpy()
-                x = others.values.to_numpy().reshape(-1, len(q))
-                z = scale * (x @ (q @ w))
-                z -= z.max()
-                p = np.exp(z) / np.exp(z).sum()
-                loss -= float(np.log(p[0]))
-                p[0] -= 1
-                total += scale * np.outer(q, p @ x)
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["n", "loss", "gradient"])
-
-    return run

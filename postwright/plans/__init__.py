@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwright.plans import model_queries, retrieval_queries, study_queries, text_queries  # noqa: F401
+from postwright.plans import decision_queries, model_queries, retrieval_queries, study_queries, text_queries  # noqa: F401
 from postwright.plans.registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]

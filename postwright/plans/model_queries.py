@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.operators import decisions, encoder, geometry, metrics, postings, probes, search, tokens, training, vocabulary
+from postwright.operators import decisions, encoder, geometry, metrics, postings, probes, search, sparse_training, tokens, vocabulary
 from postwright.plans.registry import query
 from postwright.plans.retrieval_queries import BM25_SQL, VARIANTS, bm25_run, boot_sql, variants
 from postwright.plans.world import DIM, ENTRIES, QRELS, QTOKENS, RUN, TOKENS, VOCAB, World, metrics_sql, vec_id
@@ -103,7 +103,7 @@ SELECT qid, pid, sum(sim) AS score FROM best GROUP BY qid, pid""", "score")
 def late_interaction(w: World) -> DataFrame:
     """The ten best of the sparse run, scored token by token."""
     c = w.run.where("rank <= 10").select("qid", "pid")
-    return search.late_interaction(c, w.encoder.units(w.query_toks).withColumnRenamed("pid", "qid"), w.encoder.units(w.toks), w.states)
+    return search.late_interaction(c, w.encoder.units(w.query_toks).withColumnRenamed("pid", "qid"), w.encoder.units(w.toks), w.states, DIM)
 
 
 @query("G27", f"""WITH {TOKENS}, emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS state FROM embeddings), x AS (SELECT word, lead(word) OVER (PARTITION BY pid ORDER BY pos) AS nxt FROM tok),
@@ -122,21 +122,25 @@ def phrase_prototypes(w: World) -> DataFrame:
 # --- training ---
 
 
-def triples(w: World) -> DataFrame:
-    """A state, its successor as the positive and three further ones as negatives."""
-    s = w.states.select(F.col("vec_id").alias("v"), "state")
-    at = lambda k, name: s.select(F.pmod(F.col("v") - k, F.lit(w.encoder.n)).alias("vec_id"), F.col("state").alias(name))
-    rows = s.select(F.col("v").alias("vec_id"), F.col("state").alias("query"))
-    for k, name in ((1, "positive"), (5, "n1"), (7, "n2"), (11, "n3")):
-        rows = rows.join(at(k, name), "vec_id")
-    return rows.select("query", "positive", F.array("n1", "n2", "n3").alias("negatives"))
+def examples(w: World, own: int = 8, most: int = 32) -> DataFrame:
+    """A passage's first words ask for what follows them; the passage after the next by hash is a negative."""
+    toks = tokens.truncated_words(w.passages, own + most).where(F.size("words") > own)
+    keys = lambda c: F.array_distinct(F.transform(c, w.encoder.vec_id))
+    e = toks.select(F.col("pid").alias("example"), keys(F.slice("words", 1, own)).alias("query"), keys(F.slice("words", own + 1, most)).alias("right"), F.pmod(F.xxhash64("pid"), F.lit(1 << 20)).alias("near"))
+    e = staging.staged(e, "examples")
+    other = e.groupBy("near").agg(F.min_by("right", "example").alias("wrong")).select((F.col("near") + 1).alias("near"), "wrong")
+    return e.join(other, "near", "left").select("example", "query", F.when(F.col("wrong").isNull(), F.array("right")).otherwise(F.array("right", "wrong")).alias("docs"))
 
 
-@query("X4 S17", None, "loss")
+@query("X4 S17 X1 X2", None, "rate ramp ce accuracy nnz_q nnz_d flops_q flops_d")
 def training_curve(w: World) -> DataFrame:
-    """Loss before each of four steps; tested against a plain loop, and against one that was broken off."""
-    folder = f"{staging.shared_dir(w.spark)}/postwright/map-{uuid.uuid4().hex}"
-    return training.fit_map(triples(w), DIM, 4, folder).select("step", "loss")
+    """Six steps of the sparse head over all passages, broken off after three and gone on with from the checkpoint; tested against a plain loop."""
+    s = sparse_training.Settings(dim=DIM, batches=max(1, w.n_docs // 64), steps=6, warmup=2, rate=0.01, drop=0.3, every=3)
+    folder = sparse_training.run_folder(w.spark, uuid.uuid4().hex)
+    plain = w.entries.select("entry_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    for until in (3, None):
+        end = sparse_training.train(examples(w), w.states, w.entries, plain, s, folder, until)
+    return end.history
 
 
 @query("A33", f"""WITH {VARIANTS}, per AS (SELECT variant, qid, r.ndcg FROM (SELECT 'all' AS variant, * FROM ({metrics_sql("(SELECT * FROM vrun WHERE variant = 'all')")}) UNION ALL SELECT 'seen', * FROM ({metrics_sql("(SELECT * FROM vrun WHERE variant = 'seen')")}) UNION ALL SELECT 'alias', * FROM ({metrics_sql("(SELECT * FROM vrun WHERE variant = 'alias')")})) r),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.functions.hashing import sample_key
-from postwright.operators import decisions, diagnostics, geometry, insertion, metrics, postings, probes, search, training, vocabulary
+from postwright.operators import clusters, diagnostics, geometry, impact_index, insertion, metrics, postings, probes, refresh, search, tokens, training, vocabulary
 from postwright.operators.ordering import top_k
 from postwright.plans.registry import query
-from postwright.plans.world import DIM, DOCS, ENTRIES, HELD, QRELS, RUN, STORES, TAU_D, VOCAB, World, metrics_sql, vec_id
+from postwright.plans.world import CTOKENS, DIM, DOCS, ENTRIES, HELD, QRELS, RUN, SENSES, STORES, TAU_D, TAU_Q, VOCAB, World, metrics_sql, vec_id
+from postwright.sources import staging
 
 # --- background statistics and hubness ---
 
@@ -19,10 +22,12 @@ tl AS (SELECT entry_id, sim AS tail FROM sims QUALIFY row_number() OVER (PARTITI
 st AS (SELECT entry_id, decile, held.entry_id IS NOT NULL AS held, mean, sd, tail FROM vocab LEFT JOIN held USING (entry_id) JOIN m USING (entry_id) JOIN tl USING (entry_id))"""
 
 
-def entry_stats(w: World) -> DataFrame:
+def entry_stats(w: World, entries: DataFrame | None = None) -> DataFrame:
+    """Background statistics of the vocabulary's entries, or of another version of them."""
     marks = w.held.withColumn("h", F.lit(True))
     m = diagnostics.tail_place(0.98, w.encoder.n)
-    b, t = diagnostics.background(w.moments), diagnostics.upper_tail(postings.largest_similarities(w.states, w.entries, DIM, m), m)
+    moments = w.moments if entries is None else postings.similarity_moments(w.states, entries, DIM, TAU_Q)
+    b, t = diagnostics.background(moments), postings.nth_largest(w.states, w.entries if entries is None else entries, DIM, m)
     return w.vocab.select("entry_id", "decile").join(marks, "entry_id", "left").join(b, "entry_id").join(t, "entry_id").select("entry_id", "decile", F.coalesce("h", F.lit(False)).alias("held"), "mean", "sd", "tail")
 
 
@@ -128,15 +133,14 @@ PROBES = f"""{ENTRIES}, pr AS (SELECT DISTINCT entry_id AS probe, entry_id AS ow
 ps AS (SELECT probe, own_id, sims.entry_id, sim FROM pr JOIN sims ON vec_id = v), mine AS (SELECT probe, sim AS own_sim FROM ps WHERE entry_id = own_id)"""
 
 
-def probe_frames(w: World) -> tuple[DataFrame, DataFrame]:
+def marked_words(w: World) -> DataFrame:
     """Each word's probe is the state of the word with a mark, so that it is not its own entry's vector."""
-    p = w.encoder.units(w.vocab.select("entry_id", F.concat("word", F.lit("#1")).alias("word"))).select(F.col("entry_id").alias("probe"), "vec_id")
-    return p.join(w.all_sims, "vec_id").select("probe", "entry_id", "sim"), p.select("probe", F.col("probe").alias("own_id"))
+    p = w.encoder.with_states(w.encoder.units(w.vocab.select("entry_id", F.concat("word", F.lit("#1")).alias("word"))))
+    return p.select(F.col("entry_id").alias("probe"), F.col("entry_id").alias("own_id"), "state")
 
 
 def probe_rows(w: World) -> DataFrame:
-    p = w.encoder.with_states(w.encoder.units(w.vocab.select("entry_id", F.concat("word", F.lit("#1")).alias("word"))))
-    return probes.probe_metrics(p.select(F.col("entry_id").alias("probe"), F.col("entry_id").alias("own_id"), "state"), w.entries, DIM, 0.2)
+    return probes.probe_metrics(marked_words(w), w.entries, DIM, 0.2)
 
 
 @query("W2 A22 A23 B12", f"""WITH {PROBES} SELECT probe, count(*) FILTER (sim > own_sim) AS self_rank, (max(sim) - quantile_disc(sim, 0.5)) / greatest(stddev_samp(sim), 1e-6) AS z_gap,
@@ -147,14 +151,16 @@ def probe_metrics(w: World) -> DataFrame:
 
 @query("A21", f"""WITH {PROBES} SELECT probe, avg(CASE WHEN sim < own_sim THEN 1.0 ELSE 0 END) AS auc FROM (SELECT * FROM ps WHERE entry_id <> own_id QUALIFY row_number() OVER (PARTITION BY probe ORDER BY md5('auc|' || probe || '|' || entry_id), entry_id) <= 4) JOIN mine USING (probe) GROUP BY probe""", "auc")
 def matched_random_auc(w: World) -> DataFrame:
-    return probes.matched_random_auc(*probe_frames(w))
+    p = marked_words(w)
+    drawn = probes.random_targets(p.select("probe", "own_id"), w.vocab)
+    return probes.matched_random_auc(probes.target_ranks(p, drawn, w.entries, DIM), probe_rows(w).select("probe", "own_sim"))
 
 
 @query("W7", f"""WITH {PROBES}, rk AS (SELECT probe, entry_id, rank() OVER (PARTITION BY probe ORDER BY sim DESC) AS r FROM ps) SELECT probe, avg(1.0 / r) AS mrr FROM rk WHERE entry_id % 20 = probe % 20 GROUP BY probe""", "mrr")
 def related_rank(w: World) -> DataFrame:
-    sims, _ = probe_frames(w)
-    related = sims.where(F.col("entry_id") % 20 == F.col("probe") % 20).select("probe", "entry_id")
-    return probes.related_rank(sims, related)
+    e = w.vocab.select("entry_id", (F.col("entry_id") % 20).alias("kin"))
+    related = e.select(F.col("entry_id").alias("probe"), "kin").join(e, "kin").select("probe", "entry_id")  # within a bounded vocabulary
+    return probes.related_rank(probes.target_ranks(marked_words(w), related, w.entries, DIM))
 
 
 @query("W8 B13", f"WITH {PROBES}, r AS (SELECT probe, count(*) FILTER (sim > own_sim) + 1 AS rank FROM ps JOIN mine USING (probe) GROUP BY probe) SELECT median(rank) AS median_rank, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS first, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS top10 FROM r", "median_rank first top10")
@@ -169,35 +175,58 @@ def grouped_summary(w: World) -> DataFrame:
     return probes.grouped_summary(m.withColumn("v", F.col("self_rank").cast("double")), "v")
 
 
-@query("A25", f"""WITH {PROBES}, x AS (SELECT probe, CASE WHEN probe % 2 = 0 THEN 'even' ELSE 'odd' END AS word, CASE WHEN probe % 3 = 0 THEN 'A' ELSE 'B' END AS sense, entry_id, sim FROM ps),
-  a AS (SELECT w.word, s.sense AS anchor_sense, entry_id FROM vocab, (VALUES ('even'), ('odd')) w(word), (VALUES ('A'), ('B')) s(sense) WHERE entry_id < 10 AND (entry_id % 2 = 0) = (s.sense = 'A')),
-  m AS (SELECT probe, word, avg(sim) FILTER (anchor_sense = sense) - avg(sim) FILTER (anchor_sense <> sense) AS margin FROM x JOIN a USING (word, entry_id) GROUP BY probe, word)
+@query("A25", f"""WITH {ENTRIES}, {SENSES}, dw AS (SELECT DISTINCT pid, word FROM tok),
+  lab AS (SELECT pid, w AS word, min(sense) AS sense FROM (SELECT DISTINCT dw.pid, ind.word AS w, sense FROM dw JOIN ind ON dw.word = ind.term) GROUP BY pid, w HAVING min(sense) = max(sense)),
+  oc AS (SELECT pid, word, arg_min(nxt, pos) AS nxt FROM (SELECT pid, pos, word, lead(word) OVER (PARTITION BY pid ORDER BY pos) AS nxt FROM tok) WHERE nxt IS NOT NULL GROUP BY pid, word),
+  x AS (SELECT pid, word, sense, state FROM lab JOIN oc USING (pid, word) JOIN emb ON vec_id = {vec_id('nxt')}),
+  m AS (SELECT pid, word, avg(sim) FILTER (anchor_sense = sense) - avg(sim) FILTER (anchor_sense <> sense) AS margin
+        FROM (SELECT x.pid, x.word, sense, anchor_sense, round(list_dot_product(state, vec), 8) AS sim FROM x JOIN anc ON anc.word = x.word JOIN ent USING (entry_id)) GROUP BY pid, word)
   SELECT word, count(*) AS n, avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0 END) AS accuracy FROM m GROUP BY ROLLUP (word)""", "accuracy")
 def sense_accuracy(w: World) -> DataFrame:
-    """Made-up senses: entries under ten anchor them by parity."""
-    sims, _ = probe_frames(w)
-    x = sims.select("probe", F.when(F.col("probe") % 2 == 0, "even").otherwise("odd").alias("word"), F.when(F.col("probe") % 3 == 0, "A").otherwise("B").alias("sense"), "entry_id", "sim")
-    anchors = w.vocab.where("entry_id < 10").select(F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("word"), F.when(F.col("entry_id") % 2 == 0, "A").otherwise("B").alias("anchor_sense"), "entry_id")
-    return probes.sense_accuracy(x, anchors)
+    """Passages tell a word's sense by its mined terms; its state there is that of the word after its first place."""
+    labelled = tokens.co_occurrence_label(w.passages, w.senses)
+    places = tokens.adjacent(w.toks).where("next IS NOT NULL").join(w.senses.select("word").distinct(), "word", "left_semi").groupBy("pid", "word").agg(F.min_by("next", "pos").alias("next"))
+    x = labelled.join(places, ["pid", "word"]).select(F.concat_ws("|", "pid", "word").alias("probe"), F.col("word").alias("own"), "sense", F.col("next").alias("word"))
+    x = w.encoder.with_states(w.encoder.units(x)).select("probe", F.col("own").alias("word"), "sense", "state")
+    asked = x.select("probe", "word").join(w.anchors, "word").select("probe", "entry_id").distinct()
+    sims = probes.target_ranks(x.select("probe", "state"), asked, w.entries, DIM).join(x.select("probe", "word", "sense"), "probe")
+    return probes.sense_accuracy(sims, w.anchors)
+
+
+def occurrences(w: World, toks: DataFrame) -> DataFrame:
+    """(entry_id, pid, slot, vec_id): an entry's sampled occurrences; the state of one is that of the word after the entry's first place in the passage that has one."""
+    nxt = tokens.adjacent(toks).where("next IS NOT NULL").join(w.vocab.select("word", "entry_id"), "word")
+    nxt = nxt.groupBy("entry_id", "pid").agg(F.min_by("next", "pos").alias("word"))
+    slots = vocabulary.occurrence_sample(nxt, most=2 * diagnostics.HALF)
+    return w.encoder.units(nxt.join(slots, ["entry_id", "pid"])).select("entry_id", "pid", "slot", "vec_id")
+
+
+def occurrence_prototypes(w: World) -> DataFrame:
+    return diagnostics.nested_prototypes(w.encoder.with_states(occurrences(w, w.toks)))
 
 
 def curve(w: World) -> DataFrame:
-    """Neighbours among two overlapping parts of the bank, at several depths."""
-    a, b = w.all_sims.where("vec_id % 4 <> 0"), w.all_sims.where("vec_id % 4 <> 1")
-    out = None
-    for k in (5, 10, 20, 50):
-        j = diagnostics.stability(a, b, k).agg(F.avg("jaccard").alias("jaccard")).select(F.lit(k).alias("k"), "jaccard")
-        out = j if out is None else out.union(j)
-    return out
+    return diagnostics.stability_curve(occurrence_prototypes(w), w.states.select(F.col("vec_id").alias("pid"), F.col("state").alias("vec")), DIM)
 
 
-CURVE = f"""{ENTRIES}, ka AS (SELECT entry_id, vec_id, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, vec_id) AS r FROM sims WHERE vec_id % 4 <> 0), kb AS (SELECT entry_id, vec_id, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, vec_id) AS r FROM sims WHERE vec_id % 4 <> 1),
-k AS (SELECT unnest([5, 10, 20, 50]) AS k), bo AS (SELECT k, ka.entry_id, count(*) AS n FROM k, ka JOIN kb USING (entry_id, vec_id) WHERE ka.r <= k AND kb.r <= k GROUP BY 1, 2),
-cur AS (SELECT k, avg(coalesce(n, 0) / (2 * k - coalesce(n, 0))) AS jaccard FROM k CROSS JOIN vocab LEFT JOIN bo USING (k, entry_id) GROUP BY k)"""
+CURVE = f"""{VOCAB}, emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS state FROM embeddings),
+nx AS (SELECT pid, pos, word, lead(word) OVER (PARTITION BY pid ORDER BY pos) AS nxt FROM tok),
+oc AS (SELECT entry_id, pid, arg_min(nxt, pos) AS nxt FROM nx JOIN vocab USING (word) WHERE nxt IS NOT NULL GROUP BY entry_id, pid),
+sl AS (SELECT entry_id, nxt, row_number() OVER (PARTITION BY entry_id ORDER BY md5('occ|' || entry_id || '|' || pid), pid) - 1 AS slot FROM oc QUALIFY slot < {2 * diagnostics.HALF}),
+oe AS (SELECT entry_id, slot // {diagnostics.HALF} AS half, slot % {diagnostics.HALF} AS place, generate_subscripts(state, 1) AS i, unnest(state) AS x FROM sl JOIN emb ON vec_id = {vec_id('nxt')}),
+ks AS (SELECT unnest({list(diagnostics.CURVE)}) AS k),
+pm AS (SELECT entry_id, half, k, i, sum(x) AS x FROM oe JOIN ks ON place < k GROUP BY entry_id, half, k, i),
+pv AS (SELECT entry_id, half, k, list(x ORDER BY i) AS v FROM pm GROUP BY entry_id, half, k),
+pn AS (SELECT entry_id, half, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM pv QUALIFY count(*) OVER (PARTITION BY entry_id, k) = 2),
+nb AS (SELECT entry_id, half, k, vec_id FROM pn, emb QUALIFY row_number() OVER (PARTITION BY entry_id, half, k ORDER BY round(list_dot_product(v, state), 8) DESC, vec_id) <= {diagnostics.NEIGHBOURS}),
+ov AS (SELECT entry_id, k, count(*) FILTER (n = 2) / count(*) AS jaccard FROM (SELECT entry_id, k, vec_id, count(*) AS n FROM nb GROUP BY entry_id, k, vec_id) GROUP BY entry_id, k),
+cs AS (SELECT a.entry_id, a.k, list_dot_product(a.v, b.v) AS cosine FROM pn a JOIN pn b ON a.entry_id = b.entry_id AND a.k = b.k AND a.half = 0 AND b.half = 1),
+cur AS (SELECT k, count(*) AS n, avg(jaccard) AS jaccard, avg(cosine) AS cosine FROM ov JOIN cs USING (entry_id, k) GROUP BY k)"""
 
 
-@query("A26", f"WITH {CURVE} SELECT k, jaccard FROM cur", "jaccard")
+@query("A26 B13", f"WITH {CURVE} SELECT * FROM cur", "jaccard cosine")
 def stability_curve(w: World) -> DataFrame:
+    """Prototypes of 1 to 50 occurrences from two disjoint halves of an entry's sample."""
     return curve(w)
 
 
@@ -302,7 +331,8 @@ def calibrate_self(w: World) -> DataFrame:
 
 @query("G21 F10", f"WITH {Z}, af AS (SELECT entry_id, s / sd AS a, m - mean * s / sd AS b FROM st JOIN tg USING (decile) WHERE held) SELECT entry_id, sum(coalesce(a * sim + b, sim)) AS total FROM sims LEFT JOIN af USING (entry_id) GROUP BY entry_id", "total")
 def calibrated_similarities(w: World) -> DataFrame:
-    return insertion.apply_affine(w.all_sims, insertion.affine_z(entry_stats(w))).groupBy("entry_id").agg(F.sum("sim").alias("total"))
+    sums = w.moments.join(insertion.affine_z(entry_stats(w)), "entry_id", "left")
+    return sums.select("entry_id", F.coalesce(F.col("a") * F.col("total") + F.col("b") * F.col("n"), F.col("total")).alias("total"))
 
 
 @query("G23", None, "shift")
@@ -360,9 +390,35 @@ def eigen_shares(w: World) -> DataFrame:
     return w.spark.createDataFrame([(a, b)], "top1 double, top5 double")
 
 
-@query("M10", None)
+def kmeans_sql(k: int, seed: int, rounds: int, starts: int) -> str:
+    """(entry_id, cluster) as ``km``: every round written out."""
+    parts = [f"""pt AS (SELECT entry_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS v FROM ent),
+c0 AS (SELECT start, row_number() OVER (PARTITION BY start ORDER BY md5('kmeans/{seed}/' || start || '|' || entry_id), entry_id) - 1 AS cluster, v FROM pt, range({starts}) t(start) QUALIFY cluster < {k})"""]
+    for i in range(rounds):
+        parts.append(f"""a{i} AS (SELECT start, entry_id, pt.v, cluster, round(list_dot_product(pt.v, c.v), 8) AS sim FROM pt, c{i} c QUALIFY row_number() OVER (PARTITION BY start, entry_id ORDER BY sim DESC, cluster) = 1),
+s{i} AS (SELECT start, cluster, list(x ORDER BY j) AS v FROM (SELECT start, cluster, j, sum(x) AS x FROM (SELECT start, cluster, generate_subscripts(v, 1) AS j, unnest(v) AS x FROM a{i}) GROUP BY start, cluster, j) GROUP BY start, cluster),
+c{i + 1} AS (SELECT start, cluster, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM s{i} UNION ALL
+  SELECT start, cluster, pt.v FROM (SELECT start, cluster FROM c{i} ANTI JOIN s{i} USING (start, cluster)) m, pt QUALIFY row_number() OVER (PARTITION BY start, cluster ORDER BY md5('reseed/{seed}/' || start || '/{i}/' || cluster || '|' || entry_id), entry_id) = 1)""")
+    parts.append(f"km AS (SELECT entry_id, CAST(cluster AS INTEGER) AS cluster FROM a{rounds - 1} SEMI JOIN (SELECT start FROM a{rounds - 1} GROUP BY start ORDER BY round(sum(sim), 6) DESC, start LIMIT 1) USING (start))")
+    return ",\n".join(parts)
+
+
+KMEANS = f"{ENTRIES}, {kmeans_sql(10, 7, 4, 3)}"
+
+
+def kmeans(w: World) -> DataFrame:
+    return clusters.spherical_kmeans(w.entries, 10, rounds=4, starts=3)
+
+
+@query("M10", f"WITH {KMEANS} SELECT entry_id, cluster FROM km")
+def kmeans_clusters(w: World) -> DataFrame:
+    """Ten clusters of the entries, the best of three starts, four rounds."""
+    return kmeans(w)
+
+
+@query("M10", f"WITH {KMEANS} SELECT cluster, count(*) AS n FROM km GROUP BY cluster")
 def kmeans_sizes(w: World) -> DataFrame:
-    return geometry.spherical_kmeans(w.entries, 10).groupBy("cluster").agg(F.count("*").alias("n"))
+    return kmeans(w).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("W13 G26", """WITH RECURSIVE c AS (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label), o AS (SELECT *, row_number() OVER (ORDER BY md5('split/cluster|' || cluster), cluster, size) AS r FROM c), t AS (SELECT count(*) AS nv FROM embeddings),
@@ -411,31 +467,6 @@ def history_tail(w: World) -> DataFrame:
     return metrics.tail_mean(w.table("events"), "event_id", "value")
 
 
-@query("D2", "WITH r AS (SELECT * FROM (VALUES ('R1', 100.0::DOUBLE, 0.90::DOUBLE, 0.3::DOUBLE), ('R2', 120.0, 0.91, 0.2), ('R3', 90.0, 0.99, 0.1)) t(rep, nnz, self_hit, hub_share) WHERE nnz >= 96) SELECT * FROM r WHERE self_hit >= (SELECT max(self_hit) FROM r) - 0.02 ORDER BY hub_share, rep LIMIT 1")
-def usable_representation(w: World) -> DataFrame:
-    rows = [("R1", 100.0, 0.90, 0.3), ("R2", 120.0, 0.91, 0.2), ("R3", 90.0, 0.99, 0.1)]
-    return decisions.usable_representation(w.spark.createDataFrame(rows, "rep string, nnz double, self_hit double, hub_share double"))
-
-
-@query("D3", "SELECT *, CASE WHEN ratio >= 0.8 THEN 'pass' WHEN ratio >= 0.4 OR coalesce(spearman, 0) >= 0.3 THEN 'weak' ELSE 'fail' END AS verdict FROM (VALUES (0.9::DOUBLE, NULL::DOUBLE), (0.5, 0.1), (0.2, 0.35), (0.2, 0.1)) t(ratio, spearman)")
-def pilot_verdict(w: World) -> DataFrame:
-    return decisions.pilot_verdict(w.spark.createDataFrame([(0.9, None), (0.5, 0.1), (0.2, 0.35), (0.2, 0.1)], "ratio double, spearman double"))
-
-
-VERDICTS = [("a", 0.9, 0.6, 0.05, 0.1, 0.01), ("b", 0.9, None, 0.05, None, 0.01), ("c", 0.7, 0.6, 0.05, 0.1, 0.01), ("d", None, None, None, None, None)]
-
-
-@query("D4 J14", "SELECT system, rho, CASE WHEN rho IS NULL AND rho_lo IS NULL AND gap IS NULL AND gap_r IS NULL AND beats_alias_by IS NULL THEN NULL ELSE coalesce(rho >= 0.8, true) AND coalesce(rho_lo > 0.5, true) AND coalesce(abs(gap) <= 0.1, true) AND coalesce(abs(gap_r) <= ln(1.5), true) AND coalesce(beats_alias_by > 0, true) END AS holds FROM (VALUES ('a', 0.9::DOUBLE, 0.6::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE, 0.01::DOUBLE), ('b', 0.9, NULL, 0.05, NULL, 0.01), ('c', 0.7, 0.6, 0.05, 0.1, 0.01), ('d', NULL, NULL, NULL, NULL, NULL)) t(system, rho, rho_lo, gap, gap_r, beats_alias_by)")
-def five_way_verdict(w: World) -> DataFrame:
-    rows = w.spark.createDataFrame(VERDICTS, "system string, rho double, rho_lo double, gap double, gap_r double, beats_alias_by double")
-    return decisions.five_way_verdict(rows).select("system", "rho", "holds")
-
-
-@query("D5", "SELECT variant, rho FROM (VALUES ('raw', 0.3::DOUBLE, 1), ('Z', 0.85, 2), ('DF', 0.9, 3), ('SA', 0.95, 4)) t(variant, rho, o) WHERE rho >= 0.8 ORDER BY o LIMIT 1")
-def adopted_calibration(w: World) -> DataFrame:
-    return decisions.adopt(w.spark.createDataFrame([("SA", 0.95), ("raw", 0.3), ("DF", 0.9), ("Z", 0.85)], "variant string, rho double"), ["raw", "Z", "DF", "SA"])
-
-
 @query("M12 O9", f"WITH {VOCAB} SELECT entry_id, decile FROM vocab WHERE NOT is_stop QUALIFY row_number() OVER (PARTITION BY decile ORDER BY md5('probe|' || word), word) <= 12")
 def probe_plan(w: World) -> DataFrame:
     drawn = w.vocab.where("NOT is_stop").withColumn("h", sample_key("probe", "word"))
@@ -470,19 +501,38 @@ def random_control(w: World) -> DataFrame:
 @query("S11 S16 B9", f"WITH {RUN} SELECT qid, pid, rank FROM run WHERE rank <= 100")
 def stored_run(w: World) -> DataFrame:
     """The run written under the fingerprint of its settings, and read back."""
-    from postwright.sources import staging
-
     folder = f"{staging.shared_dir(w.spark)}/postwright/runs"
     settings = {"data": w.sf_dir, "k": 100, "app": w.spark.sparkContext.applicationId}
     run = staging.cached_result(w.spark, folder, settings, lambda: w.run.select("qid", "rank", "pid", "score"))
     return run.select("qid", "pid", F.col("rank").cast("long").alias("rank"))
 
 
+INDEX = f"""{STORES}, fst AS (SELECT pid, entry_id AS first FROM docs WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY weight DESC, entry_id) = 1),
+pl AS (SELECT pid, (row_number() OVER (ORDER BY first, pid) - 1) // {impact_index.BLOCK} AS block FROM fst),
+ls AS (SELECT entry_id, block, max(weight) AS most FROM docs JOIN pl USING (pid) WHERE weight > 0 GROUP BY entry_id, block),
+bd AS (SELECT qid, block, round(sum(q.weight * most), 8) AS bound FROM qpost q JOIN ls USING (entry_id) WHERE q.weight > 0 GROUP BY qid, block)"""
+
+
+@query("S13 J3", f"WITH {INDEX} SELECT qid, block, bound FROM bd", "bound", digits=7)
+def index_bounds(w: World) -> DataFrame:
+    """What each block of the stored index can score at most for each query."""
+    return impact_index.bounds(w.index(), w.query_postings)
+
+
+@query("S13 J3", f"""WITH {INDEX}, sd AS (SELECT qid, block FROM bd QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bound DESC, block) <= {impact_index.SEEDS}),
+  sc AS (SELECT qid, pid, round(sum(q.weight * d.weight), 8) AS score FROM qpost q JOIN docs d USING (entry_id) JOIN pl USING (pid) SEMI JOIN sd USING (qid, block) GROUP BY qid, pid),
+  kth AS (SELECT qid, score AS least FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) = 10)
+  SELECT bd.qid, count(*) AS blocks, count(*) FILTER (sd.block IS NOT NULL OR least IS NULL OR bound + 1e-7 >= least) AS opened FROM bd LEFT JOIN kth ON kth.qid = bd.qid LEFT JOIN sd ON sd.qid = bd.qid AND sd.block = bd.block GROUP BY bd.qid""")
+def index_work(w: World) -> DataFrame:
+    """Blocks that hold an entry of a query, and those of them that the ten best needed."""
+    return impact_index.search(w.index(), w.query_postings, 10).work
+
+
 @query("B3 J4 S13", f"WITH {STORES}, s AS (SELECT qid, pid, round(sum(ln(1 + q.weight) * ln(1 + d.weight)), 8) AS score FROM qpost q JOIN docs d USING (entry_id) GROUP BY qid, pid) SELECT qid, pid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= 50")
 def impact_search(w: World) -> DataFrame:
-    """Log-saturated weights on both sides, as an impact index stores them."""
-    q, d = (x.withColumn("weight", F.log1p("weight")) for x in (w.query_postings, w.docs))
-    return search.search(q, d, 50).select("qid", "pid", "score")
+    """Log-saturated weights on both sides, through an index that stores them so."""
+    q = w.query_postings.withColumn("weight", F.log1p("weight"))
+    return impact_index.search(w.index("log1p"), q, 50).run.select("qid", "pid", "score")
 
 
 @query("B8 G19", f"WITH {STORES}, c AS (SELECT * FROM (SELECT pid, entry_id, round(sim - {TAU_D}, 8) AS weight, row_number() OVER (PARTITION BY pid ORDER BY round(sim - {TAU_D}, 8) DESC, entry_id) AS r FROM dprof) WHERE r <= 512), s AS (SELECT qid, pid, round(sum(q.weight * c.weight), 8) AS score FROM qpost q JOIN c USING (entry_id) GROUP BY qid, pid) SELECT qid, pid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= 20")
@@ -498,6 +548,57 @@ def normalisation_refresh(w: World) -> DataFrame:
     return s.join(diagnostics.decile_target(s, "tail", lower=True), "decile").select("entry_id", (F.col("target") - F.col("tail")).alias("shift"))
 
 
+# --- entries after passages have come in: the turns of conversations, beside the documents ---
+
+
+def slots_sql(tok: str, name: str) -> str:
+    """(entry_id, pid, slot, v) of the occurrences of a token table."""
+    return f"""{name}o AS (SELECT entry_id, pid, arg_min(nxt, pos) AS nxt FROM (SELECT pid, pos, word, lead(word) OVER (PARTITION BY pid ORDER BY pos) AS nxt FROM {tok}) JOIN vocab USING (word) WHERE nxt IS NOT NULL GROUP BY entry_id, pid),
+{name} AS (SELECT entry_id, pid, row_number() OVER (PARTITION BY entry_id ORDER BY md5('occ|' || entry_id || '|' || pid), pid) - 1 AS slot, {vec_id('nxt')} AS v FROM {name}o QUALIFY slot < {2 * diagnostics.HALF}),
+{name}x AS (SELECT entry_id, i, sum(x) AS x FROM (SELECT entry_id, generate_subscripts(state, 1) AS i, unnest(state) AS x FROM {name} JOIN emb ON vec_id = v) GROUP BY entry_id, i),
+{name}l AS (SELECT entry_id, list(x ORDER BY i) AS l FROM {name}x GROUP BY entry_id),
+{name}v AS (SELECT entry_id, list_transform(l, lambda x: x / sqrt(list_dot_product(l, l))) AS vec FROM {name}l)"""
+
+
+REFRESHED = f"""{VOCAB}, {CTOKENS}, emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS state FROM embeddings),
+more AS (SELECT pid, pos, word FROM tok UNION ALL SELECT -1 - pid, pos, word FROM ctok), {slots_sql("tok", "was")}, {slots_sql("more", "now")},
+same AS (SELECT entry_id FROM (SELECT entry_id, list((pid, slot, v) ORDER BY slot) AS l FROM was GROUP BY entry_id) a JOIN (SELECT entry_id, list((pid, slot, v) ORDER BY slot) AS l FROM now GROUP BY entry_id) b USING (entry_id) WHERE a.l = b.l),
+ref AS (SELECT entry_id, CASE WHEN same.entry_id IS NULL THEN 1 ELSE 0 END AS version, n, vec FROM nowv JOIN (SELECT entry_id, count(*) AS n FROM now GROUP BY entry_id) USING (entry_id) LEFT JOIN same USING (entry_id)),
+ent AS (SELECT entry_id, vec FROM ref), sims AS (SELECT vec_id, entry_id, round(list_dot_product(state, vec), 8) AS sim FROM emb, ent)"""
+
+
+def refreshed(w: World) -> str:
+    """A folder with two versions of the entries: from the documents, and after the conversations came in."""
+    folder = f"{staging.shared_dir(w.spark)}/postwright/entries-{uuid.uuid4().hex}"
+    more = w.toks.union(w.chat_toks.withColumn("pid", -1 - F.col("pid")))
+    for toks in (w.toks, more):
+        refresh.refresh(folder, staging.staged(occurrences(w, toks), "occurrences"), w.encoder)
+    return folder
+
+
+@query("X6", f"WITH {REFRESHED} SELECT entry_id, version, n, vec[1] AS first, list_sum(vec) AS total FROM ref", "first total")
+def refreshed_entries(w: World) -> DataFrame:
+    """The entries as they are after the refresh, with the version that each was last encoded for."""
+    e = refresh.entries_at(w.spark, refreshed(w))
+    return e.select("entry_id", "version", "n", F.get("vec", 0).alias("first"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("X6", f"WITH {REFRESHED} SELECT ref.entry_id, list_dot_product(wasv.vec, ref.vec) AS cosine FROM ref LEFT JOIN wasv USING (entry_id) WHERE version = 1", "cosine")
+def refresh_drift(w: World) -> DataFrame:
+    """How far the entries that were encoded again have moved."""
+    return refresh.drift(w.spark, refreshed(w), 1)
+
+
+REFRESHED_STATS = STATS.replace(ENTRIES, REFRESHED)
+
+
+@query("X6 G24", f"WITH {REFRESHED_STATS}, d AS (SELECT decile, quantile_disc(tail, 0.5) FILTER (NOT held) AS t FROM st GROUP BY decile) SELECT entry_id, coalesce(t, (SELECT quantile_disc(tail, 0.5) FROM st WHERE NOT held)) - tail AS shift FROM st JOIN d USING (decile)", "shift")
+def refreshed_normalisation(w: World) -> DataFrame:
+    """The affine of all entries, fitted anew on the refreshed version."""
+    s = entry_stats(w, refresh.entries_at(w.spark, refreshed(w)).select("entry_id", "vec"))
+    return s.join(diagnostics.decile_target(s, "tail", lower=True), "decile").select("entry_id", (F.col("target") - F.col("tail")).alias("shift"))
+
+
 @query("B14 S20", f"WITH {RUN}, {QRELS}, m AS ({metrics_sql()}), a AS (SELECT avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM m) SELECT 'sparse' AS system, printf('%.4f', mrr) AS mrr, printf('%.4f', ndcg) AS ndcg FROM a")
 def report_rows(w: World) -> DataFrame:
     m = metrics.mean_metrics(metrics.per_query(w.run, w.qrels))

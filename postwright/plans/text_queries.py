@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postwright.functions import hashing, numeric, text
 from postwright.operators import insertion, polysemy, search, tokens, vocabulary
 from postwright.plans.registry import query
-from postwright.plans.world import CTOKENS, HELD, QRELS, QTOKENS, STOP, TOKENS, VOCAB, World
+from postwright.plans.world import CTOKENS, HELD, QRELS, QTOKENS, STOP, SENSES, TOKENS, VOCAB, World
 from postwright.sources import collections
 
 
@@ -77,7 +77,7 @@ def known_tokens(w: World) -> DataFrame:
 
 @query("P6 A3 W1 O1 O2", f"WITH {VOCAB} SELECT * FROM vocab")
 def vocabulary_table(w: World) -> DataFrame:
-    return w.vocab
+    return w.made_vocab()
 
 
 @query("A13", f"WITH {VOCAB} SELECT decile, min(freq) AS least, quantile_cont(freq, 0.1) AS p10, median(freq) AS median, quantile_cont(freq, 0.9) AS p90, max(freq) AS most FROM vocab GROUP BY decile", "p10 median p90")
@@ -265,33 +265,25 @@ def adjacent_pairs(w: World) -> DataFrame:
     return tokens.adjacent(w.toks).where("next IS NOT NULL").groupBy("word", "next").agg(F.count("*").alias("n")).where("n >= 20")
 
 
-#: Two made-up senses of four frequent words, told apart by other words near them.
-SENSES = [("the", "A", "stupid"), ("the", "A", "worthless"), ("the", "B", "license"), ("the", "B", "version"), ("and", "A", "thou"), ("and", "B", "onal"),
-          ("of", "A", "with"), ("of", "B", "erth"), ("in", "A", "this"), ("in", "B", "have")]
-SENSES_SQL = "ind AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in SENSES) + ") t(word, sense, term))"
-LABELLED = f"""{TOKENS}, {SENSES_SQL}, dw AS (SELECT DISTINCT pid, word FROM tok),
+LABELLED = f"""{VOCAB}, {SENSES}, dw AS (SELECT DISTINCT pid, word FROM tok),
 lab AS (SELECT pid, w AS word, min(sense) AS sense FROM (SELECT DISTINCT dw.pid, ind.word AS w, sense FROM dw JOIN ind ON dw.word = ind.term) GROUP BY pid, w HAVING min(sense) = max(sense)),
 labelled AS (SELECT lab.* FROM lab JOIN dw USING (pid, word))"""
 
 
-def indicators(w: World) -> DataFrame:
-    return w.spark.createDataFrame(SENSES, "word string, sense string, term string")
-
-
 @query("J11 S19 F15", f"WITH {LABELLED} SELECT word, sense, count(*) AS n, CAST(sum(pid) AS BIGINT) AS pids FROM labelled GROUP BY word, sense")
 def sense_labels(w: World) -> DataFrame:
-    return tokens.co_occurrence_label(w.passages, indicators(w)).groupBy("word", "sense").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
+    return tokens.co_occurrence_label(w.passages, w.senses).groupBy("word", "sense").agg(F.count("*").alias("n"), F.sum("pid").alias("pids"))
 
 
 @query("E6", f"WITH {LABELLED} SELECT word, sense, pid, slot - 1 AS slot FROM (SELECT *, row_number() OVER (PARTITION BY word, sense ORDER BY md5('sense|' || word || '|' || sense || '|' || pid), pid) AS slot FROM labelled) WHERE slot <= 40")
 def sense_sample(w: World) -> DataFrame:
-    return polysemy.sense_sample(tokens.co_occurrence_label(w.passages, indicators(w))).withColumn("slot", F.col("slot").cast("long"))
+    return polysemy.sense_sample(tokens.co_occurrence_label(w.passages, w.senses)).withColumn("slot", F.col("slot").cast("long"))
 
 
 @query("E6", f"""WITH {LABELLED} SELECT word, sense, coalesce(n, 0) AS n FROM (SELECT DISTINCT word, sense FROM ind) LEFT JOIN (SELECT word, sense, least(count(*), 40) AS n FROM labelled GROUP BY word, sense) USING (word, sense) WHERE coalesce(n, 0) < 40""")
 def thin_senses(w: World) -> DataFrame:
-    s = polysemy.sense_sample(tokens.co_occurrence_label(w.passages, indicators(w)))
-    return polysemy.thin_senses(s, indicators(w))
+    s = polysemy.sense_sample(tokens.co_occurrence_label(w.passages, w.senses))
+    return polysemy.thin_senses(s, w.senses)
 
 
 @query("F3 F4 P7 P8", "SELECT doc_id AS pid, ln(1 + greatest(n_chars - 1000.0, 0)) AS s, exp(-n_chars / 1000.0) AS e, sqrt(n_chars) AS r, log2(greatest(n_chars, 1)) AS l, round_even(n_chars / 4.0, 0) AS b FROM documents", "s e r l b")

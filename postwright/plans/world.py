@@ -7,7 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.operators import encoder, postings, search, tokens, vocabulary
+from postwright.functions import numeric
+from postwright.operators import encoder, impact_index, polysemy, postings, search, tokens, vocabulary
+from postwright.sources import staging
 
 #: Least frequency of a vocabulary word, its size, sparsity targets, thresholds.
 FLOOR, MOST = 100, 30_000
@@ -52,10 +54,27 @@ class World:
     def chat_toks(self) -> DataFrame:
         return tokens.tokens(self.chat)
 
+    def made_vocab(self) -> DataFrame:
+        return vocabulary.vocabulary(vocabulary.term_counts(tokens.alphabetic(self.toks)), FLOOR, MOST)
+
     @cached_property
     def vocab(self) -> DataFrame:
-        """Persisted: a few hundred rows that most queries read several times."""
-        return vocabulary.vocabulary(vocabulary.term_counts(tokens.alphabetic(self.toks)), FLOOR, MOST).persist()
+        """The vocabulary, counted once."""
+        return self.stored(f"vocab {FLOOR} {MOST}", ["documents"], self.made_vocab)
+
+    @cached_property
+    def successors(self) -> DataFrame:
+        """(word, next, n): how often one word follows another."""
+        return tokens.adjacent(self.toks).where("next IS NOT NULL").groupBy("word", "next").agg(F.count("*").alias("n"))
+
+    @cached_property
+    def senses(self) -> DataFrame:
+        """(word, sense, term): the configuration of ambiguous words, as the corpus has them."""
+        return self.stored("senses", ["documents"], lambda: polysemy.mined_senses(self.successors, self.vocab))
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return self.stored("anchors", ["documents"], lambda: polysemy.sense_anchors(self.senses, self.successors, self.vocab))
 
     @cached_property
     def encoder(self) -> encoder.LookupEncoder:
@@ -76,14 +95,19 @@ class World:
         """(vec_id, entry_id, sim) over the lowest threshold in use."""
         return postings.similarities(self.states, self.entries, DIM, floor=0.1)
 
-    @cached_property
-    def all_sims(self) -> DataFrame:
-        return postings.similarities(self.states, self.entries, DIM)
-
     def profile(self, toks: DataFrame, over: float) -> DataFrame:
         """The largest similarities over a threshold: what is below it goes before the join."""
         return postings.max_pool(self.encoder.units(toks), self.sims.where(F.col("sim") > over))
 
+    def stored(self, name: str, tables: list[str], make) -> DataFrame:
+        """A table made once for the tables' files as they are, and read by all queries from then on."""
+        files = {t: staging.files_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in tables}
+        return staging.cached_result(self.spark, self.shelf, {"name": name, "dir": self.sf_dir, "files": files}, make)
+
+    @property
+    def shelf(self) -> str:
+        return f"{staging.shared_dir(self.spark)}/postwright/stored"
+
     def top(self, toks: DataFrame, tau: float, k: int, saturation: str = "none") -> DataFrame:
         """The ``k`` heaviest postings of each text."""
         return postings.pooled_postings(self.encoder.units(toks), self.sims, tau, k, saturation=saturation)
@@ -97,13 +121,26 @@ class World:
     def doc_profile(self) -> DataFrame:
         return self.profile(self.toks, TAU_D)
 
+    def made_docs(self) -> DataFrame:
+        return postings.pooled_postings(self.encoder.keys(self.passages), self.sims, TAU_D, K_D)
+
     @cached_property
     def docs(self) -> DataFrame:
-        return self.top(self.toks, TAU_D, K_D).persist()
+        """The store of document postings, written once."""
+        return self.stored(f"docs {FLOOR} {MOST} {TAU_D} {K_D}", ["documents", "embeddings"], self.made_docs)
 
     @cached_property
     def query_postings(self) -> DataFrame:
-        return self.top(self.query_toks, TAU_Q, K_Q).withColumnRenamed("pid", "qid").persist()
+        made = lambda: postings.pooled_postings(self.encoder.keys(self.queries, "qid"), self.sims, TAU_Q, K_Q, row="qid")
+        return self.stored(f"queries {FLOOR} {MOST} {TAU_Q} {K_Q}", ["documents", "embeddings", "benchmark"], made)
+
+    def index(self, saturation: str = "none") -> impact_index.ImpactIndex:
+        """The inverted index of ``docs``, built once and opened by each query."""
+        files = {t: staging.files_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("documents", "embeddings")}
+        folder = f"{self.shelf}/index-{staging.fingerprint({'dir': self.sf_dir, 'files': files, 'made': (FLOOR, MOST, TAU_D, K_D, saturation, impact_index.BLOCK)})}"
+        if impact_index.is_built(self.spark, folder):
+            return impact_index.open_index(self.spark, folder)
+        return impact_index.build(self.docs.withColumn("weight", numeric.saturate(F.col("weight"), saturation)), folder)
 
     @cached_property
     def held(self) -> DataFrame:
@@ -112,7 +149,8 @@ class World:
 
     @cached_property
     def run(self) -> DataFrame:
-        return search.search(self.query_postings, self.docs, 100)
+        """The sparse run, by way of the index."""
+        return impact_index.search(self.index(), self.query_postings, 100).run
 
     @cached_property
     def n_docs(self) -> int:
@@ -136,6 +174,11 @@ VOCAB = f"""{TOKENS},
 vocab AS (SELECT CAST(r AS INTEGER) AS entry_id, word, freq, CAST(least(floor(r * 10 / n), 9) AS INTEGER) AS decile, word IN ({STOP}) AS is_stop
   FROM (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) - 1 AS r, count(*) OVER () AS n
         FROM (SELECT word, count(*) AS freq FROM tok WHERE regexp_full_match(word, '[a-z]+') GROUP BY word HAVING count(*) >= {FLOOR} ORDER BY freq DESC, word LIMIT {MOST})))"""
+#: Senses of words and their anchors, mined from the corpus; goes after VOCAB.
+SENSES = """bg AS (SELECT word, nxt, count(*) AS n FROM (SELECT word, lead(word) OVER (PARTITION BY pid ORDER BY pos) AS nxt FROM tok) WHERE nxt IS NOT NULL GROUP BY word, nxt),
+cand AS (SELECT v.entry_id, v.word, nxt AS term, row_number() OVER (PARTITION BY v.word ORDER BY n DESC, nxt) AS r FROM bg JOIN vocab v USING (word) SEMI JOIN (SELECT word FROM vocab WHERE NOT is_stop) t ON t.word = nxt WHERE NOT is_stop AND nxt <> v.word),
+ind AS (SELECT word, CASE r WHEN 1 THEN 'A' ELSE 'B' END AS sense, term FROM cand SEMI JOIN (SELECT word FROM cand WHERE r = 2 ORDER BY entry_id LIMIT 20) two USING (word) WHERE r <= 2),
+anc AS (SELECT ind.word, sense AS anchor_sense, entry_id FROM ind JOIN bg ON bg.word = ind.term JOIN vocab t ON t.word = nxt WHERE nxt <> ind.word AND nxt <> ind.term QUALIFY row_number() OVER (PARTITION BY ind.word, sense ORDER BY n DESC, nxt) <= 5)"""
 QRELS = "qrels AS (SELECT item_id AS qid, doc_id AS pid FROM documents d, benchmark b WHERE contains(d.text, b.text))"
 
 

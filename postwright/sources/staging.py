@@ -68,6 +68,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of a table's files: what a result of it rests on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+
+
 def cached_result(spark: SparkSession, folder: str, settings: dict, make) -> DataFrame:
     """The table that ``make()`` gives, computed once for these settings; a table counts as written when its commit marker is there."""
     path = f"{folder}/{fingerprint(settings)}"

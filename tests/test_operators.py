@@ -177,14 +177,10 @@ def test_whitening_makes_the_identity(spark):
     assert geometry.shift(geometry.mean_covariance(v), geometry.mean_covariance(v)).first().shared_ok
 
 
-def test_clusters_atoms_heads_and_random_vectors(spark):
+def test_heads_and_random_vectors(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal([5, 0, 0], 0.1, (20, 3)), rng.normal([0, 5, 0], 0.1, (20, 3))])
     v = spark.createDataFrame([(i, i, r.tolist()) for i, r in enumerate(x)], "entry_id int, slot int, vec array<double>")
-    c = {r.entry_id: r.cluster for r in geometry.spherical_kmeans(v, 2).collect()}
-    assert len({c[i] for i in range(20)}) == 1 and c[0] != c[39]
-    a = geometry.atoms(v.withColumn("entry_id", F.lit(0)), 2).collect()
-    assert len(a) == 2 and all(abs(np.linalg.norm(r.vec) - 1) < 1e-9 for r in a)
     unit = v.select("entry_id", vectors.l2_normalise("vec").alias("vec"))
     same = geometry.head(unit, np.ones((2, 3)), np.zeros((3, 2))).orderBy("entry_id").collect()
     assert np.allclose([r.vec for r in same], [r.vec for r in unit.orderBy("entry_id").collect()])
@@ -221,27 +217,6 @@ def test_json_of_numpy(tmp_path):
     assert json.load(open(f"{tmp_path}/a.json")) == {"x": 0.5, "y": [0, 1, 2]} and artifacts.tagged("proto", "legal", enc="e5") == "proto_e5_legal"
 
 
-def test_fit_map_matches_a_plain_loop_and_goes_on_after_a_break(spark, tmp_path):
-    rng = np.random.default_rng(0)
-    rows = [([float(x) for x in rng.normal(size=3)], [float(x) for x in rng.normal(size=3)], [[float(x) for x in rng.normal(size=3)] for _ in range(2)]) for _ in range(20)]
-    t = spark.createDataFrame(rows, "query array<double>, positive array<double>, negatives array<array<double>>")
-    w, losses = np.eye(3), []
-    for _ in range(4):
-        total, g = 0.0, np.zeros((3, 3))
-        for q, p, n in rows:
-            q, x = np.array(q), np.array([p, *n])
-            z = 2.0 * (x @ (q @ w))
-            prob = np.exp(z) / np.exp(z).sum()
-            total -= np.log(prob[0])
-            g += 2.0 * np.outer(q, (prob - np.eye(3)[0]) @ x)
-        losses.append(total / 20)
-        w = w - 0.3 * g / 20
-    training.fit_map(t, 3, 2, f"{tmp_path}/run", 0.3, 2.0)
-    broken = training.fit_map(t, 3, 4, f"{tmp_path}/run", 0.3, 2.0).orderBy("step").collect()
-    assert [r.step for r in broken] == [0, 1, 2, 3] and np.allclose([r.loss for r in broken], losses) and losses[-1] < losses[0]
-    assert np.allclose(broken[-1].weights, w.ravel())
-
-
 def test_gelu_head_matches_its_definition(spark):
     rng = np.random.default_rng(1)
     x, w1, w2 = rng.normal(size=(5, 4)), rng.normal(size=(3, 4)), rng.normal(size=(4, 3))

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
 SHOWN = """qrels_sets title_case_bigrams vocabulary_table corpus_splits occurrence_sample extended_vocabulary units_from_pieces interval_overlap sense_labels prefix_offsets
 bm25_metrics hard_negatives document_postings sparse_search search_grid dense_search store_evictions bootstrap_interval label_auc label_wasserstein hubness lift_and_harm
-probe_metrics grouped_summary gate_dfdrop calibrate_z mean_and_covariance held_clusters five_way_verdict layer_probe residual_head late_interaction archived_splits resumed_stages logged_steps""".split()
+probe_metrics grouped_summary gate_dfdrop calibrate_z mean_and_covariance held_clusters five_way_verdict layer_probe index_bounds index_work impact_search background_statistics related_rank sense_accuracy stability_curve kmeans_clusters refreshed_entries refreshed_normalisation pilot_verdict calibration_study residual_head late_interaction archived_splits resumed_stages logged_steps""".split()
 
 
 @pytest.fixture(scope="module")
