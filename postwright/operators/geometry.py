@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.functions.vectors import DOUBLES
+from postwright.functions.hashing import md5_int
+from postwright.functions.vectors import DOUBLES, l2_normalise
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +127,9 @@ def logits(sims: DataFrame, scale: float, bias: float) -> DataFrame:
 
 
 def random_unit_vectors(ids: DataFrame, dim: int, seed: int = 11, key: str = "entry_id") -> DataFrame:
-    """(key, vec): directions of no meaning, one for each id, the same whatever the partitioning."""
-
-    def run(batches):
-        for b in batches:
-            x = np.array([np.random.default_rng([seed, int(i)]).normal(size=dim) for i in b.column(0).to_pylist()]).reshape(-1, dim)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel()))], names=[key, "vec"])
-
-    return ids.select(key).mapInArrow(run, f"{key} {ids.schema[key].dataType.simpleString()}, vec array<double>")
-
+    """(key, vec): directions of no meaning, one for each id, the same whatever the partitioning (O11, G8): normal numbers from pairs of hashes, normalised."""
+    def uniform(i, which: str):
+        return (md5_int(F.concat_ws("|", F.lit(f"normal/{seed}/{which}"), F.col(key).cast("string"), i.cast("string"))) + 0.5) / float(1 << 32)
 
+    normal = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.sqrt(-2 * F.log(uniform(i, "r"))) * F.cos(2 * math.pi * uniform(i, "a")))
+    return ids.select(key, l2_normalise(normal).alias("vec"))

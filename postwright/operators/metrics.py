@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,22 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in names])
 
 
-def resample_index(b: Column, i: Column, n: Column, seed: str) -> Column:
-    """The row drawn in place i of resample b: a hash, so that any engine draws the same."""
-    return F.pmod(md5_int(F.concat_ws("|", F.lit(seed), b.cast("string"), i.cast("string"))), n)
+#: Millionths up to which a draw is 0, 1, 2 ... of a Poisson variable of mean one.
+POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917, 999_990, 999_999)
+
+
+def resample_weight(b: Column, row: Column, seed: str) -> Column:
+    """How often a row counts in resample b: a Poisson number of mean one from a hash, the same in any engine and on any partition."""
+    u = F.pmod(md5_int(F.concat_ws("|", F.lit(seed), b.cast("string"), row.cast("string"))), F.lit(1_000_000))
+    return sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
 
 
 def resampled_means(values: DataFrame, columns: list[str], resamples: int, seed: str) -> DataFrame:
-    """(b, mean of each column) over draws with replacement of all rows. ``values``: qid and columns; a row a query, which is a small table."""
-    everything = Window.partitionBy(F.lit(0))
-    rows = values.withColumns({"i": F.row_number().over(everything.orderBy("qid")) - 1, "n": F.count("*").over(everything)})
-    draws = rows.select("n", F.col("i").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    drawn = draws.select("b", resample_index(F.col("b"), F.col("place"), F.col("n"), seed).alias("i"))
-    return drawn.join(rows.select("i", *columns), "i").groupBy("b").agg(*[F.avg(c).alias(c) for c in columns])
+    """(b, mean of each column) over resamples of all rows (qid and columns, each qid once): every row draws its own weights, so a task adds up its
+    rows and sends one sum a resample; no row is numbered or joined."""
+    draws = values.select("qid", *columns, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    weighted = draws.withColumn("w", resample_weight(F.col("b"), F.col("qid"), seed)).where("w > 0")
+    return weighted.groupBy("b").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns])
 
 
 def bootstrap_interval(values: DataFrame, column: str, resamples: int = 1000, seed: str = "boot", level: float = 0.95) -> DataFrame:
@@ -106,12 +112,16 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def wasserstein(rows: DataFrame, value: str, side: str, by: list[str]) -> DataFrame:
-    """(by, w1): distance between the distributions of ``value`` on the two sides (0 and 1) of each group."""
+    """(by, w1): distance between the distributions of ``value`` on the two sides (0 and 1) of each group.
+
+    Counted by distinct value, cumulated inside groups over range partitions: no task holds a group.
+    """
     n = rows.groupBy(*by, F.col(value).alias("v")).agg(F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("b"))
-    w = Window.partitionBy(*by)
-    cum = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    c = n.withColumns({"ca": F.sum("a").over(cum), "cb": F.sum("b").over(cum), "na": F.sum("a").over(w), "nb": F.sum("b").over(w), "gap": F.lead("v").over(w.orderBy("v")) - F.col("v")})
-    return c.where("na > 0 AND nb > 0").groupBy(*by).agg(F.sum(F.coalesce(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")) * F.col("gap"), F.lit(0.0))).alias("w1"))
+    c = prefix_sums(n, ["v"], {"ba": F.col("a"), "bb": F.col("b")}, by, following="v")
+    sizes = n.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).select(*[F.col(k).alias(f"of_{k}") for k in by], "na", "nb").where("na > 0 AND nb > 0")
+    same = functools.reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"of_{k}")), by, F.lit(True))
+    apart = F.abs((F.col("ba") + F.col("a")) / F.col("na") - (F.col("bb") + F.col("b")) / F.col("nb")) * (F.col("next_v") - F.col("v"))
+    return c.join(sizes, same).groupBy(*by).agg(F.sum(F.coalesce(apart, F.lit(0.0))).alias("w1"))
 
 
 def tail_mean(history: DataFrame, order: str, value: str, last: int = 10) -> DataFrame:

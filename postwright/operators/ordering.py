@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from postwright.sources.staging import staged
 
 
-def prefix_sums(rows: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
-    """``rows`` with, for each value, the sum over all rows before it in ``order`` (which must be unique).
+def prefix_sums(rows: DataFrame, order: list[str], values: dict[str, Column], by: list[str] | tuple[str, ...] = (), following: str | None = None) -> DataFrame:
+    """``rows`` with, for each value, the sum over all rows before it in ``order`` (which must be unique), inside its group where ``by`` names one.
 
-    Rows are range-partitioned and written once; each partition sums its own, and the few
-    partition totals are added by a broadcast join of one row a partition.
+    Rows are range-partitioned by group and order and written once; each partition sums its own, and the
+    totals of a partition and group are added by a join of one row each. ``following``: a column whose value in the next row of the group is added as ``next_`` and its name, null in the last.
     """
-    ranged = rows.withColumns({f"__{k}": v for k, v in values.items()}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.withColumns({f"__{k}": v for k, v in values.items()}).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
     ranged = staged(ranged, "ranged")
-    per_part = ranged.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in values])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = per_part.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in values])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), "__part")
-    out = out.withColumns({k: F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) + F.col(f"__o_{k}") for k in values})
-    return out.drop("__part", *[f"__{k}" for k in values], *[f"__o_{k}" for k in values])
+    totals = [F.sum(f"__{k}").alias(f"__t_{k}") for k in values]
+    if following:
+        totals.append(F.min_by(following, F.struct(*order)).alias("__first"))
+    per_part = ranged.groupBy("__part", *by).agg(*totals)
+    every = Window.partitionBy(*by) if by else Window
+    before = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    after = [F.lead("__first").over(every.orderBy("__part")).alias("__after")] if following else []
+    offsets = per_part.select(F.col("__part").alias("__of"), *[F.col(k).alias(f"__of_{k}") for k in by], *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in values], *after)
+    inside = Window.partitionBy("__part", *by).orderBy(*order)
+    same = F.col("__part") == F.col("__of")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    out = ranged.join(offsets if by else F.broadcast(offsets), same)
+    out = out.withColumns({k: F.coalesce(F.sum(f"__{k}").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"__o_{k}") for k in values})
+    if following:
+        out = out.withColumn(f"next_{following}", F.coalesce(F.lead(following).over(inside), F.col("__after"))).drop("__after")
+    return out.drop("__part", "__of", *[f"__of_{k}" for k in by], *[f"__{k}" for k in values], *[f"__o_{k}" for k in values])
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:

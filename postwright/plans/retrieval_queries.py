@@ -313,15 +313,12 @@ def phrase_matches(w: World) -> DataFrame:
     return tokens.contains_phrase(w.passages, ph)
 
 
-BOOT = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8)) AS BIGINT) % n"
-
-
 def boot_sql(source: str, columns: str, seed: str, resamples: int = 200) -> str:
     """(b, means) over resamples of a table expression (qid, columns)."""
-    means = ", ".join(f"avg({c}) AS {c}" for c in columns.split())
-    return f"""v AS ({source}), rows_ AS (SELECT *, row_number() OVER (ORDER BY qid) - 1 AS i, count(*) OVER () AS n FROM v),
-draws AS (SELECT b, {BOOT.format(seed=seed)} AS j FROM rows_, range({resamples}) t(b)),
-means AS (SELECT b, {means} FROM draws JOIN rows_ ON rows_.i = j GROUP BY b)"""
+    means = ", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in columns.split())
+    weight = " + ".join(f"(u >= {c})::INT" for c in metrics.POISSON)
+    return f"""v AS ({source}), draws AS (SELECT *, {weight} AS w FROM (SELECT *, CAST(('0x' || substr(md5('{seed}|' || b || '|' || qid), 1, 8)) AS BIGINT) % 1000000 AS u FROM v, range({resamples}) t(b))),
+means AS (SELECT b, {means} FROM draws WHERE w > 0 GROUP BY b)"""
 
 
 @query("A34 B9", f"WITH {BM25_SQL}, m AS ({metrics_sql()}), {boot_sql('SELECT qid, ndcg FROM m', 'ndcg', 'boot')} SELECT (SELECT avg(ndcg) FROM v) AS mean, quantile_cont(ndcg, 0.025) AS lo, quantile_cont(ndcg, 0.975) AS hi FROM means", "mean lo hi")

@@ -335,7 +335,18 @@ def calibrated_similarities(w: World) -> DataFrame:
     return sums.select("entry_id", F.coalesce(F.col("a") * F.col("total") + F.col("b") * F.col("n"), F.col("total")).alias("total"))
 
 
-@query("G23", None, "shift")
+def shift_sql(steps: int = 12) -> str:
+    """(entry_id, shift) as ``sh``: the steps written out."""
+    parts = [f"""up AS (SELECT pid, entry_id, max(sim) AS sim FROM (SELECT DISTINCT pid, {vec_id()} AS v FROM tok) u JOIN (SELECT * FROM sims WHERE sim > 0.2) s ON s.vec_id = u.v GROUP BY pid, entry_id),
+tg AS (SELECT decile, coalesce(median(df) FILTER (NOT held), (SELECT median(df) FROM dfq WHERE NOT held)) AS target FROM dfq GROUP BY decile),
+fc AS (SELECT entry_id, target, round(sim, 4) AS s, count(*) AS n FROM up JOIN dfq USING (entry_id) JOIN tg USING (decile) WHERE held GROUP BY 1, 2, 3), h0 AS (SELECT DISTINCT entry_id, 0.0::DOUBLE AS shift FROM fc)"""]
+    for i in range(steps):
+        parts.append(f"""h{i + 1} AS (SELECT entry_id, CASE WHEN c < target THEN shift + 0.5::DOUBLE / {i + 1} WHEN c > target THEN shift - 0.5::DOUBLE / {i + 1} ELSE shift END AS shift
+  FROM (SELECT entry_id, target, shift, coalesce(sum(n) FILTER (s + shift > {TAU_D}::DOUBLE), 0) AS c FROM fc JOIN h{i} USING (entry_id) GROUP BY entry_id, target, shift))""")
+    return ",\n".join([*parts, f"sh AS (SELECT * FROM h{steps})"])
+
+
+@query("G23", f"WITH {DF}, {shift_sql()} SELECT * FROM sh", "shift")
 def calibrate_frequency(w: World) -> DataFrame:
     """Twelve steps towards the seen entries' median frequency; tested against a plain loop."""
     t = diagnostics.decile_target(df_stats(w), "df")
@@ -491,11 +502,12 @@ def query_entries(w: World) -> DataFrame:
     return q.join(w.vocab.select("word", "entry_id"), "word").groupBy("qid", "entry_id").agg(F.count("*").alias("n"))
 
 
-@query("O11 G8", None, "norm")
+@query("O11 G8", f"""WITH {VOCAB}, {HELD}, n AS (SELECT entry_id, i, sqrt(-2 * ln((CAST(('0x' || substr(md5('normal/11/r|' || entry_id || '|' || i), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * ((CAST(('0x' || substr(md5('normal/11/a|' || entry_id || '|' || i), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296)) AS x FROM held, range({DIM}) t(i))
+  SELECT entry_id, max(CASE WHEN i = 0 THEN x END) / sqrt(sum(x * x)) AS first, sum(x) / sqrt(sum(x * x)) AS total FROM n GROUP BY entry_id""", "first total")
 def random_control(w: World) -> DataFrame:
     """As many directions without meaning as there are held-out entries."""
-    r = geometry.random_unit_vectors(w.held, 64)
-    return r.select("entry_id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    r = geometry.random_unit_vectors(w.held, DIM)
+    return r.select("entry_id", F.get("vec", 0).alias("first"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("S11 S16 B9", f"WITH {RUN} SELECT qid, pid, rank FROM run WHERE rank <= 100")
