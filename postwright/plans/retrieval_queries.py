@@ -9,7 +9,7 @@ from postwright.functions import vectors
 from postwright.operators import encoder, metrics, ordering, polysemy, postings, search, tokens
 from postwright.plans.registry import query
 from postwright.plans.world import CAP, DIM, DOCS, ENTRIES, HELD, K_D, QPOST, QRELS, QTOKENS, RUN, STORES, TAU_D, TOKENS, VOCAB, World, metrics_sql, vec_id
-from postwright.sources import artifacts
+from postwright.sources import artifacts, strided
 
 BM25_SQL = f"""{TOKENS}, {QTOKENS}, {QRELS},
 tf AS (SELECT pid, word, count(*) AS tf FROM tok GROUP BY pid, word), dl AS (SELECT pid, sum(tf) AS dl FROM tf GROUP BY pid),
@@ -91,8 +91,21 @@ def saturated_postings(w: World) -> DataFrame:
 
 @query("S9 S10 S14 P20", f"WITH {DOCS} SELECT pid AS row_id, entry_id, weight, rank FROM docs WHERE rank < 16")
 def padded_round_trip(w: World) -> DataFrame:
-    padded = artifacts.postings_to_padded(w.docs.withColumnRenamed("pid", "row_id"), 16)
-    return ranks(artifacts.padded_to_postings(padded, "d")).select("row_id", "entry_id", "weight", "rank")
+    """Postings through a store of fixed stride: written at known offsets, read back whole."""
+    folder = w.strided("postings")
+    if not strided.is_whole(folder):
+        strided.write_postings(artifacts.postings_to_padded(w.docs.withColumnRenamed("pid", "row_id"), 16), folder, 16)
+    return ranks(artifacts.padded_to_postings(strided.scan_postings(w.spark, folder), "d")).select("row_id", "entry_id", "weight", "rank")
+
+
+@query("S9 S10", f"WITH {DOCS}, {QRELS} SELECT pid AS row_id, entry_id, weight FROM docs SEMI JOIN qrels USING (pid) WHERE rank < 16")
+def strided_rows(w: World) -> DataFrame:
+    """The judged passages' postings, each by one read of the store."""
+    folder = w.strided("postings")
+    if not strided.is_whole(folder):
+        strided.write_postings(artifacts.postings_to_padded(w.docs.withColumnRenamed("pid", "row_id"), 16), folder, 16)
+    asked = w.qrels.select(F.col("pid").alias("row_id")).distinct()
+    return artifacts.padded_to_postings(strided.read_postings(asked, folder), "d").select("row_id", "entry_id", "weight")
 
 
 @query("P19 S14", f"WITH {DOCS} SELECT entry_id, count(*) AS n FROM docs WHERE weight > 0.05 GROUP BY entry_id")

@@ -9,7 +9,7 @@ from postwright.functions import hashing, numeric, text
 from postwright.operators import insertion, polysemy, search, tokens, vocabulary
 from postwright.plans.registry import query
 from postwright.plans.world import CTOKENS, HELD, QRELS, QTOKENS, STOP, SENSES, TOKENS, VOCAB, World
-from postwright.sources import collections
+from postwright.sources import collections, strided
 
 
 @query("S1", "SELECT count(*) AS n, count(*) = count(DISTINCT doc_id) AND min(doc_id) = 0 AND max(doc_id) + 1 = count(*) AS contiguous FROM documents")
@@ -19,7 +19,11 @@ def collection_contiguity(w: World) -> DataFrame:
 
 @query("S2", f"WITH {QRELS} SELECT pid, length(text) AS n_chars FROM qrels JOIN documents ON doc_id = pid")
 def passage_lookup(w: World) -> DataFrame:
-    return collections.lookup(w.passages, w.qrels.select("pid")).select("pid", F.length("text").cast("long").alias("n_chars"))
+    """Judged passages by their offsets in a stored collection."""
+    folder = w.strided("texts")
+    if not strided.is_whole(folder):
+        strided.write_texts(w.passages, folder)
+    return strided.read_texts(w.qrels.select("pid"), folder).select("pid", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("S3 F1", "SELECT item_id AS qid, length(trim(text)) AS n_chars, item_id AS ord FROM benchmark")

@@ -108,6 +108,11 @@ class World:
     def shelf(self) -> str:
         return f"{staging.shared_dir(self.spark)}/postwright/stored"
 
+    def strided(self, name: str) -> str:
+        """The folder of a store of fixed layout made from the tables as they are."""
+        files = {t: staging.files_of(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("documents", "embeddings")}
+        return f"{self.shelf}/{name}-{staging.fingerprint({'dir': self.sf_dir, 'files': files, 'made': (name, FLOOR, MOST, TAU_D, K_D)})}"
+
     def top(self, toks: DataFrame, tau: float, k: int, saturation: str = "none") -> DataFrame:
         """The ``k`` heaviest postings of each text."""
         return postings.pooled_postings(self.encoder.units(toks), self.sims, tau, k, saturation=saturation)

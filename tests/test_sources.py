@@ -114,3 +114,38 @@ def test_stages_in_any_order_and_waiting_for_each_other(spark, tmp_path):
     assert all(fresh for _, fresh in staging.run_stages(spark, str(tmp_path), stages).values())
     with pytest.raises(ValueError, match="wait"):
         staging.run_stages(spark, str(tmp_path), [("x", ("y",), None), ("y", ("x",), None)])
+
+
+@pytest.mark.parametrize("rows", [4, 1000])
+def test_strided_postings_and_texts(spark, tmp_path, rows):
+    """Files of few rows and of all; rows that are missing, asked for twice, or beyond the end."""
+    from postwright.sources import strided
+
+    store = {r: ([r, r + 1, 7][: r % 4], [0.5, 0.25, 1 / 3][: r % 4]) for r in (0, 1, 2, 3, 5, 6, 17)}
+    p = spark.createDataFrame([(r, i, v) for r, (i, v) in store.items()] + [(-1, [1], [1.0]), (None, [1], [1.0])], "row_id long, idx array<int>, val array<double>")
+    folder = f"{tmp_path}/p"
+    strided.write_postings(p, folder, 3, rows)
+    full = lambda r: (store.get(r, ([], []))[0] + [-1] * 3)[:3]
+    weights = lambda r: (store.get(r, ([], []))[1] + [0.0] * 3)[:3]
+    asked = [0, 17, 5, 5, 4, 99]
+    got = sorted((r.row_id, list(r.idx), list(r.val)) for r in strided.read_postings(spark.createDataFrame([(r,) for r in asked], "row_id long"), folder).collect())
+    assert got == sorted((r, full(r), weights(r)) for r in asked if r < 18)
+    whole = {r.row_id: (list(r.idx), list(r.val)) for r in strided.scan_postings(spark, folder).collect()}
+    assert {r: v for r, v in whole.items() if v[0] != [-1] * 3} == {r: (full(r), weights(r)) for r in store if store[r][0]}
+    texts = {0: "", 1: "é\tß 一", 2: None, 3: "x" * 100_000, 9: "nine", 1200: "far"}
+    strided.write_texts(spark.createDataFrame(list(texts.items()), "pid long, text string"), f"{tmp_path}/t", rows)
+    asked = [1200, 1, 1, 2, 0, 3, 4, 5000]
+    got = sorted(tuple(r) for r in strided.read_texts(spark.createDataFrame([(i,) for i in asked], "pid long"), f"{tmp_path}/t").collect())
+    assert got == sorted((i, texts[i]) for i in asked if texts.get(i) is not None)
+
+
+def test_strided_stores_without_rows_and_with_repeats(spark, tmp_path):
+    from postwright.sources import strided
+
+    none = spark.createDataFrame([], "row_id long, idx array<int>, val array<double>")
+    strided.write_postings(none, f"{tmp_path}/e", 2)
+    assert strided.scan_postings(spark, f"{tmp_path}/e").count() == 0 and strided.read_postings(none.select("row_id"), f"{tmp_path}/e").count() == 0
+    assert strided.is_whole(f"{tmp_path}/e") and not strided.is_whole(f"{tmp_path}/none")
+    with pytest.raises(Exception, match="stands twice"):
+        strided.write_texts(spark.createDataFrame([(1, "a"), (1, "b")], "pid long, text string"), f"{tmp_path}/r")
+    assert not strided.is_whole(f"{tmp_path}/r")
