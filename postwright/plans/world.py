@@ -15,6 +15,8 @@ from postwright.sources import staging
 FLOOR, MOST = 100, 30_000
 TAU_D, TAU_Q, K_D, K_Q, CAP = 0.30, 0.20, 64, 32, 96
 DIM = 64
+#: Files of a table that is dealt to all cores before its texts are cut into words.
+SMALL_BYTES = 64 << 20
 
 
 class World:
@@ -24,9 +26,15 @@ class World:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, name: str, rows: DataFrame) -> DataFrame:
+        """Texts (pid, text) of a table. A small one may be a single row group, which one task would read and cut into words: its rows go to all cores by pid, which later steps group by anyway."""
+        if sum(size for _, size, _ in staging.files_of(self.spark, f"{self.sf_dir}/{name}.parquet")) > SMALL_BYTES:
+            return rows
+        return rows.repartition(self.spark.sparkContext.defaultParallelism, "pid")
+
     @cached_property
     def passages(self) -> DataFrame:
-        return self.table("documents").select(F.col("doc_id").alias("pid"), "text")
+        return self.dealt("documents", self.table("documents").select(F.col("doc_id").alias("pid"), "text"))
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -35,7 +43,7 @@ class World:
     @cached_property
     def chat(self) -> DataFrame:
         """Turns of conversations as a second collection."""
-        return self.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
+        return self.dealt("conversations", self.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text"))
 
     @cached_property
     def qrels(self) -> DataFrame:
