@@ -40,24 +40,61 @@ def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scores(queries, docs), k)
 
 
-#: Cells of a grid that one pass adds up.
-GRID_CELLS = 64
+#: Cells of a grid that one pass adds up, and bytes of best passages that a task keeps for all queries and cells.
+GRID_CELLS, GRID_BYTES = 64, 64 << 20
+#: Query postings that are sent to all executors at once (80 bytes each).
+SENT_POSTINGS = 500_000
 
 
 def grid_search(queries: DataFrame, docs: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """One store, many settings: every cell cuts stored ranks and thresholds its own way.
 
     ``grid``: cell, k_q, k_d, tau_q, tau_d, saturation; a handful of rows. Stored weights are over the lowest threshold. The store is joined once, at the widest
-    setting, and each pair's products are added up for every cell that admits them.
+    setting, and each pair's products are added up for every cell that admits them. A task keeps the ``k`` best of each query and cell, if they
+    take ``GRID_BYTES`` at most, so that pairs do not become a row a cell; else a window ranks them.
     """
     cells = grid.orderBy("cell").collect()
+    n = queries.select("qid").distinct().count()
     out = None
     for at in range(0, len(cells), GRID_CELLS):
-        part = _grid_scores(queries, docs, cells[at : at + GRID_CELLS])
+        own = cells[at : at + GRID_CELLS]
+        added = _grid_scores(queries, docs, own)
+        if n * len(own) * k * 16 <= GRID_BYTES:
+            part = added.mapInArrow(_best_of_cells([c.cell for c in own], k), "cell int, qid long, pid long, score double")
+        else:
+            each = F.explode(F.arrays_zip(F.array(*[F.lit(c.cell) for c in own]).alias("cell"), F.col("scores").alias("score"))).alias("s")
+            part = added.select("qid", "pid", each).where("NOT isnan(s.score)").select("s.cell", "qid", "pid", "s.score")
         out = part if out is None else out.union(part)
     return ranked(out, k, ("cell", "qid"))
 
 
+def _best_of_cells(cells: list[int], k: int):
+    """Rows (qid, pid, scores by cell) of a task to the ``k`` best of each query and cell among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            qid, pid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            scores = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            order = np.argsort(qid, kind="stable")
+            first = np.flatnonzero(np.diff(qid[order], prepend=qid[order[0]] - 1))
+            for rows in np.split(order, first[1:]):
+                new = np.where(np.isnan(scores[rows]), -np.inf, scores[rows]).T
+                ids = np.broadcast_to(pid[rows], new.shape)
+                if (own := held.get(int(qid[rows[0]]))) is not None:
+                    new, ids = np.concatenate([own[0], new], axis=1), np.concatenate([own[1], ids], axis=1)
+                best = np.lexsort((ids, -new), axis=1)[:, :k]
+                held[int(qid[rows[0]])] = np.take_along_axis(new, best, 1), np.take_along_axis(ids, best, 1)
+        for q, (score, ids) in held.items():
+            c, place = np.nonzero(score > -np.inf)
+            columns = [pa.array(np.array(cells, np.int32)[c]), pa.array(np.full(len(c), q, np.int64)), pa.array(ids[c, place], pa.int64()), pa.array(score[c, place])]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "qid", "pid", "score"])
+
+    return run
+
+
 def _grid_scores(queries: DataFrame, docs: DataFrame, cells: list) -> DataFrame:
     widest = lambda side: (F.col("rank") < max(c[f"k_{side}"] for c in cells)) & (F.col("weight") > min(c[f"tau_{side}"] for c in cells))
     # Weights as each threshold and saturation make them, once a posting and not once a pair.
@@ -76,9 +113,12 @@ def _grid_scores(queries: DataFrame, docs: DataFrame, cells: list) -> DataFrame:
     for c in cells:
         wq, wd = (F.col(f"{side}{kinds[side].index((c[f'tau_{side}'], c['saturation']))}") for side in "qd")
         sums.append(F.sum(F.when((F.col("rank_q") < c.k_q) & (F.col("rank_d") < c.k_d), wq * wd)).alias(f"c{c.cell}"))
-    added = q.join(d, "entry_id").groupBy("qid", "pid").agg(*sums)
-    each = F.explode(F.array(*[F.struct(F.lit(c.cell).alias("cell"), F.round(F.col(f"c{c.cell}"), DIGITS).alias("score")) for c in cells])).alias("s")
-    return added.select("qid", "pid", each).where("s.score IS NOT NULL").select("s.cell", "qid", "pid", "s.score")
+    if queries.count() <= SENT_POSTINGS:  # a passage's postings together, the queries sent to them: no pair moves
+        added = d.repartition("pid").join(F.broadcast(q), "entry_id").groupBy("qid", "pid").agg(*sums)
+    else:
+        added = q.join(d, "entry_id").groupBy("qid", "pid").agg(*sums)
+    scores = F.array(*[F.coalesce(F.round(F.col(f"c{c.cell}"), DIGITS), F.lit(float("nan"))) for c in cells])
+    return added.select(F.col("qid").cast("long").alias("qid"), F.col("pid").cast("long").alias("pid"), scores.alias("scores"))
 
 
 def rescore(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

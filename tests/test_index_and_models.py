@@ -333,3 +333,22 @@ def test_only_changed_entries_are_encoded_again(spark, tmp_path):
     assert set(d) == {1, 3} and d[3] is None and math.isclose(d[1], float(x[5] @ norm(x[5] + x[7])))
     assert refresh.refresh(f"{tmp_path}/e", frame(second), enc) == 2 and spark.read.schema(refresh.SCHEMA).parquet(f"{tmp_path}/e/version=2").count() == 0
     assert refresh.entries_at(spark, f"{tmp_path}/none").count() == 0
+
+
+# --- grids ---
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_grid_cells_ranked_in_tasks_or_by_window(spark, monkeypatch, store, most):
+    """Every cell is a search of its own with its cuts, whichever way the best are kept."""
+    monkeypatch.setattr(search, "GRID_BYTES", most)
+    monkeypatch.setattr(search, "SENT_POSTINGS", most)
+    q, d = (df.withColumn("rank", F.row_number().over(__import__("pyspark").sql.Window.partitionBy(key).orderBy(F.desc("weight"), "entry_id")) - 1) for df, key in zip(store, ("qid", "pid"), strict=True))
+    cells = [(0, 3, 4, 0.0, 0.0, "none"), (1, 6, 9, 0.1, 0.05, "log1p"), (2, 1, 2, 0.3, 0.0, "none")]
+    grid = spark.createDataFrame(cells, "cell int, k_q int, k_d int, tau_q double, tau_d double, saturation string")
+    got = sorted((r.cell, r.qid, r["rank"], r.pid, round(r.score, 8)) for r in search.grid_search(q, d, grid, 4).collect())
+    want = []
+    for cell, k_q, k_d, tau_q, tau_d, kind in cells:
+        cut = lambda df, k, tau, kind=kind: df.where((F.col("rank") < k) & (F.col("weight") > tau)).withColumn("weight", F.log1p(F.col("weight") - tau) if kind == "log1p" else F.col("weight") - tau)
+        want += [(cell, r.qid, r["rank"], r.pid, round(r.score, 8)) for r in search.search(cut(q, k_q, tau_q), cut(d, k_d, tau_d), 4).collect()]
+    assert got == sorted(want)
