@@ -4,8 +4,8 @@ Two variable-order Markov models of URL characters, one of accepted and one of r
 URLs (those that a rule decides), are smoothed by Witten-Bell interpolation of every order with the shorter one, down to
 the uniform distribution over bytes: p(c | context) = (n(context, c) + t(context) p(c | shorter)) / (n(context) + t(context)),
 where t counts the distinct characters seen after the context. Counts are exact, of contexts as they are, gathered on the executors.
-The order is variable: a context is used if it was seen often enough, and how often is the least number for which the model
-has ``PAIRS`` pairs of context and character at most, so a larger corpus gives longer contexts where it has evidence, never noise.
+The order is variable: each character is predicted from the longest context that was seen before it, and the shorter ones weigh in as they have evidence.
+Up to ``PAIRS`` counts are sent to where the URLs are; more stay tables, and the contexts that occur in the URLs are looked up by joins.
 A URL without a rule is judged by the difference of the two log-likelihoods for each character,
 against a threshold calibrated on held-out labelled URLs.
 """
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm._common import LOWER, UPPER, only, small_batches, staged
+from postwright.llm._common import LOWER, UPPER, only, sent_or_shuffled, small_batches, staged
 
 #: (verdict, host, path): a rule fits its host and all subdomains, where the path starts with its own.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER = 4
-#: Pairs of context and character that are sent to executors, at most (16 bytes each).
+#: Pairs of context and character that are sent to executors, at most (16 bytes each); more are joined, with the same result.
 PAIRS = 1 << 20
 #: Pairs that a counting task gathers before it hands them on.
 COUNTED = 1 << 20
@@ -148,19 +148,64 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*merged())
 
 
-def _least_seen(contexts: DataFrame, most: int) -> int:
-    """The least count from which on contexts have ``most`` pairs at most together; counts beyond 4,096 in steps of a sixteenth of their doubling."""
-    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")) * 16) / 16)).cast("long"))
-    total, least = 0, None
-    for r in sorted(contexts.groupBy(step.alias("n")).agg(F.sum("t").alias("t")).collect(), key=lambda r: -r.n):
-        total += r.t
-        if total > most:
-            return least if least is not None else r.n + 1
-        least = r.n
-    return least or 1
+@dataclass
+class StoredModel:
+    """The same counts as tables (pair, c) and (context, n, t), for more pairs than are sent."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    threshold: float = 0.0
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, url) to (row, key, m): how often each context and character stands in a URL."""
+    for b in batches:
+        if b.num_rows:
+            owner, key = grams(b.column(1).to_pylist())
+            order = np.lexsort((key, owner))
+            first = np.flatnonzero((np.diff(owner[order], prepend=-1) != 0) | (np.diff(key[order], prepend=key[order][:1]) != 0))
+            m = np.diff(np.append(first, len(order)))
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[at])), pa.array(key[at].astype(np.int64)), pa.array(m)], names=["row", "key", "m"])
 
 
-def train(ruled: DataFrame) -> UrlModel:
+def _gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, counts in order of class and length) to (key, gain), by the same steps as ``UrlModel.probability``."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c, n, t = (b.column(i).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, 2, ORDER + 1) for i in (1, 2, 3))
+        p = np.full((b.num_rows, 2), 1 / ALPHABET)
+        for k in range(ORDER + 1):
+            p = np.where(n[:, :, k] > 0, (c[:, :, k] + t[:, :, k] * p) / np.maximum(n[:, :, k] + t[:, :, k], 1), p)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log(p[:, 0]) - np.log(p[:, 1]))], names=["key", "gain"])
+
+
+def joined_ratios(urls: DataFrame, model: StoredModel) -> DataFrame:
+    """(row, ratio) of (row, url), each row once: every context and character that occurs is looked up once by joins, and its gain goes to the URLs that have it."""
+    held = staged(urls.select("row", "url").mapInArrow(_keys, "row long, key long, m long"), "url-keys")
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(side * (ORDER + 1) + k).alias("kind"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).bitwiseOR(F.lit((side << 51) | (k << 48))).alias("pair"))
+        for side in (0, 1) for k in range(ORDER + 1)
+    ])).alias("x")
+    asked = held.select("key").distinct().select("key", kinds).select("key", "x.kind", "x.pair", F.shiftright("x.pair", 8).alias("context"))
+    found = asked.join(model.pairs, "pair", "left").join(model.contexts, "context", "left").select("key", "kind", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("c", "n", "t")])
+    rows = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "c", "n", "t"))).alias("x"))  # ten a key
+    gains = rows.select("key", *[F.col(f"x.{x}").alias(x) for x in ("c", "n", "t")]).mapInArrow(_gains, "key long, gain double")
+    return held.join(sent_or_shuffled(gains, "url-gains", PAIRS), "key").groupBy("row").agg((F.sum(F.col("gain") * F.col("m")) / F.sum("m")).alias("ratio"))
+
+
+def with_ratios(rows: DataFrame, model: UrlModel | StoredModel) -> DataFrame:
+    """``rows`` (url and others) with ``ratio`` in place of the url."""
+    keep = [c for c in rows.columns if c != "url"]
+    if isinstance(model, UrlModel):
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+        return rows.select("url", *keep).mapInArrow(_ratios(rows.sparkSession.sparkContext.broadcast(model), keep), f"{kinds}, ratio double")
+    numbered = staged(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    return numbered.drop("url").join(joined_ratios(numbered, model), "row").select(*keep, "ratio")
+
+
+def train(ruled: DataFrame) -> UrlModel | StoredModel:
     """Count all labelled URLs but a fifth, which then sets the threshold: the point that errs least on either class.
 
     Without labelled URLs of both classes the threshold accepts all.
@@ -173,13 +218,12 @@ def train(ruled: DataFrame) -> UrlModel:
     pairs = staged(labelled.where("NOT kept_back").select("url", "side").mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "url-pairs")
     context = F.shiftright("pair", 8).alias("context")
     contexts = staged(pairs.groupBy(context).agg(F.sum("n").alias("n"), F.count("*").alias("t")), "url-contexts")
-    least = _least_seen(contexts, PAIRS)
-    own = contexts.where(F.col("n") >= least)
-    kept = pairs.select("pair", F.col("n").alias("c"), context).join(own.select("context"), "context", "left_semi").select("pair", "c").toArrow()
-    own = own.toArrow()
-    numbers = lambda t, c: t.column(c).to_numpy()
-    model = UrlModel(Counts(numbers(kept, "pair"), numbers(kept, "c")), Counts(numbers(own, "context"), numbers(own, "n")), Counts(numbers(own, "context"), numbers(own, "t")))
-    scored = labelled.where("kept_back").select("url", "side").mapInArrow(_ratios(spark.sparkContext.broadcast(model), ["side"]), "side int, ratio double")
+    model = StoredModel(pairs.select("pair", F.col("n").alias("c")), contexts)
+    if pairs.count() <= PAIRS:  # few enough to be sent to where the URLs are
+        kept, own = model.pairs.toArrow(), contexts.toArrow()
+        numbers = lambda t, c: t.column(c).to_numpy()
+        model = UrlModel(Counts(numbers(kept, "pair"), numbers(kept, "c")), Counts(numbers(own, "context"), numbers(own, "n")), Counts(numbers(own, "context"), numbers(own, "t")))
+    scored = with_ratios(labelled.where("kept_back").select("url", "side"), model)
     spread = BINS / (2 * SPREAD)
     bins = np.zeros((2, BINS))
     for r in scored.groupBy("side", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("ratio") + SPREAD) * spread))).alias("bin")).agg(F.count("*").alias("n")).collect():
@@ -213,10 +257,6 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     small_batches(pages.sparkSession)
     ruled = with_rules(pages, rules, id_col, url_col)
     model = train(ruled)
-    keep = ["page_id", "host", "path", "rule", "decided"]
-    kind = ruled.schema["page_id"].dataType.simpleString()
-    scored = ruled.select(F.col("url").cast("binary").alias("url"), *keep).mapInArrow(
-        _ratios(pages.sparkSession.sparkContext.broadcast(model), keep), f"page_id {kind}, host string, path string, rule string, decided string, ratio double"
-    )
+    scored = with_ratios(ruled.select(F.col("url").cast("binary").alias("url"), "page_id", "host", "path", "rule", "decided"), model)
     by_model = F.when(F.col("ratio") >= F.lit(model.threshold), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"), "ratio")

@@ -314,12 +314,19 @@ def test_url_likelihoods_match_plain_counts_and_sum_to_one():
         assert abs(m.ratio([u])[0] - want) < 1e-9
 
 
-def test_only_frequent_contexts_are_sent(spark, monkeypatch):
-    contexts = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate([(100, 10), (50, 5), (50, 6), (7, 3), (1, 1), (1, 1)])], "context long, n long, t long")
-    assert [url_filter._least_seen(contexts, most) for most in (100, 26, 25, 24, 21, 20, 10, 9)] == [1, 1, 7, 7, 50, 100, 100, 101]
-    assert url_filter._least_seen(contexts.where("false"), 5) == 1
+def test_counts_sent_or_joined_judge_alike(spark, monkeypatch):
+    """More pairs than are sent are joined: the same ratios and verdicts, also for null ids, null and empty urls, repeated rows and names that clash."""
     rows = [(i, f"http://{'abcd'[i % 4] * 6}.{'net' if i % 2 else 'org/fr'}/{i}") for i in range(400)]
-    pages = spark.createDataFrame(rows + [(1000, "http://bbbbbb.com/7"), (1001, "http://aaaaaa.com/8")], "page_id long, url string")
-    monkeypatch.setattr(url_filter, "PAIRS", 300)
-    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
-    assert got[1000] == "block" and got[1001] == "allow"
+    rows += [(1000, "http://bbbbbb.com/7"), (1001, "http://aaaaaa.com/8"), (1002, None), (1003, ""), (1004, "http://É.com/ü" + "x" * 3000), (None, "http://bbbbbb.com/7"), (None, None), (5, rows[5][1]), (5, "http://cccccc.com/"), (1000, "http://bbbbbb.com/7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS row", "'x' AS key", "2 AS ratio", "'y' AS pair")
+    found = []
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(url_filter, "PAIRS", most)
+        found.append(sorted(((str(r.page_id), r.host, r.path, str(r.rule), r.verdict, r.ratio) for r in url_filter.judge(pages).collect())))
+    sent, joined = found
+    assert [r[:5] for r in sent] == [r[:5] for r in joined] and len(sent) == len(rows)
+    assert max(abs(a[5] - b[5]) for a, b in zip(sent, joined, strict=True)) < 1e-9
+    verdicts = {r[0]: r[4] for r in joined}
+    assert verdicts["1000"] == "block" and verdicts["1001"] == "allow"
+    assert len({r[4] for r in joined if r[1] == "bbbbbb.com"}) == 1
+    assert url_filter.judge(pages.where("false")).count() == 0
