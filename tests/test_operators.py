@@ -259,3 +259,39 @@ def test_phrases_anywhere_in_blocks(spark):
     for block in (1, 1000):
         got = sorted(tuple(r) for r in tokens.containing(t, p, "pid", "qid", block_bytes=block).collect())
         assert got == sorted((i, q) for i, x in texts for q, y in phrases if x and y and y in x)
+
+
+@pytest.mark.parametrize("rows", [150, 60])
+def test_pooling_by_levels_and_blocks(spark, monkeypatch, rows):
+    """More similarities than are sent at once: texts that are whole at a level leave, the others go on to all; nothing is joined or left out."""
+    from postwright.operators import postings
+
+    rng = np.random.default_rng(5)
+    sims = [(v, e, float(np.round(rng.random() ** 2, 8))) for v in range(14) for e in range(40) if rng.random() < 0.6]
+    texts = [(p, sorted({int(x) for x in rng.integers(16, size=rng.integers(1, 9))})) for p in range(40)] + [(40, []), (41, [99])]
+    s, u = spark.createDataFrame(sims, "vec_id long, entry_id int, sim double"), spark.createDataFrame(texts, "pid long, keys array<long>")
+    by = {p: {} for p, _ in texts}
+    for p, own in texts:
+        for v, e, x in sims:
+            if v in own:
+                by[p][e] = max(by[p].get(e, 0.0), x)
+    monkeypatch.setattr(postings, "SENT_ROWS", rows)
+    monkeypatch.setattr(postings, "POOL_CELLS", 64)
+    plain = lambda df: {tuple(r) for r in df.collect()}
+    joined = []
+    monkeypatch.setattr(postings, "sparsify", lambda *a: joined.append(a))
+    for saturation in ("none", "log1p"):
+        want = set()
+        for p, best in by.items():
+            weigh = (lambda x: round(math.log1p(x - 0.1), 8)) if saturation == "log1p" else (lambda x: round(x - 0.1, 8))
+            own = sorted((-weigh(x), e) for e, x in best.items() if x > 0.1)[:5]
+            want |= {(p, e, -w, k) for k, (w, e) in enumerate(own)}
+        assert plain(postings.pooled_postings(u, s, 0.1, 5, saturation=saturation)) == want
+    assert not joined
+    sums = {r.pid: (r.n, round(r.total, 6)) for r in postings.pooled_sums(u, s).collect()}
+    assert sums == {p: (len(best), round(sum(best.values()), 6)) for p, best in by.items() if best}
+    profile = postings.max_pool(u, s)
+    assert plain(profile) == {(p, e, x) for p, best in by.items() for e, x in best.items()}
+    rounded = profile.withColumn("s", F.round("sim", 2))
+    assert plain(postings.pooled_counts(u, s, 2)) == plain(rounded.groupBy("s").count())
+    assert plain(postings.pooled_counts(u, s, 2, by_entry=True)) == plain(rounded.groupBy("entry_id", "s").count())
