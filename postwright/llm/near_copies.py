@@ -235,6 +235,17 @@ def _mixed(alive: DataFrame) -> DataFrame:
     return alive.join(mixed, "cell").select("cell", "key", "size", "central", "sketch", "cells", "component", "alone")
 
 
+def _members(unique: DataFrame) -> DataFrame:
+    """(cell, key, central, size, sketch, cells) of the sets in cells of more than one; ``central``: the sizes of a set's cells, added up.
+
+    A set is joined once and dealt to its cells after that: a row a set moves with all that the set carries, not a row a cell.
+    """
+    points = unique.select("key", F.explode("cells").alias("cell"))
+    shared = points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    own = points.join(shared, "cell").groupBy("key").agg(F.sum("n").alias("central"), F.collect_list("cell").alias("own"))
+    return own.join(unique.select("key", "size", "sketch", "cells"), "key").select(F.explode("own").alias("cell"), "key", "central", "size", "sketch", "cells")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group that pairs of similarity ``least`` or more connect, the one with the smallest id; every column stays.
 
@@ -252,11 +263,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         prints.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "fp", "cells", "sketch")]),
         "shingle-sets",
     )
-    points = unique.select("key", F.explode("cells").alias("cell"))
-    shared = unique.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(points.join(shared, "cell"), "near-members")
-    central = members.groupBy("key").agg(F.sum("n").alias("central"))
-    members = staged(members.drop("n").join(central.join(unique.select("key", "size", "sketch", "cells"), "key"), "key"), "near-members")
+    members = staged(_members(unique), "near-members")
     # The SimHash side: fingerprints, each named by one of its sets, and the other sets that have it.
     named = staged(unique.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("rep")), "near-prints")
     close = staged(

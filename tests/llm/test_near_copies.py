@@ -85,3 +85,14 @@ def test_many_members_of_one_pivot(spark, monkeypatch):
     docs = [(k, " ".join([*base[: k % 50], f"x{k}", *base[k % 50 + 1 :]])) for k in range(40)]
     kept = near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == brute_kept(docs)
+
+
+def test_a_set_is_joined_once_and_not_once_a_cell(spark):
+    rows = [(k, [c for c in range(32) if k < 20 or c == k], 5 + k, [k]) for k in range(24)]
+    unique = spark.createDataFrame(rows, "key long, cells array<long>, size int, sketch array<long>")
+    members = near_copies._members(unique)
+    n = {c: sum(c in own for _, own, *_ in rows) for c in range(32)}
+    want = {(c, k, sum(n[x] for x in own if n[x] > 1), size, tuple(sketch), tuple(own)) for k, own, size, sketch in rows for c in own if n[c] > 1}
+    assert {(r.cell, r.key, r.central, r["size"], tuple(r.sketch), tuple(r.cells)) for r in members.collect()} == want
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(own") < plan.index("Join Inner, (key")
