@@ -277,6 +277,7 @@ def test_pooling_by_levels_and_blocks(spark, monkeypatch, rows):
                 by[p][e] = max(by[p].get(e, 0.0), x)
     monkeypatch.setattr(postings, "SENT_ROWS", rows)
     monkeypatch.setattr(postings, "POOL_CELLS", 64)
+    monkeypatch.setattr(postings, "HELD_COUNTS", 1000)
     plain = lambda df: {tuple(r) for r in df.collect()}
     joined = []
     monkeypatch.setattr(postings, "sparsify", lambda *a: joined.append(a))
@@ -295,3 +296,18 @@ def test_pooling_by_levels_and_blocks(spark, monkeypatch, rows):
     rounded = profile.withColumn("s", F.round("sim", 2))
     assert plain(postings.pooled_counts(u, s, 2)) == plain(rounded.groupBy("s").count())
     assert plain(postings.pooled_counts(u, s, 2, by_entry=True)) == plain(rounded.groupBy("entry_id", "s").count())
+
+
+def test_every_resample_draws_as_many_rows_as_there_are(spark):
+    """Values that are powers of a base count the draws of each row: a resample of n rows has n."""
+    from postwright.operators.metrics import drawn_means
+
+    rows = spark.createDataFrame([(q, float(20**k)) for k, q in enumerate((3, 5, 8, 11))], "qid long, m double")
+    for r in drawn_means(rows, ["m"], 30, "boot").collect():
+        digits, total = [], round(r.m * 4)
+        while total:
+            digits.append(total % 20)
+            total //= 20
+        assert sum(digits) == 4
+    got = metrics.bootstrap_interval(rows.select("qid", F.lit(1.0).alias("m")), "m", 30).first()
+    assert (got["mean"], got.lo, got.hi) == (1.0, 1.0, 1.0)
