@@ -352,3 +352,17 @@ def test_grid_cells_ranked_in_tasks_or_by_window(spark, monkeypatch, store, most
         cut = lambda df, k, tau, kind=kind: df.where((F.col("rank") < k) & (F.col("weight") > tau)).withColumn("weight", F.log1p(F.col("weight") - tau) if kind == "log1p" else F.col("weight") - tau)
         want += [(cell, r.qid, r["rank"], r.pid, round(r.score, 8)) for r in search.search(cut(q, k_q, tau_q), cut(d, k_d, tau_d), 4).collect()]
     assert got == sorted(want)
+
+
+def test_grid_pairs_never_become_rows(spark, store):
+    """Scores of a grid are matrix products over batches of passages: no join of postings, and the same best whatever the batches."""
+    order = lambda key: F.row_number().over(__import__("pyspark").sql.Window.partitionBy(key).orderBy(F.desc("weight"), "entry_id")) - 1
+    q, d = (df.withColumn("rank", order(key)) for df, key in zip(store, ("qid", "pid"), strict=True))
+    grid = spark.createDataFrame([(0, 3, 4, 0.0, 0.0, "none"), (1, 6, 9, 0.1, 0.05, "log1p")], "cell int, k_q int, k_d int, tau_q double, tau_d double, saturation string")
+    found = {}
+    for rows in (2, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        run = search.grid_search(q, d, grid, 3)
+        assert "Join" not in run._jdf.queryExecution().optimizedPlan().toString()
+        found[rows] = sorted(tuple(r) for r in run.collect())
+    assert found[2] == found[10_000] and found[2]
