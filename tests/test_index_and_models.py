@@ -366,3 +366,16 @@ def test_grid_pairs_never_become_rows(spark, store):
         assert "Join" not in run._jdf.queryExecution().optimizedPlan().toString()
         found[rows] = sorted(tuple(r) for r in run.collect())
     assert found[2] == found[10_000] and found[2]
+
+
+def test_tails_in_blocks_of_entries_and_small_slices(spark, monkeypatch):
+    """Slices of a product are far smaller than the histograms that a task holds, which have a bound of their own."""
+    rng = np.random.default_rng(21)
+    states, entries = unit(rng, 90, 4), unit(rng, 21, 4)
+    assert postings.SLICE_CELLS * 8 <= postings.HELD_BINS
+    monkeypatch.setattr(postings, "SLICE_CELLS", 64)
+    monkeypatch.setattr(postings, "HELD_BINS", 8 * postings.BINS)
+    s, e = vectors(spark, states, "vec_id", "state", "long"), vectors(spark, entries, "entry_id", "vec", "int")
+    got = {r.entry_id: r.tail for r in postings.nth_largest(s, e, 4, 7).collect()}
+    want = np.sort(np.round(states @ entries.T, 8), axis=0)[-7]
+    assert all(math.isclose(got[k], x, abs_tol=1e-12) for k, x in enumerate(want)) and len(got) == 21
