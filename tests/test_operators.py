@@ -311,3 +311,27 @@ def test_every_resample_draws_as_many_rows_as_there_are(spark):
         assert sum(digits) == 4
     got = metrics.bootstrap_interval(rows.select("qid", F.lit(1.0).alias("m")), "m", 30).first()
     assert (got["mean"], got.lo, got.hi) == (1.0, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("saturation", ["none", "log1p"])
+def test_postings_rest_on_a_few_similarities_of_each_state(spark, monkeypatch, saturation):
+    """Ties, few values and several blocks: the postings are those of all similarities, and a state sends about as many as are kept."""
+    from postwright.operators import postings
+
+    rng = np.random.default_rng(8)
+    vecs = lambda n: [(k, np.round(rng.normal(size=4) / 3, 1).tolist()) for k in range(n)]
+    states, entries = spark.createDataFrame(vecs(30), "vec_id long, state array<double>"), spark.createDataFrame(vecs(200), "entry_id int, vec array<double>")
+    texts = spark.createDataFrame([(p, sorted({int(x) for x in rng.integers(32, size=rng.integers(0, 7))})) for p in range(50)], "pid long, keys array<long>")
+    every = postings.similarities(states, entries, 4, floor=0.05)
+    few = postings.strongest(states, entries, 4, 6, 0.05, saturation)
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    want = plain(postings.pooled_postings(texts, every, 0.05, 6, saturation=saturation))
+    assert plain(postings.pooled_postings(texts, few, 0.05, 6, saturation=saturation)) == want
+    assert few.count() < every.where("sim > 0.05").count() / 3
+    only = spark.createDataFrame([(e,) for e in (3, 5, 5, 60, 77, 999) + tuple(range(100, 160))], "entry_id int")
+    own = [r for r in want if r[1] in {x.entry_id for x in only.collect()}]
+    assert own and plain(postings.pooled_postings(texts, few, 0.05, 6, saturation=saturation, only=only)) == own
+    monkeypatch.setattr(postings, "SENT_ROWS", 60)
+    assert plain(postings.pooled_postings(texts, every, 0.05, 6, saturation=saturation, only=only)) == own
+    monkeypatch.setattr(postings, "BLOCK_BYTES", 8 * 4 * 50)
+    assert plain(postings.pooled_postings(texts, postings.strongest(states, entries, 4, 6, 0.05, saturation), 0.05, 6, saturation=saturation)) == want
