@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwright.functions.vectors import cosine, l2_normalise
-from postwright.operators.encoder import LookupEncoder, mean_vector
+from postwright.operators.encoder import LookupEncoder
 from postwright.sources.staging import exists, staged
 
 SCHEMA = "entry_id int, mark decimal(38,0), n long, vec array<double>, version int"
@@ -46,7 +46,7 @@ def refresh(folder: str, occurrences: DataFrame, encoder: LookupEncoder) -> int:
     before = entries_at(spark, folder).select("entry_id", "mark")
     todo = now.join(before, ["entry_id", "mark"], "left_anti")
     own = occurrences.join(todo.select("entry_id"), "entry_id", "left_semi").groupBy("entry_id", "vec_id").agg(F.count("*").alias("n"))
-    mean = mean_vector(encoder.with_states(own), ["entry_id"], "state", "n", "vec").withColumn("vec", l2_normalise("vec"))
+    mean = encoder.means(own, "entry_id").withColumn("vec", l2_normalise("vec"))
     sizes = own.groupBy("entry_id").agg(F.sum("n").alias("n"))
     made = mean.join(sizes, "entry_id").join(todo, "entry_id").select("entry_id", "mark", "n", "vec")
     made.write.mode("overwrite").parquet(f"{folder}/version={at}")

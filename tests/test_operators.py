@@ -335,3 +335,55 @@ def test_postings_rest_on_a_few_similarities_of_each_state(spark, monkeypatch, s
     assert plain(postings.pooled_postings(texts, every, 0.05, 6, saturation=saturation, only=only)) == own
     monkeypatch.setattr(postings, "BLOCK_BYTES", 8 * 4 * 50)
     assert plain(postings.pooled_postings(texts, postings.strongest(states, entries, 4, 6, 0.05, saturation), 0.05, 6, saturation=saturation)) == want
+
+
+def test_bounded_sample_is_the_whole_sample(spark, monkeypatch):
+    """Entries of few and of many passages, pairs that are counted too often, keys sent or joined: the sample of all rows, from few of them."""
+    from postwright.operators import vocabulary
+
+    rows = spark.range(4000).selectExpr("id AS pid", "explode(filter(array(0, 1, 2, 3), e -> id % (e * e * 40 + 1) = 0)) AS entry_id", "id % 7 AS pos")
+    rows = rows.union(rows.where("pid % 2 = 0 AND entry_id = 0").withColumn("pos", F.lit(9).cast("long"))).select(F.col("entry_id").cast("int").alias("entry_id"), "pid", "pos")
+    want = sorted(tuple(r) for r in vocabulary.occurrence_sample(rows, most=20).collect())
+    for repeats, keys in ((1, 100), (60, 100), (1, 1)):
+        monkeypatch.setattr(vocabulary, "SENT_KEYS", keys)
+        pairs = rows.select("entry_id", "pid").distinct().withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).drop("x")
+        slots, near = vocabulary.bounded_sample(pairs, rows, most=20)
+        assert sorted(tuple(r) for r in slots.collect()) == want
+        whole = spark.createDataFrame([r for r in want], "entry_id int, pid long, slot int").join(rows, ["entry_id", "pid"]).count()
+        assert near.join(slots, ["entry_id", "pid"]).count() == whole
+        assert near.where("entry_id = 0").count() < 600 or repeats == 60
+
+
+def test_successions_and_runs_inside_the_row(spark):
+    """As by windows over a row a token, without an exchange."""
+    from postwright.operators import tokens
+
+    texts = [(1, "The the cat, the CAT sat"), (2, ""), (3, None), (4, "one"), (5, "a b a b a"), (6, "aa bb c dd, ee! ff")]
+    p = spark.createDataFrame(texts, "pid long, text string")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    t = tokens.tokens(p)
+    got = tokens.successions(p)
+    assert plain(got) == plain(tokens.adjacent(t).where("next IS NOT NULL").select("pid", "pos", "word", "next"))
+    assert plain(tokens.followed_words(p)) == plain(got.select("pid", "word").distinct())
+    i = tokens.islands(t.withColumn("l", F.length("word")), "pid", "pos", "l").groupBy("pid", "island").agg(F.count("*").alias("c"))
+    runs = tokens.run_summary(p, F.length)
+    assert plain(runs) == plain(i.groupBy("pid").agg(F.max("island") + 1, F.max("c")))
+    for df in (got, runs, tokens.followed_words(p)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_of_states_in_blocks(spark, monkeypatch):
+    from postwright.operators import encoder
+
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(size=(40, 6))
+    table = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(matrix)], "vec_id long, embedding array<double>")
+    counted = [(e, int(v), int(rng.integers(1, 9))) for e in range(9) for v in rng.choice(40, size=rng.integers(1, 20), replace=False)]
+    c = spark.createDataFrame(counted, "entry_id int, vec_id long, n long")
+    want = {e: np.average([matrix[v] for x, v, _ in counted if x == e], axis=0, weights=[n for x, _, n in counted if x == e]) for e in range(9)}
+    e = encoder.LookupEncoder(encoder.EncoderSpec("lookup", 6), table, 40)
+    for size in (64 << 20, 8 * 6 * 15):
+        monkeypatch.setattr(encoder, "SENT_BYTES", size)
+        got = {r.entry_id: r.vec for r in e.means(c, "entry_id").collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
