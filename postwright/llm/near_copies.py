@@ -6,12 +6,14 @@ itself (``simhash.near_links`` on fingerprints of five-word shingles, by segment
 finds copies that differ in a few words. Fingerprints of texts of similarity 0.8 lie 9.7 of 64 bits apart on average,
 where no grid of segment counts is selective, so the second side covers the rest: 32 bands of five MinHash
 values, taken from 80. A pair of similarity 0.8 shares no band with a chance of 0.00004, one of 0.85 with less
-than 0.00001. A pair of which 31 MinHash values differ is not verified (that is four
-standard deviations from 0.8).
+than 0.00001. Before a pair's texts are compared, two things rule it out: a parity map of 512 bits, in which two sets differ in no
+more bits than they differ in shingles (exact: what it rules out is not similar), and, for long texts, whose maps are
+full, a sketch: a pair of which more than 31 MinHash values differ is not verified (that is four standard deviations from 0.8).
 
 In each cell of candidates the pivots are compared with all members that are not yet connected
 to them and then leave, until no cell holds two components: no pair of a cell goes unseen but for such that
-cannot be similar, and a large group of near copies costs about one comparison a member.
+cannot be similar, and a large group of near copies costs about one comparison a member. In a family of sets just below the
+threshold many pairs meet, but those whose maps differ too much become no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ BANDS = np.concatenate([_DRAW.permutation(HASHES).reshape(-1, BAND_ROWS) for _ i
 #: Four bits of each MinHash value make a sketch of five longs.
 SKETCH = HASHES // 16
 LOW = 0x1111111111111111
+#: Bits of a parity map, which stands behind the sketch in the same list.
+PARITY = 512
 
 
 def shingles(text: bytes | None, words: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -78,6 +82,12 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return (nibbles.reshape(SKETCH, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Of each of ``PARITY`` buckets of shingles whether it holds an odd number of them, 64 to a long: a shingle that only one of two sets has changes one bit."""
+    odd = np.bincount(((own * MULTIPLIER) >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def set_fingerprint(own: np.ndarray) -> int:
     """SimHash of a set of shingle hashes."""
     ones = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -95,6 +105,19 @@ def differing(x: str, y: str) -> Column:
     return total
 
 
+def apart(x: str, y: str) -> Column:
+    """In how many bits two parity maps differ: no more than the shingles that only one of the sets has."""
+    total = F.lit(0)
+    for k in range(SKETCH, SKETCH + PARITY // 64):
+        total = total + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return total
+
+
+def most_apart(least: float, x: str, y: str) -> Column:
+    """The shingles that only one of two similar sets of these sizes has, at most: (all - d) / (all + d) >= least."""
+    return (F.col(x) + F.col(y)) * ((1 - least) / (1 + least)) + 1e-6
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared / max(1, len(x) + len(y) - shared)
@@ -114,7 +137,7 @@ def _sign(width: int):
                     least = least_hashes(own)
                     prints.append(set_fingerprint(own))
                     cells.append(bands(least).view(np.int64))
-                    sketches.append(sketch(least).view(np.int64))
+                    sketches.append(np.concatenate([sketch(least), parity(own)]).view(np.int64))
                 else:
                     prints.append(None)
                     cells.append([])
@@ -189,7 +212,8 @@ def _links(members: DataFrame, close: DataFrame, texts: DataFrame, width: int, l
     the cell leave; that bound is exact.
     """
     most = int(HASHES * (1 - least) + 4 * (HASHES * least * (1 - least)) ** 0.5) + 1  # MinHash values that may differ at this similarity
-    near = (F.col("room") >= F.col("p_size")) & (F.col("p_room") >= F.col("size")) & (differing("sketch", "p_sketch") <= most)
+    near = (F.col("room") >= F.col("p_size")) & (F.col("p_room") >= F.col("size"))
+    near = near & (apart("sketch", "p_sketch") <= most_apart(least, "size", "p_size")) & (differing("sketch", "p_sketch") <= most)
     once = F.col("cell") == F.array_min(F.array_intersect("cells", "p_cells"))  # a pair of several cells is compared in one
     alive = members.withColumns({"component": F.col("key"), "alone": F.lit(0)})
     member, round_no = None, 0

@@ -96,3 +96,33 @@ def test_a_set_is_joined_once_and_not_once_a_cell(spark):
     assert {(r.cell, r.key, r.central, r["size"], tuple(r.sketch), tuple(r.cells)) for r in members.collect()} == want
     plan = members._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(own") < plan.index("Join Inner, (key")
+
+
+def test_parity_maps_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 4, 60, 150, 900, 4000):
+        for edits in (0, 1, n // 10, n // 5):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[edits:], rng.integers(0, 1 << 63, edits // 2, dtype=np.uint64)]))
+            maps = [[0] * near_copies.SKETCH + near_copies.parity(v).view(np.int64).tolist() for v in (x, y)]
+            rows.append((*maps, len(x), len(y), len(np.setxor1d(x, y)), near_copies.similarity(x, y) >= 0.8))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, nx int, ny int, apart int, similar boolean")
+    got = df.select("apart", "similar", near_copies.apart("x", "y").alias("seen"), near_copies.most_apart(0.8, "nx", "ny").alias("most")).collect()
+    assert all(r.seen <= r.apart and r.similar == (r.apart <= r.most) for r in got)
+    assert any(r.seen > r.most for r in got)
+
+
+def test_sets_just_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Each text has 3 of 30 changes, so that no shingle is a text's own and most pairs lie between 0.6 and 0.8."""
+    rng, seen, real = random.Random(7), [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    docs = []
+    for k in range(120):
+        w = [f"w{q}" for q in range(150)]
+        for q in rng.sample(range(30), 3):
+            w[5 * q] = f"x{q}"
+        docs.append((k, " ".join(w)))
+    kept = near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == brute_kept(docs)
+    assert sum(seen) <= 3 * len(docs), seen
